@@ -126,16 +126,17 @@ def _solid(color: str, alpha=None) -> dict[str, Column]:
     return {**{c: F.lit(v) for c, v in zip(RGB, rgb_of(color))}, "a": as_column(alpha).cast("int")}
 
 
-def _rect(df: DataFrame, tw, th, keep, color: str, alpha, where: Column) -> DataFrame:
+def _rect(df: DataFrame, tw, th, keep, color: str, alpha, where: Column, out=()) -> DataFrame:
     """Solid pixels of the target grid that satisfy ``where``."""
-    grid = core.target_grid(df, tw, th, keep).filter(where)
+    grid = core.target_grid(df, tw, th, [*keep, *out]).filter(where)
     return core.integers(grid.select(
         "image_id", F.col("tw").alias("width"), F.col("th").alias("height"),
         F.col("tx").alias("x"), F.col("ty").alias("y"),
-        *[v.alias(c) for c, v in _solid(color, alpha).items()]))
+        *[v.alias(c) for c, v in _solid(color, alpha).items()], *out), out)
 
 
-def border(df: DataFrame, width=1, left=None, right=None, top=None, bottom=None, color="#000000", opacity=100):
+def border(df: DataFrame, width=1, left=None, right=None, top=None, bottom=None, color="#000000", opacity=100,
+           keep_columns=()):
     """Frame of a colour.  Positive widths add pixels outside; negative ones tint the
     edge inside at ``opacity``."""
     sides = {k: as_column(width if v is None else v).cast("int")
@@ -149,12 +150,13 @@ def border(df: DataFrame, width=1, left=None, right=None, top=None, bottom=None,
     tint = {c: F.when(edge, over(v, F.col(c), F.lit(keep))).otherwise(F.col(c))
             for c, v in _solid(color, 255).items()}
     tw, th = w + out["_l"] + out["_r"], h + out["_t"] + out["_b"]
-    inner = G.moved(d.withColumns(tint), x + out["_l"], y + out["_t"], tw, th)
+    inner = G.moved(d.withColumns(tint), x + out["_l"], y + out["_t"], tw, th, keep_columns)
     has = F.when(F.col("a").isNotNull(), F.lit(255))
     d = d.withColumn("_a", has)
     tx, ty = F.col("tx"), F.col("ty")
     frame = _rect(d, tw, th, [*sides, "_a"], color, F.col("_a"),
-                  (tx < out["_l"]) | (tx >= out["_l"] + w) | (ty < out["_t"]) | (ty >= out["_t"] + h))
+                  (tx < out["_l"]) | (tx >= out["_l"] + w) | (ty < out["_t"]) | (ty >= out["_t"] + h),
+                  keep_columns)
     return inner.unionByName(frame)
 
 
@@ -183,7 +185,7 @@ def contour(df: DataFrame, size=1, offset=0, color="#000000", fill="#FFFFFF", op
     # Sizes travel with the outer rows, which cover every target pixel.
     outer_rows = outer.select("image_id", "width", "height", "x", "y", F.col("a").alias("outer"),
                               *[F.lit(None).cast("int").alias(n) for n in ("inner", "pr", "pg", "pb", "pa")])
-    inner_rows = part("inner", _inner(alpha_only, o, s), x, y)
+    inner_rows = part("inner", _inner(alpha_only), x, y)
     image_rows = part("image", d, x + F.col("_e"), y + F.col("_e"))
     sizes = {"width": F.lit(None).cast("int"), "height": F.lit(None).cast("int")}
     rows = outer_rows.unionByName(inner_rows.withColumns(sizes)).unionByName(image_rows.withColumns(sizes))
@@ -205,19 +207,21 @@ def contour(df: DataFrame, size=1, offset=0, color="#000000", fill="#FFFFFF", op
     return core.integers(one.withColumns(new)).unionByName(opaque)
 
 
-def _inner(alpha_only: DataFrame, o: Column, s: Column) -> DataFrame:
+def _inner(alpha_only: DataFrame) -> DataFrame:
     """Shape enlarged by the offset, moved in by the line width."""
-    out = G.scale_bilinear(alpha_only, F.col("width") + 2 * o, F.col("height") + 2 * o)
-    return out.withColumns({"x": F.col("x") + s, "y": F.col("y") + s})
+    o = F.col("_e") - F.col("_s")
+    out = G.scale_bilinear(alpha_only, F.col("width") + 2 * o, F.col("height") + 2 * o, ["_s"])
+    return out.withColumns({"x": F.col("x") + F.col("_s"), "y": F.col("y") + F.col("_s")})
 
 
 def _contour_border(df, size, offset, color, fill, opacity, include_image):
     a = None if opacity >= 100 else math.floor(255 * opacity / 100)
-    inside = border(df, offset, color=fill)
+    d = df.withColumn("_line", as_column(size).cast("int"))
+    inside = border(d, offset, color=fill, keep_columns=["_line"])
     if not include_image:
         inside = inside.withColumns({c: F.lit(v) for c, v in zip(RGB, rgb_of(fill))}).withColumn(
             "a", F.lit(255 if a is None else a))
-    return border(inside, size, color=color)
+    return border(inside, F.col("_line"), color=color)
 
 
 def round_corners(df: DataFrame, radius, method="Rounded", corners=None, opacity=100, color="#FFFFFF") -> DataFrame:
@@ -312,14 +316,12 @@ def reflection(df: DataFrame, depth, gap=0, opacity=60, color="#FFFFFF", back_op
         face = {"a": m}
     flipped = d.withColumns(face).withColumn("y", hgt - 1 - F.col("y"))
     if scale or blur:
-        plain = G.moved(flipped, F.col("x"), F.col("y"), w, hgt)
-        plain = G.METHODS[method](plain, w, F.least(hgt, as_column(depth).cast("int"))) if scale else G.crop_box(
-            plain, 0, 0, w, F.least(hgt, as_column(depth).cast("int")))
-        if blur:
-            plain = N.effect(plain, "blur")
-        sizes = d.filter((F.col("x") == 0) & (F.col("y") == 0)).select("image_id", "_d", "_g", "_h", "width", "height")
-        sizes = sizes.withColumn("height", F.col("_d"))
-        lower = core.join_per_image(plain, sizes)
+        facts = ["_d", "_g", "_h"]
+        if scale:
+            plain = G.METHODS[method](flipped, w, F.col("_d"), facts)
+        else:
+            plain = G.moved(flipped.filter(F.col("y") < F.col("_d")), F.col("x"), F.col("y"), w, F.col("_d"), facts)
+        lower = N.effect(plain, "blur", extra=facts) if blur else plain
     else:
         lower = flipped.filter(F.col("y") < F.col("_d"))
     fade = F.floor(F.lit(float(o)) * (F.col("_d") - F.col("y")) / F.col("_d")).cast("int")

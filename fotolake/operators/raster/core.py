@@ -17,9 +17,9 @@ COLUMNS = SHAPE + RGBA
 TILE = 1 << 20
 
 
-def integers(df: DataFrame) -> DataFrame:
-    """Column order and int types of a pixel table."""
-    return df.select("image_id", *[F.col(c).cast("int").alias(c) for c in COLUMNS[1:]])
+def integers(df: DataFrame, keep=()) -> DataFrame:
+    """Column order and int types of a pixel table; ``keep`` names columns carried along."""
+    return df.select("image_id", *[F.col(c).cast("int").alias(c) for c in COLUMNS[1:]], *keep)
 
 
 def unpack(rasters: DataFrame) -> DataFrame:

@@ -21,11 +21,11 @@ def _c(name: str) -> Column:
     return F.col(name)
 
 
-def moved(df: DataFrame, x: Column, y: Column, width: Column | int, height: Column | int) -> DataFrame:
+def moved(df: DataFrame, x: Column, y: Column, width: Column | int, height: Column | int, keep=()) -> DataFrame:
     """New position and size in one projection."""
     return core.integers(df.select(
         "image_id", as_column(width).alias("width"), as_column(height).alias("height"),
-        x.alias("x"), y.alias("y"), *RGBA))
+        x.alias("x"), y.alias("y"), *RGBA, *keep), keep)
 
 
 # ---- exact permutations ----
@@ -125,10 +125,11 @@ def grid(df: DataFrame, cols=2, rows=2, col_line=0, row_line=0, color="#FFFFFF",
     """cols x rows copies with gaps.  Gap pixels are emitted line by line, without a join."""
     if cols == 1 and rows == 1:
         return df
+    df = df.withColumns({"_cl": as_column(col_line).cast("int"), "_rl": as_column(row_line).cast("int")})
     if scale:
         s = F.lit(math.sqrt(cols * rows))
-        df = scale_area(df, F.floor(_c("width") / s), F.floor(_c("height") / s))
-    cl, rl = as_column(col_line), as_column(row_line)
+        df = scale_area(df, F.floor(_c("width") / s), F.floor(_c("height") / s), ["_cl", "_rl"])
+    cl, rl = _c("_cl"), _c("_rl")
     dx, dy = _c("width") + cl, _c("height") + rl
     tw, th = dx * cols - cl, dy * rows - rl
     copies = (
@@ -189,7 +190,7 @@ def _sized(df: DataFrame, tw, th) -> DataFrame:
     return df.withColumns({"_tw": one(tw), "_th": one(th)})
 
 
-def scale_nearest(df: DataFrame, tw, th) -> DataFrame:
+def scale_nearest(df: DataFrame, tw, th, keep=()) -> DataFrame:
     """Each target pixel shows the source pixel under its centre.  No shuffle."""
     d = _sized(df, tw, th)
 
@@ -200,7 +201,7 @@ def scale_nearest(df: DataFrame, tw, th) -> DataFrame:
 
     out = d.withColumn("_x", F.explode(span(_c("x"), _c("width"), _c("_tw")))).withColumn(
         "_y", F.explode(span(_c("y"), _c("height"), _c("_th"))))
-    return moved(out, _c("_x"), _c("_y"), _c("_tw"), _c("_th"))
+    return moved(out, _c("_x"), _c("_y"), _c("_tw"), _c("_th"), keep)
 
 
 def _weighted(d: DataFrame, total: Column, keep=()) -> DataFrame:
@@ -209,10 +210,10 @@ def _weighted(d: DataFrame, total: Column, keep=()) -> DataFrame:
     sums = d.groupBy("image_id", _c("_tw").alias("width"), _c("_th").alias("height"),
                      _c("_x").alias("x"), _c("_y").alias("y"), *keep).agg(
         *[F.sum(_c(c) * _c("_k")).alias(c) for c in RGBA], F.first(total).alias("_total"))
-    return core.integers(sums.withColumns({c: F.floor(_c(c) / _c("_total")) for c in RGBA}))
+    return core.integers(sums.withColumns({c: F.floor(_c(c) / _c("_total")) for c in RGBA}), keep)
 
 
-def scale_area(df: DataFrame, tw, th) -> DataFrame:
+def scale_area(df: DataFrame, tw, th, keep=()) -> DataFrame:
     """Area average, the choice for making smaller."""
     d = _sized(df, tw, th)
 
@@ -225,10 +226,10 @@ def scale_area(df: DataFrame, tw, th) -> DataFrame:
     d = d.withColumn("_x", F.explode(span(_c("x"), _c("width"), _c("_tw")))).withColumn(
         "_y", F.explode(span(_c("y"), _c("height"), _c("_th"))))
     k = overlap(_c("x"), _c("width"), _c("_tw"), _c("_x")) * overlap(_c("y"), _c("height"), _c("_th"), _c("_y"))
-    return _weighted(d.withColumn("_k", k.cast("long")), _c("width").cast("long") * _c("height"))
+    return _weighted(d.withColumn("_k", k.cast("long")), _c("width").cast("long") * _c("height"), keep)
 
 
-def scale_bilinear(df: DataFrame, tw, th) -> DataFrame:
+def scale_bilinear(df: DataFrame, tw, th, keep=()) -> DataFrame:
     """Linear between the four nearest centres, edges replicated."""
     d = _sized(df, tw, th)
 
@@ -247,7 +248,7 @@ def scale_bilinear(df: DataFrame, tw, th) -> DataFrame:
         .withColumn("_y", F.explode(span(_c("y"), _c("height"), _c("_th"))))
         .withColumn("_k", _c("_kx") * tent(_c("y"), _c("height"), _c("_th"), _c("_y"))).filter("_k > 0")
     )
-    return _weighted(d, 4 * _c("_tw") * _c("_th"))
+    return _weighted(d, 4 * _c("_tw") * _c("_th"), keep)
 
 
 METHODS = {"nearest": scale_nearest, "area": scale_area, "antialias": scale_area,
@@ -394,20 +395,25 @@ PERSPECTIVES = {
 
 
 def perspective(df: DataFrame, preset="Left", color="#000000", opacity=0, auto_crop=True, user=None) -> DataFrame:
-    """Projective map by preset, or by ``user``: the eight values in the same order.
+    """Projective map by preset, or by ``user``: the eight values in the same order, the
+    offsets in percent or as pixel columns.
     Magnification is unbounded here, so each target pixel looks its source pixel up by
     an equi-join on image and position."""
     zoom, left_angle, top_angle, bottom, right, off_x, off_y, turn = user or PERSPECTIVES[preset]
-    src = df if turn == "NONE" else transpose(df, inverse_step(turn))
+    pixels = lambda v, n: v if isinstance(v, Column) else F.floor(_c(n) * F.lit(v / 100.0) + F.lit(0.5))
+    src = df.withColumns({"_ox": pixels(off_x, "width"), "_oy": pixels(off_y, "height")})
+    x, y, swap = _steps()[inverse_step(turn)]  # presets flip or turn by 180, so sizes stay
+    if swap:
+        raise ValueError("a perspective cannot turn by a quarter")
+    src = moved(src, x, y, _c("width"), _c("height"), ["_ox", "_oy"])
     needs_alpha = opacity != 100 or color != "#000000"
     if needs_alpha:
         src = src.withColumn("a", F.coalesce("a", F.lit(255)))
     inv = 100.0 / zoom
     sx, sy = math.tan(math.radians(-left_angle)), math.tan(math.radians(-top_angle))
-    grid = core.target_grid(src, _c("width"), _c("height"), ["a"]).withColumn("_has", _c("a").isNotNull())
+    grid = core.target_grid(src, _c("width"), _c("height"), ["a", "_ox", "_oy"]).withColumn("_has", _c("a").isNotNull())
     tx, ty, w, h = _c("tx").cast("double"), _c("ty").cast("double"), _c("width"), _c("height")
-    ox = -F.floor(w * F.lit(off_x / 100.0) + F.lit(0.5)) * F.lit(inv)
-    oy = -F.floor(h * F.lit(off_y / 100.0) + F.lit(0.5)) * F.lit(inv)
+    ox, oy = -_c("_ox") * F.lit(inv), -_c("_oy") * F.lit(inv)
     den = F.lit(-float(bottom)) / (h * F.lit(100.0)) * tx + F.lit(-float(right)) / (w * F.lit(100.0)) * ty + F.lit(1.0)
     u = (F.lit(inv) * tx + F.lit(sx) * ty + ox) / den
     v = (F.lit(sy) * tx + F.lit(inv) * ty + oy) / den

@@ -65,10 +65,15 @@ def filtered(df: DataFrame, size: int, fn, bands=RGBA, repeat: int = 1, extra=()
     return d
 
 
-def _with_amount(fn, amount):
-    if not isinstance(amount, Column) and amount >= 100:
-        return fn
-    return lambda square, band: blend(square[len(square) // 2], fn(square, band), amount)
+def _blended(df: DataFrame, size: int, fn, amount, bands=RGBA, repeat=1, extra=()) -> DataFrame:
+    """Filter, each step blended with what it started from; ``amount`` may be a column."""
+    if isinstance(amount, Column):
+        df, amount = df.withColumn("_amount", amount), F.col("_amount")
+        extra = (*extra, "_amount")
+    elif amount >= 100:
+        return filtered(df, size, fn, bands, repeat, extra)
+    step = lambda square, band: blend(square[len(square) // 2], fn(square, band), amount)
+    return filtered(df, size, step, bands, repeat, extra)
 
 
 def _rank(df, size, index, amount):
@@ -81,7 +86,7 @@ def _rank(df, size, index, amount):
             v = F.sort_array(F.array(*square))[index]
         return F.when(square[0].isNotNull(), v)  # no alpha band stays so
 
-    return filtered(df, size, _with_amount(pick, amount))
+    return _blended(df, size, pick, amount)
 
 
 def minimum(df: DataFrame, size=3, amount=100) -> DataFrame:
@@ -116,7 +121,7 @@ def common(df: DataFrame, size=3, amount=100) -> DataFrame:
         v = F.aggregate(F.sort_array(F.array(*square)), start, step, lambda acc: acc["best"])
         return F.when(square[0].isNotNull(), v)
 
-    return filtered(df, size, _with_amount(mode, amount))
+    return _blended(df, size, mode, amount)
 
 
 # Kernels by lines, their divisor and offset.
@@ -144,12 +149,11 @@ def convolve(square, kernel: str) -> Column:
     return floor_byte(F.floor(total / F.lit(float(divisor))) + F.lit(offset))
 
 
-def effect(df: DataFrame, kernel="blur", amount=100, repeat=1) -> DataFrame:
+def effect(df: DataFrame, kernel="blur", amount=100, repeat=1, extra=()) -> DataFrame:
     """Convolution by name, repeated and blended each time."""
     size = 5 if len(KERNELS[kernel][0]) == 25 else 3
     bands = RGB if kernel in KEEP_ALPHA else RGBA
-    step = _with_amount(lambda square, band: convolve(square, kernel), amount)
-    return filtered(df, size, step, bands, repeat)
+    return _blended(df, size, lambda square, band: convolve(square, kernel), amount, bands, repeat, extra)
 
 
 def sketch(df: DataFrame, details=1) -> DataFrame:

@@ -1,4 +1,4 @@
 """All registered queries and their SQL."""
 
-from . import catalog, raster  # noqa: F401
+from . import catalog, raster, runs  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
