@@ -6,8 +6,8 @@ from pyspark.sql import Column, functions as F
 
 from .pixels import as_column
 
-_LENGTH = r"^\s*([+-]?[0-9]*\.?[0-9]+)\s*(px|cm|mm|inch|%)?\s*$"
-_SIZE = r"^\s*([0-9]*\.?[0-9]+)\s*(bt|kb|mb|gb)?\s*$"
+LENGTH = r"^\s*([+-]?[0-9]*\.?[0-9]+)\s*(px|cm|mm|inch|%)?\s*$"
+SIZE = r"^\s*([0-9]*\.?[0-9]+)\s*(bt|kb|mb|gb)?\s*$"
 
 
 def round_half_away(c: Column) -> Column:
@@ -20,8 +20,8 @@ def length_px(text, base, dpi=72) -> Column:
     ``base`` is what 100% stands for.  Anything else gives NULL."""
     text = F.lit(text) if not isinstance(text, Column) else text.cast("string")
     base, dpi = as_column(base).cast("double"), as_column(dpi).cast("double")
-    number = F.regexp_extract(text, _LENGTH, 1)
-    unit = F.regexp_extract(text, _LENGTH, 2)
+    number = F.regexp_extract(text, LENGTH, 1)
+    unit = F.regexp_extract(text, LENGTH, 2)
     factor = (
         F.when(unit == "%", base / F.lit(100.0))
         .when(unit == "cm", dpi / F.lit(2.54))
@@ -35,8 +35,8 @@ def length_px(text, base, dpi=72) -> Column:
 def size_bytes(text) -> Column:
     """Bytes of ``"5kb"``, ``"5 mb"`` or ``"10 bt"``; anything else gives NULL."""
     text = F.lit(text) if not isinstance(text, Column) else text.cast("string")
-    number = F.regexp_extract(text, _SIZE, 1)
-    unit = F.regexp_extract(text, _SIZE, 2)
+    number = F.regexp_extract(text, SIZE, 1)
+    unit = F.regexp_extract(text, SIZE, 2)
     factor = F.when(unit == "kb", 1024).when(unit == "mb", 1048576).when(unit == "gb", 1073741824).otherwise(1)
     return F.when(number != "", round_half_away(number.try_cast("double") * factor))
 

@@ -122,21 +122,7 @@ def highlight(df: DataFrame, stamp: Stamp, opacity=100) -> DataFrame:
     return _drop_layer(out.withColumns(new))
 
 
-def _solid(color: str, alpha=None) -> dict[str, Column]:
-    return {**{c: F.lit(v) for c, v in zip(RGB, rgb_of(color))}, "a": as_column(alpha).cast("int")}
-
-
-def _rect(df: DataFrame, tw, th, keep, color: str, alpha, where: Column, out=()) -> DataFrame:
-    """Solid pixels of the target grid that satisfy ``where``."""
-    grid = core.target_grid(df, tw, th, [*keep, *out]).filter(where)
-    return core.integers(grid.select(
-        "image_id", F.col("tw").alias("width"), F.col("th").alias("height"),
-        F.col("tx").alias("x"), F.col("ty").alias("y"),
-        *[v.alias(c) for c, v in _solid(color, alpha).items()], *out), out)
-
-
-def border(df: DataFrame, width=1, left=None, right=None, top=None, bottom=None, color="#000000", opacity=100,
-           keep_columns=()):
+def border(df: DataFrame, width=1, left=None, right=None, top=None, bottom=None, color="#000000", opacity=100):
     """Frame of a colour.  Positive widths add pixels outside; negative ones tint the
     edge inside at ``opacity``."""
     sides = {k: as_column(width if v is None else v).cast("int")
@@ -148,80 +134,60 @@ def border(df: DataFrame, width=1, left=None, right=None, top=None, bottom=None,
     edge = (x < inn["_l"]) | (x >= w - inn["_r"]) | (y < inn["_t"]) | (y >= h - inn["_b"])
     keep = int(255 - opacity / 100.0 * 255)
     tint = {c: F.when(edge, over(v, F.col(c), F.lit(keep))).otherwise(F.col(c))
-            for c, v in _solid(color, 255).items()}
-    tw, th = w + out["_l"] + out["_r"], h + out["_t"] + out["_b"]
-    inner = G.moved(d.withColumns(tint), x + out["_l"], y + out["_t"], tw, th, keep_columns)
-    has = F.when(F.col("a").isNotNull(), F.lit(255))
-    d = d.withColumn("_a", has)
-    tx, ty = F.col("tx"), F.col("ty")
-    frame = _rect(d, tw, th, [*sides, "_a"], color, F.col("_a"),
-                  (tx < out["_l"]) | (tx >= out["_l"] + w) | (ty < out["_t"]) | (ty >= out["_t"] + h),
-                  keep_columns)
-    return inner.unionByName(frame)
+            for c, v in core.solid(color, 255).items()}
+    outside = lambda tx, ty: (
+        (tx < out["_l"]) | (tx >= out["_l"] + w) | (ty < out["_t"]) | (ty >= out["_t"] + h))
+    d = core.copies_and_fill(d, w + out["_l"] + out["_r"], h + out["_t"] + out["_b"], F.array(F.lit(0)), outside)
+    frame = core.solid(color, F.when(F.col("a").isNotNull(), F.lit(255)))
+    return core.place_copies(d, x + out["_l"], y + out["_t"], tint, frame)
 
 
 def contour(df: DataFrame, size=1, offset=0, color="#000000", fill="#FFFFFF", opacity=100, include_image=True):
-    """Outline of the visible shape; images without alpha get a plain border.
-
-    The enlarged outer and inner shapes and the image are summed onto the target pixels
-    in one grouping, as every source pixel knows where it contributes."""
-    opaque = _contour_border(df.filter(F.col("a").isNull()), size, offset, color, fill, opacity, include_image)
-    d = df.filter(F.col("a").isNotNull())
-    s, o = as_column(size).cast("int"), as_column(offset).cast("int")
-    e = s + o
-    d = d.withColumns({"_s": s, "_e": e})
-    w, h = F.col("width"), F.col("height")
-    alpha_only = d.withColumns({c: F.lit(0) for c in RGB})
-    tw, th = w + 2 * F.col("_e"), h + 2 * F.col("_e")
+    """Outline of the visible shape; an opaque image is a shape without holes.
 
-    def part(name, table, x, y):
-        empty = {n: F.lit(None).cast("int") for n in ("outer", "inner", "pr", "pg", "pb", "pa")}
-        values = {"inner": {"inner": F.col("a")}, "image": {"p" + c: F.col(c) for c in RGBA}}[name]
-        return table.select("image_id", x.cast("int").alias("x"), y.cast("int").alias("y"),
-                            *[values.get(n, v).cast("int").alias(n) for n, v in empty.items()])
-
-    x, y = F.col("x"), F.col("y")
-    outer = G.scale_bilinear(alpha_only, tw, th)
-    # Sizes travel with the outer rows, which cover every target pixel.
-    outer_rows = outer.select("image_id", "width", "height", "x", "y", F.col("a").alias("outer"),
-                              *[F.lit(None).cast("int").alias(n) for n in ("inner", "pr", "pg", "pb", "pa")])
-    inner_rows = part("inner", _inner(alpha_only), x, y)
-    image_rows = part("image", d, x + F.col("_e"), y + F.col("_e"))
-    sizes = {"width": F.lit(None).cast("int"), "height": F.lit(None).cast("int")}
-    rows = outer_rows.unionByName(inner_rows.withColumns(sizes)).unionByName(image_rows.withColumns(sizes))
-    one = rows.groupBy("image_id", "x", "y").agg(
-        *[F.max(c).alias(c) for c in ("width", "height", "outer", "inner", "pr", "pg", "pb", "pa")])
-    inner_m = F.coalesce("inner", F.lit(0))
-    image_m = F.coalesce("pa", F.lit(0))
-    om = over(F.col("outer"), F.lit(math.floor(255 * opacity / 100)), inner_m)
+    A source pixel knows where it adds to the enlarged outer shape, to the inner shape
+    and to the image, so the three are summed on the target in one grouping."""
+    d = df.withColumns({"_s": as_column(size).cast("long"), "_o": as_column(offset).cast("long"),
+                        "_m": F.coalesce("a", F.lit(255)), "_has": F.col("a").isNotNull()})
+    s, e = F.col("_s"), F.col("_s") + F.col("_o")
+    w, h = F.col("width"), F.col("height")
+    d = d.withColumn("_part", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))  # outer, inner, image
+    part = F.col("_part")
+    grow = F.when(part == 0, 2 * e).otherwise(2 * F.col("_o"))
+    d = d.withColumns({"_tw": w + grow, "_th": h + grow})
+
+    def axis(d, p, size, target, cell, weight):
+        p, size, target = F.col(p), F.col(size), F.col(target)
+        lo, hi = G.linear_span(p, size, target)
+        span = F.when(part < 2, F.sequence(lo.cast("int"), hi.cast("int"))).otherwise(F.array(p))
+        d = d.withColumn(cell, F.explode(span))
+        k = F.when(part < 2, G.linear_weight(p, size, target, F.col(cell))).otherwise(F.lit(1))
+        return d.withColumn(weight, k.cast("long")).filter(F.col(weight) > 0)
+
+    d = axis(axis(d, "x", "width", "_tw", "_x", "_kx"), "y", "height", "_th", "_y", "_ky")
+    # Inner and image are moved to their place in the outer frame.
+    shift = F.when(part == 0, F.lit(0)).when(part == 1, s).otherwise(e)
+    sums = lambda n: F.sum(F.when(part == n, F.col("_m") * F.col("_kx") * F.col("_ky")))
+    whole = lambda n: F.max(F.when(part == n, 4 * F.col("_tw") * F.col("_th")))
+    one = d.groupBy(
+        "image_id", (w + 2 * e).alias("width"), (h + 2 * e).alias("height"),
+        (F.col("_x") + shift).alias("x"), (F.col("_y") + shift).alias("y"), "_has",
+    ).agg(
+        F.floor(sums(0) / whole(0)).alias("outer"), F.coalesce(F.floor(sums(1) / whole(1)), F.lit(0)).alias("inner"),
+        F.coalesce(F.max(F.when(part == 2, F.col("_m"))), F.lit(0)).alias("image"),
+        *[F.coalesce(F.max(F.when(part == 2, F.col(c))), F.lit(0)).alias("p" + c) for c in RGB],
+    )
+    om = over(F.col("outer"), F.lit(math.floor(255 * opacity / 100)), F.col("inner"))
     if include_image:
-        om = over(om, F.lit(255), image_m)
-    one = one.withColumn("a", om)
+        om = over(om, F.lit(255), F.col("image"))
+    one = one.withColumn("om", om)
     new = {}
     for c, line, body in zip(RGB, rgb_of(color), rgb_of(fill)):
-        v = floor_byte(F.lit(255) + F.col("a") * F.lit(line - 255) / F.lit(255.0))
-        v = over(v, F.lit(body), inner_m)
-        if include_image:
-            v = over(v, F.coalesce("p" + c, F.lit(0)), image_m)
-        new[c] = v
-    return core.integers(one.withColumns(new)).unionByName(opaque)
-
-
-def _inner(alpha_only: DataFrame) -> DataFrame:
-    """Shape enlarged by the offset, moved in by the line width."""
-    o = F.col("_e") - F.col("_s")
-    out = G.scale_bilinear(alpha_only, F.col("width") + 2 * o, F.col("height") + 2 * o, ["_s"])
-    return out.withColumns({"x": F.col("x") + F.col("_s"), "y": F.col("y") + F.col("_s")})
-
-
-def _contour_border(df, size, offset, color, fill, opacity, include_image):
-    a = None if opacity >= 100 else math.floor(255 * opacity / 100)
-    d = df.withColumn("_line", as_column(size).cast("int"))
-    inside = border(d, offset, color=fill, keep_columns=["_line"])
-    if not include_image:
-        inside = inside.withColumns({c: F.lit(v) for c, v in zip(RGB, rgb_of(fill))}).withColumn(
-            "a", F.lit(255 if a is None else a))
-    return border(inside, F.col("_line"), color=color)
+        v = floor_byte(F.lit(255) + F.col("om") * F.lit(line - 255) / F.lit(255.0))
+        v = over(v, F.lit(body), F.col("inner"))
+        new[c] = over(v, F.col("p" + c), F.col("image")) if include_image else v
+    keep_alpha = F.col("_has") if opacity >= 100 else F.lit(True)
+    return core.integers(one.withColumns({**new, "a": F.when(keep_alpha, F.col("om"))}))
 
 
 def round_corners(df: DataFrame, radius, method="Rounded", corners=None, opacity=100, color="#FFFFFF") -> DataFrame:
@@ -257,21 +223,18 @@ def shadow(df: DataFrame, h=5, v=5, border=8, blur=3, back="#FFFFFF", color="#44
     sx, sy = b + F.greatest(hx, zero), b + F.greatest(vy, zero)
     ix, iy = b - F.least(hx, zero), b - F.least(vy, zero)
     m = F.coalesce("a", F.lit(255))
-    none = F.lit(None).cast("int")
-    shade = d.select("image_id", tw.alias("width"), th.alias("height"), (F.col("x") + sx).alias("x"),
-                     (F.col("y") + sy).alias("y"), "_has", m.alias("s"), *[none.alias("p" + c) for c in RGBA])
-    image = d.select("image_id", tw.alias("width"), th.alias("height"), (F.col("x") + ix).alias("x"),
-                     (F.col("y") + iy).alias("y"), "_has", none.alias("s"),
-                     *[F.col(c).alias("p" + c) for c in RGB], m.alias("pa"))
-    keep = ["_hx", "_vy", "_b", "_has"]
-    tx, ty = F.col("tx"), F.col("ty")
-    under = (tx >= sx) & (tx < sx + w) & (ty >= sy) & (ty < sy + hgt)
-    on = (tx >= ix) & (tx < ix + w) & (ty >= iy) & (ty < iy + hgt)
-    rest = core.target_grid(d, tw, th, keep).filter(~under & ~on).select(
-        "image_id", F.col("tw").alias("width"), F.col("th").alias("height"), tx.alias("x"), ty.alias("y"),
-        "_has", none.alias("s"), *[none.alias("p" + c) for c in RGBA])
-    one = shade.unionByName(image).unionByName(rest).groupBy("image_id", "width", "height", "x", "y", "_has").agg(
-        F.coalesce(F.max("s"), zero).alias("s"), *[F.max("p" + c).alias("p" + c) for c in RGBA])
+    within = lambda tx, ty, x0, y0: (tx >= x0) & (tx < x0 + w) & (ty >= y0) & (ty < y0 + hgt)
+    rest = lambda tx, ty: ~within(tx, ty, sx, sy) & ~within(tx, ty, ix, iy)
+    d = core.copies_and_fill(d, tw, th, F.array(F.lit(0), F.lit(1)), rest)  # 0 shade, 1 image
+    copy = F.col(core.OWN)
+    at = lambda p, s, i, t: F.when(copy == 0, F.col(p) + s).when(copy == 1, F.col(p) + i).otherwise(F.col(t))
+    one = d.groupBy(
+        "image_id", F.col("_tw").alias("width"), F.col("_th").alias("height"),
+        at("x", sx, ix, "_tx").alias("x"), at("y", sy, iy, "_ty").alias("y"), "_has",
+    ).agg(
+        F.coalesce(F.max(F.when(copy == 0, m)), zero).alias("s"),
+        *[F.max(F.when(copy == 1, F.col(c))).alias("p" + c) for c in RGB], F.max(F.when(copy == 1, m)).alias("pa"),
+    )
     # The blur runs on band a; the image waits in extra columns.
     stage = one.withColumns({"a": F.col("s"), **{c: F.lit(0) for c in RGB}})
     blurred = N.filtered(stage, 5, lambda sq, band: N.convolve(sq, "blur"), ("a",), blur,
@@ -295,7 +258,7 @@ def reflection(df: DataFrame, depth, gap=0, opacity=60, color="#FFFFFF", back_op
                blur=False, scale=False, method="area") -> DataFrame:
     """Fading mirror image below.  Without blur or scaling nothing is shuffled."""
     o, bo = math.floor(255 * opacity / 100), math.floor(255 * back_opacity / 100)
-    base = _solid(color, None if bo == 255 else bo)
+    base = core.solid(color, None if bo == 255 else bo)
     w, hgt = F.col("width"), F.col("height")
     d = df.withColumns({"_d": F.least(hgt, as_column(depth).cast("int")), "_g": as_column(gap).cast("int"), "_h": hgt})
     has = F.col("a").isNotNull()
@@ -306,34 +269,40 @@ def reflection(df: DataFrame, depth, gap=0, opacity=60, color="#FFFFFF", back_op
 
     top = paste(dst, src, m, same_size=False)
     top.setdefault("a", F.lit(None).cast("int"))
-    upper = G.moved(d.withColumns(top), F.col("x"), F.col("y"), w, th)
-
     if bo > 0:
         under = paste(dst, src, m, same_size=True)
         face = {**{c: F.when(has, under[c]).otherwise(F.col(c)) for c in RGB},
                 "a": F.when(has, under.get("a", F.lit(255))).otherwise(F.lit(255))}
     else:
-        face = {"a": m}
-    flipped = d.withColumns(face).withColumn("y", hgt - 1 - F.col("y"))
-    if scale or blur:
-        facts = ["_d", "_g", "_h"]
-        if scale:
-            plain = G.METHODS[method](flipped, w, F.col("_d"), facts)
-        else:
-            plain = G.moved(flipped.filter(F.col("y") < F.col("_d")), F.col("x"), F.col("y"), w, F.col("_d"), facts)
-        lower = N.effect(plain, "blur", extra=facts) if blur else plain
+        face = {**src, "a": m}
+
+    def faded(values, k):
+        """A reflected pixel of line k below the gap, on the background."""
+        f = F.floor(F.lit(float(o)) * (F.col("_d") - k) / F.col("_d")).cast("int")
+        out = {c: over(base[c], values[c], f) for c in RGB}
+        out["a"] = F.lit(None).cast("int") if bo == 255 else over(F.lit(bo), values["a"], f)
+        return out
+
+    x, y = F.col("x"), F.col("y")
+    gap_line = lambda tx, ty: (ty >= hgt) & (ty < hgt + F.col("_g"))
+    if not (scale or blur):
+        k = hgt - 1 - y
+        copies = F.when(k < F.col("_d"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        d = core.copies_and_fill(d, w, th, copies, gap_line)
+        low, second = faded(face, k), F.col(core.OWN) == 1
+        own = {c: F.when(second, low[c]).otherwise(top[c]) for c in RGBA}
+        return core.place_copies(d, x, F.when(second, hgt + F.col("_g") + k).otherwise(y), own, base)
+    upper = core.place_copies(core.copies_and_fill(d, w, th, F.array(F.lit(0)), gap_line), x, y, top, base)
+    flipped = d.withColumns(face).withColumn("y", hgt - 1 - y)
+    facts = ["_d", "_g", "_h"]
+    if scale:
+        plain = G.METHODS[method](flipped, w, F.col("_d"), facts)
     else:
-        lower = flipped.filter(F.col("y") < F.col("_d"))
-    fade = F.floor(F.lit(float(o)) * (F.col("_d") - F.col("y")) / F.col("_d")).cast("int")
-    lower = lower.withColumn("_f", fade)
-    shown = {c: over(base[c], F.col(c), F.col("_f")) for c in RGB}
-    shown["a"] = F.lit(None).cast("int") if bo == 255 else over(F.lit(bo), F.col("a"), F.col("_f"))
-    lower = G.moved(lower.withColumns(shown), F.col("x"), F.col("y") + F.col("_h") + F.col("_g"),
-                    w, F.col("_h") + F.col("_g") + F.col("_d"))
-    ty = F.col("ty")
-    between = _rect(d, w, th, ["_g", "_d"], color, base["a"],
-                    (ty >= hgt) & (ty < hgt + F.col("_g")))
-    return upper.unionByName(between).unionByName(lower)
+        plain = G.moved(flipped.filter(y < F.col("_d")), x, y, w, F.col("_d"), facts)
+    lower = N.effect(plain, "blur", extra=facts) if blur else plain
+    lower = lower.withColumns(faded(core.bands(), y))
+    lower = G.moved(lower, x, y + F.col("_h") + F.col("_g"), w, F.col("_h") + F.col("_g") + F.col("_d"))
+    return upper.unionByName(lower)
 
 
 def checkerboard(df: DataFrame, size=8, light="#FFFFFF", dark="#CCCCCC") -> DataFrame:

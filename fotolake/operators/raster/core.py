@@ -75,17 +75,20 @@ def line_heads(df: DataFrame) -> DataFrame:
     return df.filter(F.col("x") == 0)
 
 
+def _share_of_lines(th: Column) -> tuple[Column, Column]:
+    """First and last target line a source line answers for: its proportional share, so a
+    large target is spread like its source."""
+    y, h = F.col("y").cast("long"), F.col("height")
+    return F.ceil(y * th / h).cast("int"), (F.ceil((y + 1) * th / h) - 1).cast("int")
+
+
 def target_grid(df: DataFrame, tw, th, keep: list[str] | None = None) -> DataFrame:
-    """All pixels (tx, ty) of each image's tw x th target.  Each source line emits its
-    proportional share of target lines, so a large target is spread like its source."""
-    tw, th = as_column(tw), as_column(th)
+    """All pixels (tx, ty) of each image's tw x th target, from one row per source line."""
     heads = line_heads(df).select(
         "image_id", "width", "height", "y", *(keep or []),
-        tw.cast("int").alias("tw"), th.cast("int").alias("th"),
+        as_column(tw).cast("int").alias("tw"), as_column(th).cast("int").alias("th"),
     )
-    y, h, th = F.col("y").cast("long"), F.col("height"), F.col("th")
-    lo = F.ceil(y * th / h).cast("int")
-    hi = (F.ceil((y + 1) * th / h) - 1).cast("int")
+    lo, hi = _share_of_lines(F.col("th"))
     return (
         heads.withColumns({"_lo": lo, "_hi": hi})
         .filter((F.col("_lo") <= F.col("_hi")) & (F.col("tw") > 0))
@@ -95,18 +98,46 @@ def target_grid(df: DataFrame, tw, th, keep: list[str] | None = None) -> DataFra
     )
 
 
-def fill_outside(df: DataFrame, tw, th, covered, color: str, alpha: Column | int | None) -> DataFrame:
-    """Background pixels: the target grid without what ``covered(tx, ty)`` says is there."""
-    r, g, b = rgb_of(color)
-    grid = target_grid(df, tw, th).filter(~covered(F.col("tx"), F.col("ty")))
-    alpha = F.lit(None) if alpha is None else as_column(alpha)
-    return integers(
-        grid.select(
-            "image_id", F.col("tw").alias("width"), F.col("th").alias("height"),
-            F.col("tx").alias("x"), F.col("ty").alias("y"),
-            F.lit(r).alias("r"), F.lit(g).alias("g"), F.lit(b).alias("b"), alpha.alias("a"),
-        )
-    )
+OWN = "_copy"  # number of the copy of a source pixel, -1 on a filled-in pixel
+
+
+def copies_and_fill(df: DataFrame, tw, th, copies: Column, fill_where) -> DataFrame:
+    """Each pixel becomes one row per entry of ``copies`` (small ints), and the first pixel
+    of a line also emits the target pixels (_tx, _ty) for which ``fill_where`` holds.  One
+    pass over the source: nothing before this is computed twice."""
+    d = df.withColumns({"_tw": as_column(tw).cast("int"), "_th": as_column(th).cast("int")})
+    lo, hi = _share_of_lines(F.col("_th"))
+    head = (F.col("x") == 0) & (lo <= hi) & (F.col("_tw") > 0)
+    lines = F.when(head, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+    # Copies are coded below zero, so that one array of ints holds both.
+    codes = F.concat(F.transform(copies, lambda k: -1 - k), lines)
+    d = d.withColumn("_ty", F.explode(codes))
+    here = F.when(F.col("_ty") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("_tw") - 1))
+    d = d.withColumn("_tx", F.explode(here))
+    d = d.filter((F.col("_ty") < 0) | fill_where(F.col("_tx"), F.col("_ty")))
+    return d.withColumn(OWN, F.when(F.col("_ty") < 0, -1 - F.col("_ty")).otherwise(F.lit(-1)))
+
+
+def either(own: Column, filled: Column) -> Column:
+    return F.when(F.col(OWN) >= 0, own).otherwise(filled)
+
+
+def place_copies(d: DataFrame, x: Column, y: Column, own: dict[str, Column], filled: dict[str, Column],
+                 keep=()) -> DataFrame:
+    """Pixel table of ``copies_and_fill`` rows: positions and bands of copies, and the
+    solid values of filled-in pixels."""
+    return integers(d.select(
+        "image_id", F.col("_tw").alias("width"), F.col("_th").alias("height"),
+        either(x, F.col("_tx")).alias("x"), either(y, F.col("_ty")).alias("y"),
+        *[either(own[c], filled[c]).alias(c) for c in RGBA], *keep), keep)
+
+
+def solid(color: str, alpha=None) -> dict[str, Column]:
+    return {**{c: F.lit(v) for c, v in zip(RGB, rgb_of(color))}, "a": as_column(alpha).cast("int")}
+
+
+def bands() -> dict[str, Column]:
+    return {c: F.col(c) for c in RGBA}
 
 
 def per_band(df: DataFrame, fn, bands=RGB) -> DataFrame:

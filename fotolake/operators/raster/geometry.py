@@ -122,30 +122,20 @@ def mirror(df: DataFrame, direction="Both") -> DataFrame:
 
 
 def grid(df: DataFrame, cols=2, rows=2, col_line=0, row_line=0, color="#FFFFFF", opacity=0, scale=False) -> DataFrame:
-    """cols x rows copies with gaps.  Gap pixels are emitted line by line, without a join."""
+    """cols x rows copies with gaps of a colour."""
     if cols == 1 and rows == 1:
         return df
     df = df.withColumns({"_cl": as_column(col_line).cast("int"), "_rl": as_column(row_line).cast("int")})
     if scale:
         s = F.lit(math.sqrt(cols * rows))
         df = scale_area(df, F.floor(_c("width") / s), F.floor(_c("height") / s), ["_cl", "_rl"])
-    cl, rl = _c("_cl"), _c("_rl")
-    dx, dy = _c("width") + cl, _c("height") + rl
-    tw, th = dx * cols - cl, dy * rows - rl
-    copies = (
-        df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
-        .withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    )
-    out = moved(copies, _c("x") + _c("_i") * dx, _c("y") + _c("_j") * dy, tw, th)
-    alpha = math.floor(255 * opacity / 100)
-    heads = df.withColumns({"_a": F.when(_c("a").isNotNull(), F.lit(alpha)), "_dx": dx, "_dy": dy})
-    lines = core.target_grid(heads, tw, th, ["_a", "_dx", "_dy"]).filter(
-        (F.pmod(_c("tx"), _c("_dx")) >= _c("width")) | (F.pmod(_c("ty"), _c("_dy")) >= _c("height")))
-    r, g, b = rgb_of(color)
-    gaps = core.integers(lines.select(
-        "image_id", _c("tw").alias("width"), _c("th").alias("height"), _c("tx").alias("x"), _c("ty").alias("y"),
-        F.lit(r).alias("r"), F.lit(g).alias("g"), F.lit(b).alias("b"), _c("_a").alias("a")))
-    return out.unionByName(gaps)
+    dx, dy = _c("width") + _c("_cl"), _c("height") + _c("_rl")
+    gap = lambda tx, ty: (F.pmod(tx, dx) >= _c("width")) | (F.pmod(ty, dy) >= _c("height"))
+    spots = F.sequence(F.lit(0), F.lit(cols * rows - 1))
+    d = core.copies_and_fill(df, dx * cols - _c("_cl"), dy * rows - _c("_rl"), spots, gap)
+    alpha = F.when(_c("a").isNotNull(), F.lit(math.floor(255 * opacity / 100)))
+    i, j = F.pmod(_c(core.OWN), F.lit(cols)), F.floor(_c(core.OWN) / F.lit(cols))
+    return core.place_copies(d, _c("x") + i * dx, _c("y") + j * dy, core.bands(), core.solid(color, alpha))
 
 
 def canvas(df: DataFrame, w, h, align_h=50, align_v=50, color="#FFFFFF", opacity=0) -> DataFrame:
@@ -157,26 +147,20 @@ def canvas(df: DataFrame, w, h, align_h=50, align_v=50, color="#FFFFFF", opacity
     ox = trunc(as_column(align_h) * (w - _c("width")) / F.lit(100.0))
     oy = trunc(as_column(align_v) * (h - _c("height")) / F.lit(100.0))
     a = math.floor(255 * opacity / 100)
-    src = df.withColumns({"_w": w.cast("int"), "_h": h.cast("int"), "_ox": ox, "_oy": oy,
-                          "_a": F.when(_c("a").isNotNull(), F.lit(a))})
+    src = df.withColumns({"_ox": ox, "_oy": oy})
+    outside = lambda tx, ty: (
+        (tx < _c("_ox")) | (tx >= _c("_ox") + _c("width")) | (ty < _c("_oy")) | (ty >= _c("_oy") + _c("height")))
     x, y = _c("x") + _c("_ox"), _c("y") + _c("_oy")
-    inside = src.filter((x >= 0) & (x < _c("_w")) & (y >= 0) & (y < _c("_h")))
+    inside = (x >= 0) & (x < w.cast("int")) & (y >= 0) & (y < h.cast("int"))
+    one = F.when(inside, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    d = core.copies_and_fill(src, w, h, one, outside)
+    own = core.bands()
     if opacity > 0:
         m = F.coalesce("a", F.lit(255))
-        back = dict(zip("rgb", rgb_of(color)))
-        same = (_c("_w") == _c("width")) & (_c("_h") == _c("height"))
-        inside = inside.withColumns({
-            **{c: F.when(same, _c(c)).otherwise(over(F.lit(v), _c(c), m)) for c, v in back.items()},
-            "a": F.when(same, _c("a")).otherwise(F.when(_c("a").isNotNull(), over(F.lit(a), F.lit(255), m))),
-        })
-    out = moved(inside, x, y, _c("_w"), _c("_h"))
-    new = core.target_grid(src, _c("_w"), _c("_h"), ["_ox", "_oy", "_a"]).filter(
-        (_c("tx") < _c("_ox")) | (_c("tx") >= _c("_ox") + _c("width"))
-        | (_c("ty") < _c("_oy")) | (_c("ty") >= _c("_oy") + _c("height")))
-    r, g, b = rgb_of(color)
-    return out.unionByName(core.integers(new.select(
-        "image_id", _c("tw").alias("width"), _c("th").alias("height"), _c("tx").alias("x"), _c("ty").alias("y"),
-        F.lit(r).alias("r"), F.lit(g).alias("g"), F.lit(b).alias("b"), _c("_a").alias("a"))))
+        same = (_c("_tw") == _c("width")) & (_c("_th") == _c("height"))
+        own = {c: F.when(same, _c(c)).otherwise(over(F.lit(v), _c(c), m)) for c, v in zip("rgb", rgb_of(color))}
+        own["a"] = F.when(same | _c("a").isNull(), _c("a")).otherwise(over(F.lit(a), F.lit(255), m))
+    return core.place_copies(d, x, y, own, core.solid(color, F.when(_c("a").isNotNull(), F.lit(a))))
 
 
 # ---- resampling ----
@@ -213,42 +197,52 @@ def _weighted(d: DataFrame, total: Column, keep=()) -> DataFrame:
     return core.integers(sums.withColumns({c: F.floor(_c(c) / _c("_total")) for c in RGBA}), keep)
 
 
-def scale_area(df: DataFrame, tw, th, keep=()) -> DataFrame:
-    """Area average, the choice for making smaller."""
-    d = _sized(df, tw, th)
+def _resample(df: DataFrame, tw, th, by_area: Column, keep=()) -> DataFrame:
+    """Weighted sum of source pixels on each target pixel, one pass and one shuffle.
+    Per image ``by_area`` picks the area average or the linear weights."""
+    d = _sized(df, tw, th).withColumn("_area", by_area)
+    area = _c("_area")
 
-    def span(p, size, target):
-        return _cells(F.floor(p * target / size), F.floor(((p + 1) * target - 1) / size))
+    def area_span(p, size, target):
+        return F.floor(p * target / size), F.floor(((p + 1) * target - 1) / size)
 
-    def overlap(p, size, target, cell):
+    def area_weight(p, size, target, cell):
         return F.least((p + 1) * target, (cell + 1) * size) - F.greatest(p * target, cell * size)
 
-    d = d.withColumn("_x", F.explode(span(_c("x"), _c("width"), _c("_tw")))).withColumn(
-        "_y", F.explode(span(_c("y"), _c("height"), _c("_th"))))
-    k = overlap(_c("x"), _c("width"), _c("_tw"), _c("_x")) * overlap(_c("y"), _c("height"), _c("_th"), _c("_y"))
-    return _weighted(d.withColumn("_k", k.cast("long")), _c("width").cast("long") * _c("height"), keep)
+    def axis(d, p, size, target, cell, weight):
+        p, size, target = _c(p), _c(size), _c(target)
+        (alo, ahi), (llo, lhi) = area_span(p, size, target), linear_span(p, size, target)
+        d = d.withColumn(cell, F.explode(_cells(F.when(area, alo).otherwise(llo), F.when(area, ahi).otherwise(lhi))))
+        w = F.when(area, area_weight(p, size, target, _c(cell))).otherwise(linear_weight(p, size, target, _c(cell)))
+        return d.withColumn(weight, w.cast("long")).filter(_c(weight) > 0)
 
+    d = axis(d, "x", "width", "_tw", "_x", "_kx")
+    d = axis(d, "y", "height", "_th", "_y", "_ky")
+    total = F.when(area, _c("width").cast("long") * _c("height")).otherwise(4 * _c("_tw") * _c("_th"))
+    return _weighted(d.withColumn("_k", _c("_kx") * _c("_ky")), total, keep)
 
-def scale_bilinear(df: DataFrame, tw, th, keep=()) -> DataFrame:
-    """Linear between the four nearest centres, edges replicated."""
-    d = _sized(df, tw, th)
 
-    def span(p, size, target):
-        lo = F.when(p == 0, F.lit(0)).otherwise(F.floor(((p - 1) * 2 * target + target - size) / (2 * size)))
-        hi = F.when(p == size - 1, target - 1).otherwise(F.ceil(((p + 1) * 2 * target + target - size) / (2 * size)))
-        return _cells(F.greatest(lo, F.lit(0)), F.least(hi, target - 1))
+def linear_span(p, size, target):
+    """First and last target cell a source pixel has linear weight on."""
+    lo = F.when(p == 0, F.lit(0)).otherwise(F.floor(((p - 1) * 2 * target + target - size) / (2 * size)))
+    hi = F.when(p == size - 1, target - 1).otherwise(F.ceil(((p + 1) * 2 * target + target - size) / (2 * size)))
+    return F.greatest(lo, F.lit(0)), F.least(hi, target - 1)
 
-    def tent(p, size, target, cell):
-        at = F.least(F.greatest((2 * cell + 1) * size - target, F.lit(0)), 2 * target * (size - 1))
-        return F.greatest(2 * target - F.abs(at - 2 * target * p), F.lit(0))
 
-    d = (
-        d.withColumn("_x", F.explode(span(_c("x"), _c("width"), _c("_tw"))))
-        .withColumn("_kx", tent(_c("x"), _c("width"), _c("_tw"), _c("_x"))).filter("_kx > 0")
-        .withColumn("_y", F.explode(span(_c("y"), _c("height"), _c("_th"))))
-        .withColumn("_k", _c("_kx") * tent(_c("y"), _c("height"), _c("_th"), _c("_y"))).filter("_k > 0")
-    )
-    return _weighted(d, 4 * _c("_tw") * _c("_th"), keep)
+def linear_weight(p, size, target, cell):
+    """Weight in units of 1 / (2 * target); centres beyond the edge repeat it."""
+    at = F.least(F.greatest((2 * cell + 1) * size - target, F.lit(0)), 2 * target * (size - 1))
+    return F.greatest(2 * target - F.abs(at - 2 * target * p), F.lit(0))
+
+
+def scale_area(df: DataFrame, tw, th, keep=()) -> DataFrame:
+    """Area average, the choice for making smaller."""
+    return _resample(df, tw, th, F.lit(True), keep)
+
+
+def scale_bilinear(df: DataFrame, tw, th, keep=()) -> DataFrame:
+    """Linear between the four nearest centres, edges replicated."""
+    return _resample(df, tw, th, F.lit(False), keep)
 
 
 METHODS = {"nearest": scale_nearest, "area": scale_area, "antialias": scale_area,
@@ -259,12 +253,8 @@ def resize(df: DataFrame, tw, th, method="automatic") -> DataFrame:
     """``automatic``: area where an image gets smaller both ways, else bilinear."""
     if method != "automatic":
         return METHODS[method](df, tw, th)
-    d = _sized(df, tw, th)
-    smaller = (_c("_tw") < _c("width")) & (_c("_th") < _c("height"))
-    if isinstance(tw, int) and isinstance(th, int) and tw == th == 1:
-        return scale_area(df, tw, th)
-    small = scale_area(d.filter(smaller), _c("_tw"), _c("_th"))
-    return small.unionByName(scale_bilinear(d.filter(~smaller), _c("_tw"), _c("_th")))
+    smaller = (as_column(tw) < _c("width")) & (as_column(th) < _c("height"))
+    return _resample(df, tw, th, smaller)
 
 
 def scale(df: DataFrame, w, h, constrain=True, method="automatic", down_only=False) -> DataFrame:
@@ -331,48 +321,42 @@ def rotate(df: DataFrame, angle: float, resample="nearest", expand=False, amount
     tw, th = _turned_size(w, h, c, s, expand)
     # Background below full opacity needs an alpha band.
     a = F.when((F.lit(opacity) != 100) | (F.lit(color) != F.lit("#000000")), F.coalesce("a", F.lit(255))).otherwise(_c("a"))
-    turned = df.withColumns({"a": a, "_tw": tw.cast("int"), "_th": th.cast("int")})
+    turned = df.withColumn("a", a)
 
-    def source(tx, ty, w_, h_, tw_, th_):
-        dx = tx + F.lit(0.5) - tw_ / F.lit(2.0)
-        dy = ty + F.lit(0.5) - th_ / F.lit(2.0)
-        return C * dx - S * dy + w_ / F.lit(2.0), S * dx + C * dy + h_ / F.lit(2.0)
+    def source(tx, ty):
+        dx, dy = tx + F.lit(0.5) - _c("_tw") / F.lit(2.0), ty + F.lit(0.5) - _c("_th") / F.lit(2.0)
+        return C * dx - S * dy + w / F.lit(2.0), S * dx + C * dy + h / F.lit(2.0)
+
+    def in_range(tx, ty):
+        u, v = source(tx, ty)
+        return (u >= 0) & (u < w) & (v >= 0) & (v < h)
 
-    back = math.floor(255 * opacity / 100)
     reach = 1 if resample == "nearest" else 2
+    side = 2 * reach + 1
+    near = F.sequence(F.lit(0), F.lit(side * side - 1))
+    d = core.copies_and_fill(turned, tw, th, near, lambda tx, ty: ~in_range(tx, ty))
     fx, fy = _c("x") + F.lit(0.5) - w / F.lit(2.0), _c("y") + F.lit(0.5) - h / F.lit(2.0)
-    near = F.sequence(F.lit(-reach), F.lit(reach))
-    d = turned.withColumns({
-        "_cx": F.floor(C * fx + S * fy + _c("_tw") / F.lit(2.0)).cast("int"),
-        "_cy": F.floor(-S * fx + C * fy + _c("_th") / F.lit(2.0)).cast("int"),
-    })
-    d = (
-        d.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near))
-        .withColumns({"_x": _c("_cx") + _c("_dx"), "_y": _c("_cy") + _c("_dy")})
-        .filter((_c("_x") >= 0) & (_c("_x") < _c("_tw")) & (_c("_y") >= 0) & (_c("_y") < _c("_th")))
-    )
-    u, v = source(_c("_x"), _c("_y"), w, h, _c("_tw"), _c("_th"))
-    in_range = lambda u_, v_, w_, h_: (u_ >= 0) & (u_ < w_) & (v_ >= 0) & (v_ < h_)
+    own = _c(core.OWN) >= 0
+    cx = F.floor(C * fx + S * fy + _c("_tw") / F.lit(2.0)) + F.pmod(_c(core.OWN), F.lit(side)) - reach
+    cy = F.floor(-S * fx + C * fy + _c("_th") / F.lit(2.0)) + F.floor(_c(core.OWN) / F.lit(side)) - reach
+    d = d.withColumns({"_x": core.either(cx, _c("_tx")).cast("int"), "_y": core.either(cy, _c("_ty")).cast("int")})
+    d = d.filter((_c("_x") >= 0) & (_c("_x") < _c("_tw")) & (_c("_y") >= 0) & (_c("_y") < _c("_th")))
+    u, v = source(_c("_x"), _c("_y"))
+    back = math.floor(255 * opacity / 100)
+    empty = core.solid(color, F.when(_c("a").isNotNull(), F.lit(back)))
     if resample == "nearest":
-        hit = d.filter((F.floor(u) == _c("x")) & (F.floor(v) == _c("y")))
-        shown = moved(hit, _c("_x"), _c("_y"), _c("_tw"), _c("_th"))
+        hit = d.filter(~own | ((F.floor(u) == _c("x")) & (F.floor(v) == _c("y"))))
+        out = core.place_copies(hit, _c("_x"), _c("_y"), core.bands(), empty)
     else:
         # 1/256 steps keep the weights whole; centres beyond the edge repeat it.
         def tent(pos, p, size):
             q = F.least(F.greatest(F.floor((pos - F.lit(0.5)) * F.lit(256.0)), F.lit(0)), (size - 1) * 256)
             return F.greatest(F.lit(256) - F.abs(q - p * 256), F.lit(0))
 
-        k = tent(u, _c("x"), w) * tent(v, _c("y"), h)
-        part = d.filter(in_range(u, v, w, h)).withColumn("_k", k.cast("long")).filter("_k > 0")
-        shown = _weighted(part, F.lit(65536))
-    grid = core.target_grid(turned, _c("_tw"), _c("_th"), ["a"])
-    gu, gv = source(_c("tx"), _c("ty"), _c("width"), _c("height"), _c("tw"), _c("th"))
-    r, g, b = rgb_of(color)
-    empty = core.integers(grid.filter(~in_range(gu, gv, _c("width"), _c("height"))).select(
-        "image_id", _c("tw").alias("width"), _c("th").alias("height"), _c("tx").alias("x"), _c("ty").alias("y"),
-        F.lit(r).alias("r"), F.lit(g).alias("g"), F.lit(b).alias("b"),
-        F.when(_c("a").isNotNull(), F.lit(back)).alias("a")))
-    out = shown.unionByName(empty)
+        k = F.when(in_range(_c("_x"), _c("_y")), tent(u, _c("x"), w) * tent(v, _c("y"), h)).otherwise(F.lit(0))
+        part = d.withColumn("_k", core.either(k, F.lit(65536)).cast("long")).filter("_k > 0")
+        part = part.withColumns({c: core.either(_c(c), empty[c]) for c in RGBA})
+        out = _weighted(part, F.lit(65536))
     return out if amount >= 100 else blend_images(df, out, amount, color, back)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, SparkSession, functions as F
 from ..functions import templates as TP
 from ..functions.paths import IMAGE_EXTENSIONS
 from ..functions.pixels import rgb_of
-from ..functions.units import length_px, size_bytes
+from ..functions.units import LENGTH, SIZE, length_px, size_bytes
 
 TRUE, FALSE = ("1", "yes", "true", "on"), ("0", "no", "false", "off")
 TAG_LIKE = r"^(Exif|Iptc)_\w+$"
@@ -75,7 +75,12 @@ class Param:
         bad = TP.check_template(str(text), variables)
         if bad:
             return [f"{self.label}: {b}" for b in bad]
-        if "<" in str(text) or self.kind in ("length", "size", "dpi", "text"):
+        if self.kind in ("length", "size", "dpi"):
+            # With every part read as a number the text must be a length or size.
+            shape = TP.PART.sub("1", str(text))
+            good = re.match(SIZE if self.kind == "size" else LENGTH, shape)
+            return [] if good else [f"{self.label}: {text!r} is not a {self.kind}"]
+        if "<" in str(text) or self.kind == "text":
             return []
         try:
             self.constant(text)

@@ -15,6 +15,7 @@ from ..functions.templates import check_template, required_vars, template
 from ..functions.units import length_px, place, position_preset
 from ..operators import catalog as C, export as E, geo, tags as T
 from ..operators.raster import composite as K, core
+from ..session import checkpointed
 from .actions import ACTIONS, Action
 from .params import InvalidField
 
@@ -48,6 +49,7 @@ class Settings:
     repeat: int = 1
     dpi: int = 72
     desktop: str = "/desktop"               # what <desktop> stands for
+    materialize: bool = True                # checkpoint where a table is read more than once
 
 
 @dataclass
@@ -162,14 +164,22 @@ def _with_variables(pixels: DataFrame, files: DataFrame, names: set[str], settin
     return out
 
 
-def _bad_rows(values: dict) -> Column | None:
-    cols = [v.isNull() for v in values.values() if isinstance(v, Column)]
+# Actions that read their input twice: an aggregate or a second image is joined back.
+READ_TWICE = {"Contrast", "Auto Contrast", "Equalize", "Crop", "Color to Alpha", "Transpose", "Rotate",
+              "Perspective", "Tamogen"}
+
+
+def _bad_rows(values: dict, texts: dict) -> Column | None:
+    """Rows without a value.  Constants and sizes were checked before the run; only fields
+    that read file variables or tags can lack one."""
+    cols = [v.isNull() for k, v in values.items()
+            if isinstance(v, Column) and required_vars(str(texts[k])) - SIZE_VARS]
     return reduce(lambda a, b: a | b, cols) if cols else None
 
 
 class Runner:
-    """Folds the steps over the tables.  Everything stays lazy; only the ``stop`` policy
-    looks at the images early, at most one bad row."""
+    """Folds the steps over the tables.  Steps stay lazy up to a table that is read twice,
+    which is written once; the ``stop`` policy looks for one bad row."""
 
     def __init__(self, batch: Batch, settings: Settings):
         self.settings = settings
@@ -178,10 +188,11 @@ class Runner:
             if "desktop" not in batch.files.columns else batch.files
         self.pixels = batch.pixels
         self.result = Result(self.files, self.pixels, [], [], [], [], [])
+        self.pending = 0  # pixel steps since the pixels were last written
 
-    def _guard(self, label: str, table: DataFrame, values: dict, per_image: DataFrame):
+    def _guard(self, label: str, table: DataFrame, values: dict, texts: dict, per_image: DataFrame):
         """Apply the error policy to images whose column values are missing."""
-        bad = _bad_rows(values)
+        bad = _bad_rows(values, texts)
         if bad is None:
             return table, None
         failed = per_image.filter(bad)
@@ -201,11 +212,13 @@ class Runner:
     def _pixels(self, step: Step) -> None:
         if self.pixels is None:
             raise InvalidPlan([f"{step.action.label} needs pixels"])
+        if step.action.label in READ_TWICE:
+            self._materialize()
         names = reduce(set.union, (required_vars(str(t)) for t in step.texts.values()), set())
         table = _with_variables(self.pixels, self.files, names, self.settings)
         variables = set(table.columns)
         values = {k: p.value(step.texts[k], variables) for k, p in step.action.params.items()}
-        table, untouched = self._guard(step.action.label, table, values, _corner(table))
+        table, untouched = self._guard(step.action.label, table, values, step.texts, _corner(table))
         if step.action.stamp:
             needed = not (step.action.label == "Background" and step.texts.get("fill") == "Color")
             pixels = self.batch.stamps.get(step.stamp)
@@ -216,13 +229,20 @@ class Runner:
         if untouched is not None:
             out = out.unionByName(untouched.select(*core.COLUMNS))
         self.pixels = out
+        self.pending += 1
+
+    def _materialize(self) -> None:
+        """Write the pixels to the shared checkpoint folder, so that what follows reads
+        them instead of repeating the steps before."""
+        if self.settings.materialize and self.pending:
+            self.pixels, self.pending = checkpointed(self.pixels), 0
 
     def _files(self, step: Step) -> None:
         if step.action.label == "Geotag":
             return self._geotag(step)
         variables = set(self.files.columns)
         values = {k: p.value(step.texts[k], variables) for k, p in step.action.params.items()}
-        table, untouched = self._guard(step.action.label, self.files, values, self.files)
+        table, untouched = self._guard(step.action.label, self.files, values, step.texts, self.files)
         out = step.action.fn(table, **values)
         self.files = out if untouched is None else out.unionByName(untouched)
 
@@ -254,6 +274,8 @@ class Runner:
         self.result.captions.append(caption(self._sized(), self.settings.dpi, **step.texts))
 
     def _output(self, step: Step) -> None:
+        if self.pixels is not None:
+            self._materialize()  # read by the outputs, the export plan and the next steps
         t = step.texts
         plan = E.export_plan(self._sized(), t["name"], t["folder"], t.get("type", "<type>"))
         self.result.issues.append(E.template_issues(plan, step.action.label))
