@@ -1,8 +1,8 @@
 """Global and per-group positions without a single-task window.
 
-Rows are range partitioned on the sort keys, sorted inside each partition and
-checkpointed.  Partition number and position inside it are then stable, so a
-position is the partition's start plus the place in it.  A group holding a large
+Rows are range partitioned on the sort keys, sorted inside each partition and written
+to the shared folder with partition number and place in it.  Both are stable from then
+on, so a position is the partition's start plus the place in it.  A group holding a large
 share of the rows is simply spread over several partitions.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import checkpointed
+from ..session import written
 from .skew import salted_lookup
 
 SLICE = "_slice"
@@ -20,14 +20,9 @@ _PLACE_BITS = 33  # low bits of monotonically_increasing_id hold the row's place
 
 def sliced(df: DataFrame, *keys: Column) -> DataFrame:
     """Range partition and sort by ``keys``; adds the slice number and the place in it."""
-    ranged = checkpointed(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
-    mono = F.monotonically_increasing_id()
-    return (
-        ranged.withColumn("_mono", mono)
-        .withColumn(SLICE, F.shiftright("_mono", _PLACE_BITS).cast("int"))
-        .withColumn(PLACE, F.col("_mono").bitwiseAND((1 << _PLACE_BITS) - 1))
-        .drop("_mono")
-    )
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << _PLACE_BITS) - 1)
+    return written(ranged.withColumns({SLICE: F.spark_partition_id(), PLACE: place}), "sliced")
 
 
 def slice_starts(df: DataFrame) -> DataFrame:

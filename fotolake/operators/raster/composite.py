@@ -151,7 +151,7 @@ def contour(df: DataFrame, size=1, offset=0, color="#000000", fill="#FFFFFF", op
                         "_m": F.coalesce("a", F.lit(255)), "_has": F.col("a").isNotNull()})
     s, e = F.col("_s"), F.col("_s") + F.col("_o")
     w, h = F.col("width"), F.col("height")
-    d = d.withColumn("_part", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))  # outer, inner, image
+    d = d.withColumn("_part", F.explode_outer(F.array(F.lit(0), F.lit(1), F.lit(2))))  # outer, inner, image
     part = F.col("_part")
     grow = F.when(part == 0, 2 * e).otherwise(2 * F.col("_o"))
     d = d.withColumns({"_tw": w + grow, "_th": h + grow})
@@ -160,7 +160,7 @@ def contour(df: DataFrame, size=1, offset=0, color="#000000", fill="#FFFFFF", op
         p, size, target = F.col(p), F.col(size), F.col(target)
         lo, hi = G.linear_span(p, size, target)
         span = F.when(part < 2, F.sequence(lo.cast("int"), hi.cast("int"))).otherwise(F.array(p))
-        d = d.withColumn(cell, F.explode(span))
+        d = d.withColumn(cell, F.explode_outer(span))
         k = F.when(part < 2, G.linear_weight(p, size, target, F.col(cell))).otherwise(F.lit(1))
         return d.withColumn(weight, k.cast("long")).filter(F.col(weight) > 0)
 

@@ -28,7 +28,7 @@ def unpack(rasters: DataFrame) -> DataFrame:
     at = lambda i: F.get("data", k * n + i)
     colour = n >= 3
     return integers(
-        rasters.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1))).select(
+        rasters.withColumn("k", F.explode_outer(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1))).select(
             "image_id", "width", "height",
             F.pmod(k, F.col("width")).alias("x"), F.floor(k / F.col("width")).alias("y"),
             at(0).alias("r"),
@@ -66,7 +66,7 @@ def join_per_image(pixels: DataFrame, facts: DataFrame, how: str = "inner", on:
     """Join rows keyed by image (and ``on``).  The key gets the tile number, and a fact is
     repeated once per tile of its image, so the copies grow only with the image."""
     last = F.floor((F.col("width").cast("long") * F.col("height") - 1) / F.lit(TILE)).cast("int")
-    spread = facts.withColumn("_tile", F.explode(F.sequence(F.lit(0), last))).drop("width", "height")
+    spread = facts.withColumn("_tile", F.explode_outer(F.sequence(F.lit(0), last))).drop("width", "height")
     return pixels.withColumn("_tile", tile_of()).join(spread, ["image_id", "_tile", *on], how).drop("_tile")
 
 
@@ -92,8 +92,8 @@ def target_grid(df: DataFrame, tw, th, keep: list[str] | None = None) -> DataFra
     return (
         heads.withColumns({"_lo": lo, "_hi": hi})
         .filter((F.col("_lo") <= F.col("_hi")) & (F.col("tw") > 0))
-        .withColumn("ty", F.explode(F.sequence("_lo", "_hi")))
-        .withColumn("tx", F.explode(F.sequence(F.lit(0), F.col("tw") - 1)))
+        .withColumn("ty", F.explode_outer(F.sequence("_lo", "_hi")))
+        .withColumn("tx", F.explode_outer(F.sequence(F.lit(0), F.col("tw") - 1)))
         .drop("_lo", "_hi", "y")
     )
 
@@ -111,9 +111,11 @@ def copies_and_fill(df: DataFrame, tw, th, copies: Column, fill_where) -> DataFr
     lines = F.when(head, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
     # Copies are coded below zero, so that one array of ints holds both.
     codes = F.concat(F.transform(copies, lambda k: -1 - k), lines)
-    d = d.withColumn("_ty", F.explode(codes))
+    # explode_outer throughout: explode would first filter on the array's size and so
+    # compute the array again; its NULL rows are dropped here.
+    d = d.withColumn("_ty", F.explode_outer(codes)).filter(F.col("_ty").isNotNull())
     here = F.when(F.col("_ty") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("_tw") - 1))
-    d = d.withColumn("_tx", F.explode(here))
+    d = d.withColumn("_tx", F.explode_outer(here))
     d = d.filter((F.col("_ty") < 0) | fill_where(F.col("_tx"), F.col("_ty")))
     return d.withColumn(OWN, F.when(F.col("_ty") < 0, -1 - F.col("_ty")).otherwise(F.lit(-1)))
 

@@ -117,7 +117,7 @@ def mirror(df: DataFrame, direction="Both") -> DataFrame:
         F.struct((x if i == 0 else 2 * w - 1 - x).alias("x"), (y if j == 0 else 2 * h - 1 - y).alias("y"))
         for i in range(sx) for j in range(sy)
     ]
-    out = df.withColumn("_s", F.explode(F.array(*spots)))
+    out = df.withColumn("_s", F.explode_outer(F.array(*spots)))
     return moved(out, _c("_s.x"), _c("_s.y"), w * sx, h * sy)
 
 
@@ -183,8 +183,8 @@ def scale_nearest(df: DataFrame, tw, th, keep=()) -> DataFrame:
         hi = F.ceil((2 * target * (p + 1) - size) / (2 * size)) - 1
         return _cells(lo, hi)
 
-    out = d.withColumn("_x", F.explode(span(_c("x"), _c("width"), _c("_tw")))).withColumn(
-        "_y", F.explode(span(_c("y"), _c("height"), _c("_th"))))
+    out = d.withColumn("_x", F.explode_outer(span(_c("x"), _c("width"), _c("_tw")))).filter("_x IS NOT NULL")
+    out = out.withColumn("_y", F.explode_outer(span(_c("y"), _c("height"), _c("_th")))).filter("_y IS NOT NULL")
     return moved(out, _c("_x"), _c("_y"), _c("_tw"), _c("_th"), keep)
 
 
@@ -212,7 +212,7 @@ def _resample(df: DataFrame, tw, th, by_area: Column, keep=()) -> DataFrame:
     def axis(d, p, size, target, cell, weight):
         p, size, target = _c(p), _c(size), _c(target)
         (alo, ahi), (llo, lhi) = area_span(p, size, target), linear_span(p, size, target)
-        d = d.withColumn(cell, F.explode(_cells(F.when(area, alo).otherwise(llo), F.when(area, ahi).otherwise(lhi))))
+        d = d.withColumn(cell, F.explode_outer(_cells(F.when(area, alo).otherwise(llo), F.when(area, ahi).otherwise(lhi))))
         w = F.when(area, area_weight(p, size, target, _c(cell))).otherwise(linear_weight(p, size, target, _c(cell)))
         return d.withColumn(weight, w.cast("long")).filter(_c(weight) > 0)
 

@@ -16,7 +16,7 @@ IMAGE = ("image_id", "width", "height")
 
 def _bands(df: DataFrame, bands=RGB) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(c).alias("band"), F.col(c).alias("value")) for c in bands])
-    return df.select(*IMAGE, F.explode(pairs).alias("_p")).select(*IMAGE, "_p.band", "_p.value")
+    return df.select(*IMAGE, F.explode_outer(pairs).alias("_p")).select(*IMAGE, "_p.band", "_p.value")
 
 
 def histogram(df: DataFrame, bands=RGB) -> DataFrame:

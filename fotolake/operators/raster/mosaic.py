@@ -39,7 +39,7 @@ def _grid_parts(df: DataFrame, x: Column, y: Column, w: Column, h: Column, grid:
 
     d = df.withColumns({"_px": x, "_py": y, "_pw": w, "_ph": h})
     px, py, pw, ph = (F.col(c) for c in ("_px", "_py", "_pw", "_ph"))
-    d = d.withColumn("_cx", F.explode(cells(px, pw))).withColumn("_cy", F.explode(cells(py, ph)))
+    d = d.withColumn("_cx", F.explode_outer(cells(px, pw))).withColumn("_cy", F.explode_outer(cells(py, ph)))
     k = share(px, pw, F.col("_cx")) * share(py, ph, F.col("_cy"))
     return d.withColumns({"cell": F.col("_cy") * grid + F.col("_cx"), "k": k.cast("long")})
 
@@ -87,7 +87,7 @@ def nearest(sections: DataFrame, fills: DataFrame, grid: int) -> DataFrame:
     tones = [F.col(t) for t in ("t0", "t1", "t2")]
 
     def levelled(df, lo, hi):
-        d = df.withColumn("lv", F.explode(F.sequence(F.lit(lo), F.lit(hi))))
+        d = df.withColumn("lv", F.explode_outer(F.sequence(F.lit(lo), F.lit(hi))))
         return d.withColumns({f"c{i}": c for i, c in enumerate(_cell(F.col("lv"), *tones))})
 
     keys = ["lv", "c0", "c1", "c2"]
@@ -104,7 +104,7 @@ def nearest(sections: DataFrame, fills: DataFrame, grid: int) -> DataFrame:
     for i in range(3):
         lo = _cell(F.col("lv"), F.greatest(F.col(f"t{i}") - F.col("u"), F.lit(0)))[0]
         hi = _cell(F.col("lv"), F.col(f"t{i}") + F.col("u"))[0]
-        boxed = boxed.withColumn(f"c{i}", F.explode(F.sequence(lo, hi)))
+        boxed = boxed.withColumn(f"c{i}", F.explode_outer(F.sequence(lo, hi)))
     other = levelled(known, 0, top).select(*keys, "g", "fill_id", *[t.alias(f"k{i}") for i, t in enumerate(tones)])
     gap = sum((F.abs(F.col(f"t{i}") - F.col(f"k{i}")) for i in range(1, 3)), F.abs(F.col("t0") - F.col("k0")))
     pairs = boxed.join(other, keys).filter(gap <= F.col("u"))
@@ -138,7 +138,7 @@ def mosaic(df: DataFrame, fills: DataFrame, cols=10, rows=10, grid=2) -> DataFra
     tones = pix.groupBy("image_id").agg(F.count("*").alias("fn"), *[F.sum(c).alias("f" + c) for c in RGB])
     thumbs = (
         thumbs.join(tones, "image_id")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        .withColumn("salt", F.explode_outer(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         .select(F.col("image_id").alias("fill_id"), F.col("width").alias("sw"), F.col("height").alias("sh"),
                 F.col("x").alias("dx"), F.col("y").alias("dy"), "salt", *RGB, "fn", "fr", "fg", "fb")
     )
@@ -147,8 +147,8 @@ def mosaic(df: DataFrame, fills: DataFrame, cols=10, rows=10, grid=2) -> DataFra
     spots = (
         chosen.join(means, ["image_id", "col", "row"])
         .withColumn("salt", F.pmod(F.xxhash64("image_id", "col", "row"), F.lit(SALTS)).cast("int"))
-        .withColumn("dx", F.explode(F.sequence(F.lit(0), F.col("sw") - 1)))
-        .withColumn("dy", F.explode(F.sequence(F.lit(0), F.col("sh") - 1)))
+        .withColumn("dx", F.explode_outer(F.sequence(F.lit(0), F.col("sw") - 1)))
+        .withColumn("dy", F.explode_outer(F.sequence(F.lit(0), F.col("sh") - 1)))
     )
     out = spots.join(thumbs, ["fill_id", "sw", "sh", "dx", "dy", "salt"])
 

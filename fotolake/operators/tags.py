@@ -105,7 +105,9 @@ def write_issues(long: DataFrame, fmt: str = "format") -> DataFrame:
 
 def to_long(df: DataFrame, *keep: str) -> DataFrame:
     """One row per tag."""
-    return df.select(*(keep or ("image_id",)), F.explode(TAGS).alias("tag", "value"))
+    # explode would filter on the map's size first and so compute the map again.
+    rows = df.select(*(keep or ("image_id",)), F.explode_outer(TAGS).alias("tag", "value"))
+    return rows.filter(F.col("tag").isNotNull())
 
 
 def to_map(long: DataFrame) -> DataFrame:
@@ -140,7 +142,7 @@ def expand_tags(long: DataFrame) -> DataFrame:
         .otherwise(F.array(part("", v)))
     )
     others = [c for c in long.columns if c not in ("tag", "value")]
-    return date_row.select(*others, F.explode(rows).alias("_e")).select(*others, "_e.tag", "_e.value")
+    return date_row.select(*others, F.explode_outer(rows).alias("_e")).select(*others, "_e.tag", "_e.value")
 
 
 def is_vendor(name: Column) -> Column:

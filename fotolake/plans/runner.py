@@ -15,7 +15,7 @@ from ..functions.templates import check_template, required_vars, template
 from ..functions.units import length_px, place, position_preset
 from ..operators import catalog as C, export as E, geo, tags as T
 from ..operators.raster import composite as K, core
-from ..session import checkpointed
+from ..session import written
 from .actions import ACTIONS, Action
 from .params import InvalidField
 
@@ -232,10 +232,10 @@ class Runner:
         self.pending += 1
 
     def _materialize(self) -> None:
-        """Write the pixels to the shared checkpoint folder, so that what follows reads
+        """Write the pixels to a table in the shared folder, so that what follows reads
         them instead of repeating the steps before."""
         if self.settings.materialize and self.pending:
-            self.pixels, self.pending = checkpointed(self.pixels), 0
+            self.pixels, self.pending = written(self.pixels, "pixels"), 0
 
     def _files(self, step: Step) -> None:
         if step.action.label == "Geotag":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,6 +17,8 @@ def build_session(app: str = "fotolake", master: str | None = None, shuffle_part
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # No call-site capture for each column expression: plans are built much faster.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         b = b.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
@@ -40,11 +43,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: partition numbers and row order inside a partition are
-    fixed afterwards, whatever executors are lost."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder next to the shared checkpoints."""
+    ensure_checkpoint_dir(spark)
+    base = spark.sparkContext.getCheckpointDir().rstrip("/")
+    if base.startswith("file:"):
+        base = "/" + base[5:].lstrip("/")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read that: computed once, columnar,
+    and safe against lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:

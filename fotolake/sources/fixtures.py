@@ -58,7 +58,7 @@ def rgba(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pixel table of ``rasters``: image_id, width, height, x, y, r, g, b, a."""
     return (
         rasters(spark, sf_dir)
-        .select("image_id", "width", "height", F.posexplode(F.arrays_zip("r", "g", "b", "a")).alias("k", "p"))
+        .select("image_id", "width", "height", F.posexplode_outer(F.arrays_zip("r", "g", "b", "a")).alias("k", "p"))
         .select(
             "image_id", "width", "height",
             (F.col("k") % 8).alias("x"), F.floor(F.col("k") / 8).cast("int").alias("y"),
@@ -76,7 +76,7 @@ def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One vector per image: image_id, width, height, x, y, l."""
     return (
         table(spark, sf_dir, "embeddings")
-        .select(F.col("vec_id").alias("image_id"), F.posexplode(_levels()).alias("k", "l"))
+        .select(F.col("vec_id").alias("image_id"), F.posexplode_outer(_levels()).alias("k", "l"))
         .select(
             "image_id", F.lit(8).alias("width"), F.lit(8).alias("height"),
             (F.col("k") % 8).alias("x"), F.floor(F.col("k") / 8).cast("int").alias("y"), "l",
