@@ -101,10 +101,10 @@ def target_grid(df: DataFrame, tw, th, keep: list[str] | None = None) -> DataFra
 OWN = "_copy"  # number of the copy of a source pixel, -1 on a filled-in pixel
 
 
-def copies_and_fill(df: DataFrame, tw, th, copies: Column, fill_where) -> DataFrame:
+def copies_and_fill(df: DataFrame, tw, th, copies: Column, fill_where=None) -> DataFrame:
     """Each pixel becomes one row per entry of ``copies`` (small ints), and the first pixel
-    of a line also emits the target pixels (_tx, _ty) for which ``fill_where`` holds.  One
-    pass over the source: nothing before this is computed twice."""
+    of a line also emits the target pixels (_tx, _ty), those for which ``fill_where`` holds.
+    One pass over the source: nothing before this is computed twice."""
     d = df.withColumns({"_tw": as_column(tw).cast("int"), "_th": as_column(th).cast("int")})
     lo, hi = _share_of_lines(F.col("_th"))
     head = (F.col("x") == 0) & (lo <= hi) & (F.col("_tw") > 0)
@@ -116,10 +116,19 @@ def copies_and_fill(df: DataFrame, tw, th, copies: Column, fill_where) -> DataFr
     d = d.withColumn("_ty", F.explode_outer(codes)).filter(F.col("_ty").isNotNull())
     here = F.when(F.col("_ty") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("_tw") - 1))
     d = d.withColumn("_tx", F.explode_outer(here))
-    d = d.filter((F.col("_ty") < 0) | fill_where(F.col("_tx"), F.col("_ty")))
+    if fill_where is not None:
+        d = d.filter((F.col("_ty") < 0) | fill_where(F.col("_tx"), F.col("_ty")))
     return d.withColumn(OWN, F.when(F.col("_ty") < 0, -1 - F.col("_ty")).otherwise(F.lit(-1)))
 
 
+def computed_once(d: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """Add columns behind a one-element generator.  Filters and projections after it use
+    the values; without it the optimiser copies the expressions into every use and the
+    compiled method grows past what the JVM compiles."""
+    one = F.array(F.struct(*[v.alias(k) for k, v in cols.items()]))
+    return d.withColumn("_one", F.explode_outer(one)).select("*", "_one.*").drop("_one")
+
+
 def either(own: Column, filled: Column) -> Column:
     return F.when(F.col(OWN) >= 0, own).otherwise(filled)
 

@@ -323,29 +323,25 @@ def rotate(df: DataFrame, angle: float, resample="nearest", expand=False, amount
     a = F.when((F.lit(opacity) != 100) | (F.lit(color) != F.lit("#000000")), F.coalesce("a", F.lit(255))).otherwise(_c("a"))
     turned = df.withColumn("a", a)
 
-    def source(tx, ty):
-        dx, dy = tx + F.lit(0.5) - _c("_tw") / F.lit(2.0), ty + F.lit(0.5) - _c("_th") / F.lit(2.0)
-        return C * dx - S * dy + w / F.lit(2.0), S * dx + C * dy + h / F.lit(2.0)
-
-    def in_range(tx, ty):
-        u, v = source(tx, ty)
-        return (u >= 0) & (u < w) & (v >= 0) & (v < h)
-
     reach = 1 if resample == "nearest" else 2
     side = 2 * reach + 1
     near = F.sequence(F.lit(0), F.lit(side * side - 1))
-    d = core.copies_and_fill(turned, tw, th, near, lambda tx, ty: ~in_range(tx, ty))
+    d = core.copies_and_fill(turned, tw, th, near)
     fx, fy = _c("x") + F.lit(0.5) - w / F.lit(2.0), _c("y") + F.lit(0.5) - h / F.lit(2.0)
     own = _c(core.OWN) >= 0
     cx = F.floor(C * fx + S * fy + _c("_tw") / F.lit(2.0)) + F.pmod(_c(core.OWN), F.lit(side)) - reach
     cy = F.floor(-S * fx + C * fy + _c("_th") / F.lit(2.0)) + F.floor(_c(core.OWN) / F.lit(side)) - reach
-    d = d.withColumns({"_x": core.either(cx, _c("_tx")).cast("int"), "_y": core.either(cy, _c("_ty")).cast("int")})
+    d = core.computed_once(d, {"_x": core.either(cx, _c("_tx")).cast("int"), "_y": core.either(cy, _c("_ty")).cast("int")})
     d = d.filter((_c("_x") >= 0) & (_c("_x") < _c("_tw")) & (_c("_y") >= 0) & (_c("_y") < _c("_th")))
-    u, v = source(_c("_x"), _c("_y"))
+    # The source position under the target pixel's centre.
+    dx, dy = _c("_x") + F.lit(0.5) - _c("_tw") / F.lit(2.0), _c("_y") + F.lit(0.5) - _c("_th") / F.lit(2.0)
+    d = core.computed_once(d, {"_u": C * dx - S * dy + w / F.lit(2.0), "_v": S * dx + C * dy + h / F.lit(2.0)})
+    u, v = _c("_u"), _c("_v")
+    in_range = (u >= 0) & (u < w) & (v >= 0) & (v < h)
     back = math.floor(255 * opacity / 100)
     empty = core.solid(color, F.when(_c("a").isNotNull(), F.lit(back)))
     if resample == "nearest":
-        hit = d.filter(~own | ((F.floor(u) == _c("x")) & (F.floor(v) == _c("y"))))
+        hit = d.filter(F.when(own, (F.floor(u) == _c("x")) & (F.floor(v) == _c("y"))).otherwise(~in_range))
         out = core.place_copies(hit, _c("_x"), _c("_y"), core.bands(), empty)
     else:
         # 1/256 steps keep the weights whole; centres beyond the edge repeat it.
@@ -353,8 +349,9 @@ def rotate(df: DataFrame, angle: float, resample="nearest", expand=False, amount
             q = F.least(F.greatest(F.floor((pos - F.lit(0.5)) * F.lit(256.0)), F.lit(0)), (size - 1) * 256)
             return F.greatest(F.lit(256) - F.abs(q - p * 256), F.lit(0))
 
-        k = F.when(in_range(_c("_x"), _c("_y")), tent(u, _c("x"), w) * tent(v, _c("y"), h)).otherwise(F.lit(0))
-        part = d.withColumn("_k", core.either(k, F.lit(65536)).cast("long")).filter("_k > 0")
+        d = d.filter(own == in_range)
+        k = core.either(tent(u, _c("x"), w) * tent(v, _c("y"), h), F.lit(65536))
+        part = d.withColumn("_k", k.cast("long")).filter("_k > 0")
         part = part.withColumns({c: core.either(_c(c), empty[c]) for c in RGBA})
         out = _weighted(part, F.lit(65536))
     return out if amount >= 100 else blend_images(df, out, amount, color, back)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ...functions.pixels import RGB, floor_byte
+from ...session import written
 from ..skew import salted_lookup
 from . import core, geometry as G
 
@@ -20,13 +21,14 @@ SALTS = 16          # a popular fill's pixels are spread over this many keys
 
 
 def _cell_tones(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """From rows (keys, cell, k = weight, r, g, b) to one feature array of tones."""
+    """From rows (keys, cell, k = weight, r, g, b) to one flat feature array: the tones of
+    each cell, band by band."""
     sums = parts.groupBy(*keys, "cell").agg(
         F.sum("k").alias("n"), *[F.sum(F.col(c) * F.col("k")).alias(c) for c in RGB])
     tone = F.array(*[F.floor(F.col(c) * FIXED / F.col("n")).cast("int") for c in RGB])
     # grid x grid entries per group.
     return sums.groupBy(*keys).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("cell", tone.alias("t")))), lambda s: s["t"]).alias("f"))
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("cell", tone.alias("t")))), lambda s: s["t"])).alias("f"))
 
 
 def _grid_parts(df: DataFrame, x: Column, y: Column, w: Column, h: Column, grid: int) -> DataFrame:
@@ -63,14 +65,13 @@ def _sectioned(df: DataFrame, cols: int, rows: int) -> DataFrame:
         "sh": section_start(F.col("row") + 1, h, rows) - section_start(F.col("row"), h, rows)})
 
 
-def _distance(f: Column, g: Column) -> Column:
-    """Sum of absolute differences over cells and bands."""
-    per_cell = F.zip_with(f, g, lambda a, b: sum((F.abs(a[i] - b[i]) for i in range(1, 3)), F.abs(a[0] - b[0])))
-    return F.aggregate(per_cell, F.lit(0), lambda acc, v: acc + v)
+def _distance(grid: int) -> Column:
+    """Sum of absolute differences of f and g over cells and bands, as one compiled sum."""
+    return F.expr(" + ".join(f"abs(f[{i}] - g[{i}])" for i in range(3 * grid * grid)))
 
 
-def _with_tones(df: DataFrame) -> DataFrame:
-    band = lambda i: F.aggregate("f", F.lit(0), lambda acc, t: acc + t[i])
+def _with_tones(df: DataFrame, grid: int) -> DataFrame:
+    band = lambda i: F.expr(" + ".join(f"f[{3 * c + i}]" for c in range(grid * grid)))
     return df.withColumns({"t0": band(0), "t1": band(1), "t2": band(2)})
 
 
@@ -81,9 +82,9 @@ def _cell(level: Column, *tones: Column) -> list[Column]:
 def nearest(sections: DataFrame, fills: DataFrame, grid: int) -> DataFrame:
     """For each distinct feature ``f`` of ``sections`` the (distance, fill_id) that is least."""
     top = (256 * FIXED * grid * grid - 1).bit_length()  # one cell holds everything at this level
-    probe = _with_tones(sections.select("f").distinct())
+    probe = _with_tones(sections.select("f").distinct(), grid)
     # Of equal fills the smallest id counts.
-    known = _with_tones(fills.groupBy("f").agg(F.min("fill_id").alias("fill_id"))).withColumnRenamed("f", "g")
+    known = _with_tones(fills.groupBy("f").agg(F.min("fill_id").alias("fill_id")), grid).withColumnRenamed("f", "g")
     tones = [F.col(t) for t in ("t0", "t1", "t2")]
 
     def levelled(df, lo, hi):
@@ -96,7 +97,7 @@ def nearest(sections: DataFrame, fills: DataFrame, grid: int) -> DataFrame:
         F.min_by("g", "fill_id").alias("g"))
     bound = (
         levelled(probe, coarse, top).join(F.broadcast(reps), keys)
-        .groupBy("f", "t0", "t1", "t2").agg(F.min(_distance(F.col("f"), F.col("g"))).alias("u"))
+        .groupBy("f", "t0", "t1", "t2").agg(F.min(_distance(grid)).alias("u"))
     )
     # Cells at least 2u wide: the box of radius u meets at most two per axis.
     lv = F.least(F.ceil(F.log2(F.greatest(2 * F.col("u"), F.lit(1)))).cast("int"), F.lit(top))
@@ -108,7 +109,7 @@ def nearest(sections: DataFrame, fills: DataFrame, grid: int) -> DataFrame:
     other = levelled(known, 0, top).select(*keys, "g", "fill_id", *[t.alias(f"k{i}") for i, t in enumerate(tones)])
     gap = sum((F.abs(F.col(f"t{i}") - F.col(f"k{i}")) for i in range(1, 3)), F.abs(F.col("t0") - F.col("k0")))
     pairs = boxed.join(other, keys).filter(gap <= F.col("u"))
-    best = F.min(F.struct(_distance(F.col("f"), F.col("g")).alias("distance"), "fill_id"))
+    best = F.min(F.struct(_distance(grid).alias("distance"), "fill_id"))
     return pairs.groupBy("f").agg(best.alias("_b")).select("f", "_b.*")
 
 
@@ -129,7 +130,7 @@ def section_fills(df: DataFrame, fills: DataFrame, cols=10, rows=10, grid=2) ->
 def mosaic(df: DataFrame, fills: DataFrame, cols=10, rows=10, grid=2) -> DataFrame:
     """Sections replaced by their fill, resized to the section and multiplied per band by
     the ratio of mean tones."""
-    chosen = section_fills(df, fills, cols, rows, grid)
+    chosen = written(section_fills(df, fills, cols, rows, grid), "chosen")  # read three times below
     wanted = chosen.select(F.col("fill_id").alias("image_id"), "sw", "sh").distinct()
     pix = fills.select(*core.COLUMNS)
     # Partial sums first; a fill used at several sizes is scaled once per size.
