@@ -13,6 +13,7 @@ def as_column(v) -> Column:
 
 
 def clamp(c: Column) -> Column:
+    """Limited to a byte; NULL would become 0, so missing alpha is handled by the caller."""
     return F.least(F.greatest(c, F.lit(0)), F.lit(255)).cast("int")
 
 

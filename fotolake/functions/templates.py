@@ -81,6 +81,8 @@ def _rewrite(expr: str, variables: set[str]) -> str:
         if attr is None and name in CONSTANTS and name not in variables:
             out.append(" " + CONSTANTS[name])
             continue
+        if name == "size" and index and name not in variables:
+            name, index = ("width", "height")[int(index.strip("[] "))], None
         sql = _sql_name(name, variables)
         if attr:
             part = attr[1:]
@@ -94,10 +96,7 @@ def _rewrite(expr: str, variables: set[str]) -> str:
             else:
                 raise UnsafeTemplate(f"the following name is invalid: {name}{attr}")
         if index:
-            n = int(index.strip("[] "))
-            sql = f"(width, height)[{n}]" if name == "size" else f"element_at(split({sql}, ' '), {n + 1})"
-            if name == "size":
-                sql = "`width`" if n == 0 else "`height`"
+            sql = f"element_at(split({sql}, ' '), {int(index.strip('[] ')) + 1})"
         out.append(" " + sql)
     return "".join(out).strip()
 

@@ -76,7 +76,7 @@ def _blended(df: DataFrame, size: int, fn, amount, bands=RGBA, repeat=1, extra=(
 
     def step(square, band):
         old = square[len(square) // 2]
-        return _byte(f"{old} + (({fn(square, band)}) - {old}) * ({t})")
+        return _present(square, _byte(f"{old} + (({fn(square, band)}) - {old}) * ({t})"))
 
     return filtered(df, size, step, bands, repeat, extra)
 
@@ -85,6 +85,11 @@ def _byte(sql: str) -> str:
     return f"cast(least(greatest(floor({sql}), 0), 255) AS int)"
 
 
+def _present(square: list[str], sql: str) -> str:
+    """NULL where the band is missing: no alpha band stays so."""
+    return f"CASE WHEN {square[0]} IS NOT NULL THEN {sql} END"
+
+
 def _rank(df, size, index, amount):
     def pick(square, band):
         if index == 0:
@@ -93,7 +98,7 @@ def _rank(df, size, index, amount):
             v = f"greatest({', '.join(square)})"
         else:
             v = f"sort_array(array({', '.join(square)}))[{index}]"
-        return f"CASE WHEN {square[0]} IS NOT NULL THEN {v} END"  # no alpha band stays so
+        return _present(square, v)
 
     return _blended(df, size, pick, amount)
 
@@ -125,7 +130,7 @@ def common(df: DataFrame, size=3, amount=100) -> DataFrame:
             "'best', CASE WHEN (CASE WHEN v = acc.v THEN acc.run + 1 ELSE 1 END) > acc.n THEN v ELSE acc.best END, "
             "'n', CASE WHEN (CASE WHEN v = acc.v THEN acc.run + 1 ELSE 1 END) > acc.n "
             "THEN (CASE WHEN v = acc.v THEN acc.run + 1 ELSE 1 END) ELSE acc.n END), acc -> acc.best)")
-        return f"CASE WHEN {square[0]} IS NOT NULL THEN {longest} END"
+        return _present(square, longest)
 
     return _blended(df, size, mode, amount)
 
@@ -150,7 +155,7 @@ def convolve(square: list[str], kernel: str) -> str:
     """SQL of one kernel over the square."""
     weights, divisor, offset = KERNELS[kernel]
     total = " + ".join(f"{v} * {w}" for v, w in zip(square, weights) if w)
-    return _byte(f"floor(({total}) / {float(divisor)}D) + {offset}")
+    return _present(square, _byte(f"floor(({total}) / {float(divisor)}D) + {offset}"))
 
 
 def effect(df: DataFrame, kernel="blur", amount=100, repeat=1, extra=()) -> DataFrame:
