@@ -237,7 +237,7 @@ def shadow(df: DataFrame, h=5, v=5, border=8, blur=3, back="#FFFFFF", color="#44
     )
     # The blur runs on band a; the image waits in extra columns.
     stage = one.withColumns({"a": F.col("s"), **{c: F.lit(0) for c in RGB}})
-    blurred = N.filtered(stage, 5, lambda sq, band: N.convolve(sq, "blur"), ("a",), blur,
+    blurred = N.filtered(stage, N.kernel_filter("blur", ("a",)), ("a",), blur,
                          extra=("_has", "pr", "pg", "pb", "pa"))
     image_m = F.coalesce("pa", zero)
     has = F.col("_has")

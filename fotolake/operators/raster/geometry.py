@@ -375,7 +375,8 @@ PERSPECTIVES = {
 }
 
 
-def perspective(df: DataFrame, preset="Left", color="#000000", opacity=0, auto_crop=True, user=None) -> DataFrame:
+def perspective(df: DataFrame, preset="Left", color="#000000", opacity=0, auto_crop=True, user=None,
+                resample="nearest") -> DataFrame:
     """Projective map by preset, or by ``user``: the eight values in the same order, the
     offsets in percent or as pixel columns.
     Magnification is unbounded here, so each target pixel looks its source pixel up by
@@ -399,11 +400,15 @@ def perspective(df: DataFrame, preset="Left", color="#000000", opacity=0, auto_c
     u = (F.lit(inv) * tx + F.lit(sx) * ty + ox) / den
     v = (F.lit(sy) * tx + F.lit(inv) * ty + oy) / den
     # A point on or behind the horizon shows nothing.
-    want = grid.withColumns({"_u": F.when(den > 0, F.floor(u)), "_v": F.when(den > 0, F.floor(v))})
+    want = grid.withColumns({"_su": F.when(den > 0, u), "_sv": F.when(den > 0, v)})
+    want = want.withColumns({"_u": F.floor("_su"), "_v": F.floor("_sv")})
     inside = (_c("_u") >= 0) & (_c("_u") < w) & (_c("_v") >= 0) & (_c("_v") < h)
     pix = src.select("image_id", _c("x").cast("long").alias("_u"), _c("y").cast("long").alias("_v"),
                      *[_c(c).alias("_" + c) for c in RGBA])
-    hit = want.filter(inside).join(pix, ["image_id", "_u", "_v"])
+    if resample == "nearest":
+        hit = want.filter(inside).join(pix, ["image_id", "_u", "_v"])
+    else:
+        hit = _linear_lookup(want.filter(inside), pix)
     back = math.floor(255 * opacity / 100)
     r, g, b = rgb_of(color)
     shown = hit.select("image_id", "width", "height", _c("tx").alias("x"), _c("ty").alias("y"),
@@ -418,6 +423,22 @@ def perspective(df: DataFrame, preset="Left", color="#000000", opacity=0, auto_c
     return out if turn == "NONE" else transpose(out, turn)
 
 
+def _linear_lookup(want: DataFrame, pix: DataFrame) -> DataFrame:
+    """The four source pixels around (_su, _sv), weighted in 1/256 steps and summed."""
+    def near(pos, size):
+        return F.least(F.greatest(F.floor((pos - F.lit(0.5)) * F.lit(256.0)), F.lit(0)), (_c(size) - 1) * 256)
+
+    d = want.withColumns({"_qu": near(_c("_su"), "width"), "_qv": near(_c("_sv"), "height")}).drop("_u", "_v", "a")
+    both = F.array(F.lit(0), F.lit(1))
+    d = d.withColumn("_i", F.explode_outer(both)).withColumn("_j", F.explode_outer(both))
+    d = d.withColumns({"_u": F.floor(_c("_qu") / 256) + _c("_i"), "_v": F.floor(_c("_qv") / 256) + _c("_j")})
+    k = (F.lit(256) - F.abs(_c("_qu") - _c("_u") * 256)) * (F.lit(256) - F.abs(_c("_qv") - _c("_v") * 256))
+    taps = d.withColumn("_k", k).filter("_k > 0").join(pix, ["image_id", "_u", "_v"])
+    sums = taps.groupBy("image_id", "width", "height", "tx", "ty").agg(
+        *[F.sum(_c("_" + c) * _c("_k")).alias("_" + c) for c in RGBA])
+    return sums.withColumns({"_" + c: F.floor(_c("_" + c) / F.lit(65536)) for c in RGBA})
+
+
 # ---- blending of two whole images ----
 
 def blend_images(first: DataFrame, second: DataFrame, amount, color="#000000", alpha=0) -> DataFrame:

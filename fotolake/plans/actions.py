@@ -136,11 +136,11 @@ def _transpose(df, method, amount):
     return G.transpose(df, turn_code(method), amount)
 
 
-def _perspective(df, projection, scale, left, top, bottom, right, off_x, off_y, turn, color, opacity, crop):
+def _perspective(df, projection, scale, left, top, bottom, right, off_x, off_y, turn, color, opacity, method, crop):
     user = None
     if projection == "User":
         user = (scale, left, top, bottom, right, off_x, off_y, turn_code(turn))
-    return G.perspective(df, projection, color, opacity, crop, user)
+    return G.perspective(df, projection, color, opacity, crop, user, "nearest" if method == "nearest" else "linear")
 
 
 def _border(df, method, width, left, right, top, bottom, color, opacity):
@@ -220,7 +220,7 @@ register("Perspective", _perspective, projection=choice("Projection", "Left", *G
          right=Param("Right Shear Factor", "float", "40"),
          off_x=length("Horizontal Offset", "15%", width), off_y=length("Vertical Offset", "5%", height),
          turn=choice("Transpose", "None", "None", *TURNS), color=color("Background Color", "#000000"),
-         opacity=slider("Background Opacity", 0, 0, 100), crop=yes_no("Auto Crop", True))
+         opacity=slider("Background Opacity", 0, 0, 100), method=choice("Resample Image", "bicubic", *RESAMPLE[:3]), crop=yes_no("Auto Crop", True))
 register("Minimum", N.minimum, **_window(), **AMOUNT)
 register("Maximum", N.maximum, **_window(), **AMOUNT)
 register("Median", N.median, **_window(), **AMOUNT)

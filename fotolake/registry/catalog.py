@@ -284,6 +284,11 @@ for _method, _cond in (("All", "FALSE"), ("Exif", "NOT starts_with(tag, 'Exif')"
         return T.to_long(T.delete_tags(_images(spark, sf), method, "Exif_Image_Make"))
 
 
+@query("delete_tags", with_tags(" SELECT * FROM tags WHERE NOT starts_with(tag, 'Iptc')"))
+def _(spark, sf):
+    return T.to_long(T.delete_tags(_images(spark, sf), "Iptc"))
+
+
 @query("expand_tags", with_tags("""
 , d AS (SELECT image_id, tag, strptime(value, '%Y:%m:%d %H:%M:%S') AS t FROM tags WHERE tag = 'Exif_Image_DateTime')
 SELECT * FROM tags

@@ -175,6 +175,8 @@ _px("rotate_90", with_rgba(" SELECT image_id, width, height, y AS x, 7 - x AS y,
     lambda d: G.transpose(d, "ROTATE_90"))
 _px("flip_left_right", with_rgba(" SELECT image_id, width, height, 7 - x AS x, y, r, g, b, a FROM rgba"),
     lambda d: G.transpose(d, "FLIP_LEFT_RIGHT"))
+_px("transpose", with_rgba(" SELECT image_id, width, height, y AS x, x AS y, r, g, b, a FROM rgba"),
+    lambda d: G.transpose(d, "TRANSPOSE"))
 _px("transpose_blend", with_rgba(
     " SELECT p.image_id, p.width, p.height, p.x, p.y, " + ", ".join(f"{mix('p.' + c, 'q.' + c, 25)} AS {c}" for c in "rgba")
     + " FROM rgba p JOIN rgba q ON p.image_id = q.image_id AND q.x = p.x AND q.y = 7 - p.y"),

@@ -145,10 +145,17 @@ def test_rotation_blend_and_perspective_cover_the_canvas(image, array_of):
     df = image(rgba(7, 11))
     for out in (G.rotate(df, 33, "bilinear", amount=40), G.rotate(df, 33, expand=True, color="#ff0000", opacity=30),
                 G.perspective(df, "Corner Bottom Right", auto_crop=False), G.perspective(df, "Top"),
+                G.perspective(df, "Right Stretched", auto_crop=False, resample="linear"),
                 G.transpose(df, "ROTATE_90", 50)):
         array_of(out)
 
 
+def test_straight_perspective_is_the_image(image, array_of):
+    a = rgba(5, 6)
+    plain = (100, 0, 0, 0, 0, 0, 0, "NONE")
+    assert (array_of(G.perspective(image(a), auto_crop=False, user=plain)) == a).all()
+
+
 def test_shadow_without_alpha_and_blurred_reflection(image, array_of):
     a = RNG.integers(0, 256, (6, 5, 3))
     s = array_of(K.shadow(image(a), 2, 1, 3, 2))

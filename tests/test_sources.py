@@ -138,3 +138,25 @@ def test_collisions_in_place_and_issue_numbers(spark):
     assert [r.path for r in E.in_place(plan).collect()] == ["/out/x.png"]
     issues = plan.select("path", F.lit("save").alias("action"), F.lit("error").alias("severity"), F.lit("m").alias("message"))
     assert sorted(r.number for r in E.number_issues(issues).collect()) == [1, 2, 3]
+
+
+def test_sinks(spark, folder, image, tmp_path):
+    from fotolake.sources import sinks as K
+
+    px = image(np.zeros((2, 2, 4), int), np.ones((3, 1, 3), int))
+    K.write_rasters(px, str(tmp_path / "packed"))
+    K.write_rasters(px, str(tmp_path / "plain"), packed=False)
+    back = spark.read.parquet(str(tmp_path / "packed"))
+    assert {(r.image_id, r.bands, len(r.data)) for r in back.collect()} == {(0, 4, 16), (1, 3, 9)}
+    assert spark.read.parquet(str(tmp_path / "plain")).count() == 7
+    report = spark.createDataFrame([("t", "u")], "`camera time` string, `nearest gps` string")
+    K.write_gps_report(report, str(tmp_path / "csv"))
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).columns == ["camera time", "nearest gps"]
+    out = str(tmp_path / "out")
+    plan = E.copy_plan(C.path_vars(FS.scan_files(spark, str(folder), ["png"])), "<filename>_c", out)
+    K.apply_copies(plan)
+    K.apply_copies(plan)
+    assert sorted(os.listdir(out)) == ["B_c.PNG", "a_c.png", "bad_c.png"]
+    K.apply_copies(plan, move=True, overwrite=True)
+    assert not (folder / "a.png").exists() and (tmp_path / "out" / "a_c.png").read_bytes() == png_bytes(
+        RGB, {"Author": "Ann"}, [(b"eXIf", exif_block())])
