@@ -97,28 +97,30 @@ def autocontrast(df: DataFrame, cutoff=0, amount=100) -> DataFrame:
 
 
 def equalize_table(df: DataFrame) -> DataFrame:
-    """Per image one 256-entry lookup array for each band."""
+    """Per image one lookup array of 256 entries for each band.  A value's entry is repeated
+    up to the next value that occurs, so the array is built in one walk."""
     key = Window.partitionBy("image_id", "band")
-    upto = key.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    h = histogram(df).withColumns({"cdf": F.sum("n").over(upto), "total": F.sum("n").over(key)})
+    by_value = key.orderBy("value")
+    upto = by_value.rowsBetween(Window.unboundedPreceding, 0)
+    h = histogram(df).withColumns({
+        "cdf": F.sum("n").over(upto), "total": F.sum("n").over(key), "next": F.lead("value", 1, 256).over(by_value)})
     h = h.withColumn("first", F.min("cdf").over(key))
     span = F.col("total") - F.col("first")
     new = F.when(span > 0, F.floor(F.lit(255.0) * (F.col("cdf") - F.col("first")) / span)).otherwise(F.col("value"))
-    entry = F.struct(F.col("value").alias("key"), new.cast("int").alias("value"))
+    entry = F.struct("value", new.cast("int").alias("new"), (F.col("next") - F.col("value")).alias("run"))
     # At most 256 entries per band.
-    return h.groupBy(*IMAGE).agg(
-        *[F.map_from_entries(F.collect_list(F.when(F.col("band") == c, entry))).alias("_map_" + c) for c in RGB])
+    one = h.groupBy(*IMAGE).agg(
+        *[F.sort_array(F.collect_list(F.when(F.col("band") == c, entry))).alias("_e_" + c) for c in RGB])
 
+    def lookup(c):
+        before = F.array_repeat(F.lit(0), F.col("_e_" + c)[0]["value"])
+        return F.concat(before, F.flatten(F.transform("_e_" + c, lambda e: F.array_repeat(e["new"], e["run"]))))
 
-def equalize(df: DataFrame, amount=100) -> DataFrame:
-    table = equalize_table(df)
-    every = F.sequence(F.lit(0), F.lit(255))
-    # Maps become arrays so that each pixel is an index access, not a search.
+    return one.select(*IMAGE, *[lookup(c).alias("_lut_" + c) for c in RGB])
 
-    def array_of(c):
-        return F.transform(every, lambda v: F.try_element_at(F.col("_map_" + c), v)).alias("_lut_" + c)
 
-    table = table.select(*IMAGE, *[array_of(c) for c in RGB])
+def equalize(df: DataFrame, amount=100) -> DataFrame:
+    table = equalize_table(df)
     out = core.join_per_image(df, table, "left")
     new = {c: blend(F.col(c), F.get("_lut_" + c, F.col(c)), amount) for c in RGB}
     return out.withColumns(new).select(*core.COLUMNS)
