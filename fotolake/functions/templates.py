@@ -3,7 +3,7 @@
 Text outside ``<...>`` is literal.  A part inside is a Spark SQL expression over an
 allow-list of variables and functions; Spark parses and runs it.  Only spelling that
 Spark does not know is rewritten: ``##`` padding, ``tag.year``, ``name.upper()``,
-``size[0]`` and whole-number division.
+``size[0]``, ``name[:3]`` and whole-number division.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ PART = re.compile(r"<([^<>]+?)>")
 _TOKEN = re.compile(
     r"\s*(?:(?P<str>'[^'\\]*'|\"[^\"\\]*\")|(?P<num>\d+(?:\.\d+)?)"
     r"|(?P<name>[A-Za-z]\w*)(?P<attr>\.[a-z]+)?(?P<call>\(\s*\))?(?P<index>\[\s*\d+\s*\])?"
+    r"(?P<slice>\[\s*\d*\s*:\s*\d*\s*\])?"
     r"|(?P<op>\*\*|//|<=|>=|==|!=|[-+*/%(),]))"
 )
 
@@ -36,6 +37,11 @@ RATIONAL_PARTS = {"numerator": 0, "denominator": 1}
 TAG_NAME = re.compile(r"^(Exif|Iptc)_\w+$")
 
 
+# Parts with one of these work with fractions; in others ``/`` divides whole numbers.
+_FRACTIONS = re.compile(
+    r"\d\.\d|\b(sqrt|sin|cos|tan|asin|acos|atan|log|log10|exp|radians|degrees|fabs|random|pi|e|aspect|gamma)\b")
+
+
 class UnsafeTemplate(ValueError):
     """A template uses a name that is not allowed."""
 
@@ -63,13 +69,15 @@ def _sql_name(name: str, variables: set[str]) -> str:
 def _rewrite(expr: str, variables: set[str]) -> str:
     """One template part in Spark SQL spelling; raises on any name outside the allow-list."""
     out = []
+    divide = " / " if _FRACTIONS.search(expr) else " div "
     for m in _tokens(expr):
         name = m.group("name")
         if not name:
             op = m.group("op")
-            out.append({"//": " div ", "/": " / ", "==": "=", "**": None}.get(op, m.group(0)) if op else m.group(0))
-            if out[-1] is None:
+            if op == "**":
                 raise UnsafeTemplate("write pow(a, b) for powers")
+            number = m.group("num") or ""
+            out.append({"//": " div ", "/": divide, "==": "="}.get(op, m.group(0)) + ("D" if "." in number else ""))
             continue
         attr, call, index = (m.group(k) for k in ("attr", "call", "index"))
         follows_paren = expr[m.end():].lstrip().startswith("(")
@@ -97,6 +105,10 @@ def _rewrite(expr: str, variables: set[str]) -> str:
                 raise UnsafeTemplate(f"the following name is invalid: {name}{attr}")
         if index:
             sql = f"element_at(split({sql}, ' '), {int(index.strip('[] ')) + 1})"
+        if m.group("slice"):
+            first, last = (p.strip() for p in m.group("slice").strip("[] ").split(":"))
+            first = int(first or 0)
+            sql = f"substring({sql}, {first + 1}" + (f", {max(int(last) - first, 0)})" if last else ")")
         out.append(" " + sql)
     return "".join(out).strip()
 

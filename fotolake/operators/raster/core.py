@@ -13,8 +13,9 @@ from ...functions.pixels import RGB, RGBA, as_column, rgb_of
 
 SHAPE = ("image_id", "width", "height", "x", "y")
 COLUMNS = SHAPE + RGBA
-# Pixels of one image that share a join key or a strip.
+# Pixels of one image that share a join key, and of a packed strip.
 TILE = 1 << 20
+STRIP = 1 << 18
 
 
 def integers(df: DataFrame, keep=()) -> DataFrame:
@@ -41,8 +42,8 @@ def unpack(rasters: DataFrame) -> DataFrame:
 
 def pack_strips(pixels: DataFrame) -> DataFrame:
     """Packed strips of whole lines: image_id, strip, y0, rows, width, height, bands, data.
-    A strip holds about TILE pixels, so an image of any size never lands in one group."""
-    lines = F.greatest(F.floor(F.lit(TILE) / F.col("width")), F.lit(1))
+    A strip holds about STRIP pixels, so an image of any size never lands in one group."""
+    lines = F.greatest(F.floor(F.lit(STRIP) / F.col("width")), F.lit(1))
     value = F.when(F.col("a").isNull(), F.array(*RGB)).otherwise(F.array(*RGBA))
     return (
         pixels.withColumn("strip", F.floor(F.col("y") / lines).cast("int"))

@@ -32,6 +32,8 @@ def test_every_query_but_the_badge_has_sql():
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_matches_sql(spark, con, name):
     df = queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     res = con.sql(oracle_sql()[name])
     assert sorted(df.columns) == sorted(res.columns)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(res.columns, res.fetchall())

@@ -87,6 +87,7 @@ def test_per_image_joins_over_several_tiles(spark, image, array_of, monkeypatch)
     import numpy as np
 
     monkeypatch.setattr(core, "TILE", 10)
+    monkeypatch.setattr(core, "STRIP", 10)
     rng = np.random.default_rng(3)
     a = rng.integers(0, 256, (9, 7, 4))
     a[:, :3, 3] = 0

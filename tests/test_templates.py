@@ -19,6 +19,9 @@ def one(spark, col, **values):
     ("<filename.upper()>.<lower(type)>", {"filename": "beach", "type": "JPG"}, "BEACH.jpg"),
     ("<size[0]>x<size[1]>", {"width": 3, "height": 5}, "3x5"),
     ("<width//2>", {"width": 7}, "3"),
+    ("<width/2>", {"width": 7}, "3"),
+    ("<width/2.0>", {"width": 7}, "3.5"),
+    ("<filename[:3]>_<filename[3:]>", {"filename": "beach"}, "bea_ch"),
     ("<####index>", {"index": 12345}, "12345"),
     ("plain", {}, "plain"),
     ("", {}, ""),
