@@ -60,13 +60,13 @@ def _letters() -> np.ndarray:
 def _trigrams(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Trigrams as whole numbers (21 bits a letter), and the row of each."""
     decoded = [r.decode("utf-8", "replace") for r in rows]
-    codes = np.frombuffer(("  ".join(decoded) + "  ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.frombuffer("  ".join(["", *decoded, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter((len(t) + 2 for t in decoded), np.int64, len(decoded))
-    row = np.repeat(np.arange(len(rows)), lengths)
+    row = np.repeat(np.arange(-1, len(rows)), [2, *lengths])
     c = _letters()[codes]
     blank = c == 32
     keep = np.flatnonzero(~((blank[:-2] & blank[1:-1]) | (blank[1:-1] & blank[2:])))
-    return (c[keep] << 42) | (c[keep + 1] << 21) | c[keep + 2], row[keep]
+    return (c[keep] << 42) | (c[keep + 1] << 21) | c[keep + 2], row[keep + 1]
 
 
 def _slots(grams: np.ndarray, k: int, bits: int) -> np.ndarray:
