@@ -69,16 +69,20 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def chunks(rows: list[bytes], size: int) -> Iterator[tuple[int, int]]:
+def ranges(lengths: list[int], size: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about `size` bytes; one long text makes a range of its own."""
     start, held = 0, 0
-    for i, row in enumerate(rows):
-        held += len(row)
+    for i, n in enumerate(lengths):
+        held += n
         if held >= size:
             yield start, i + 1
             start, held = i + 1, 0
-    if start < len(rows):
-        yield start, len(rows)
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
+def chunks(rows: list[bytes], size: int) -> Iterator[tuple[int, int]]:
+    return ranges([len(r) for r in rows], size)
 
 
 # Array files in the shared folder

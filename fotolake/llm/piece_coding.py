@@ -24,14 +24,18 @@ from collections.abc import Iterator
 from functools import cache
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, DataType, IntegerType
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType
 
-from fotolake.llm.common import texts_of, with_fields
+from fotolake.llm.common import ranges, texts_of, with_fields
 
 BLANK = "▁"
-CACHE = 400_000
+#: Words a worker keeps, and bytes of text whose ids it holds at a time.
+CACHE = 200_000
+CHUNK = 1 << 20
 _SEGMENT = re.compile(f"{BLANK}+[^{BLANK}]*")
 
 
@@ -89,7 +93,7 @@ class PieceCoder:
         return parts
 
     def _follows(self, left: str, right: str) -> bool:
-        if len(self.fits) >= 4 * CACHE:
+        if len(self.fits) >= CACHE:
             self.fits.clear()
         known = self.fits[left, right] = self._merge(left + right) == [left, right]
         return known
@@ -131,7 +135,7 @@ class PieceCoder:
             known = self.tails if i else self.words
             got = known.get(part)
             if got is None:
-                if len(known) >= 2 * CACHE:
+                if len(known) >= CACHE:
                     known.clear()
                 got = known[part] = self._coded(part if i else BLANK + part)
             made.append(got)
@@ -197,13 +201,19 @@ def coder(path: str) -> PieceCoder:
 def _mapped(docs: DataFrame, column: str, added: list[tuple[str, str | DataType, pa.DataType]], row) -> DataFrame:
     base = docs.drop(*(name for name, _, _ in added))
     at = base.columns.index(column)
+    is_text = isinstance(base.schema[column].dataType, StringType)
     schema = with_fields(base.schema, *((name, kind) for name, kind, _ in added))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [row(x) for x in (batch.column(at).to_pylist() if not pa.types.is_string(batch.schema.field(at).type) else texts_of(batch.column(at)))]
-            new = [pa.array([m[i] for m in made], kind) for i, (_, _, kind) in enumerate(added)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *(n for n, _, _ in added)])
+            # few texts at a time: ids take many times the room of their text
+            sizes = pc.binary_length(batch.column(at)).to_numpy(zero_copy_only=False) if is_text else pc.list_value_length(batch.column(at)).to_numpy(zero_copy_only=False) * 4
+            for a, b in ranges(np.nan_to_num(sizes).astype(int).tolist(), CHUNK):
+                part = batch.slice(a, b - a)
+                values = part.column(at)
+                made = [row(x) for x in (texts_of(values) if is_text else values.to_pylist())]
+                new = [pa.array([m[i] for m in made], kind) for i, (_, _, kind) in enumerate(added)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *(n for n, _, _ in added)])
 
     return base.mapInArrow(run, schema)
 
@@ -218,6 +228,16 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     return _mapped(encoded, ids, [("decoded", "string", pa.string())], lambda x: (coder(model).decode([i for i in x or [] if i is not None]),))
 
 
+def round_trip(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """docs with `ids` and `decoded`, both made by one worker."""
+
+    def both(t: bytes) -> tuple[list[int], str]:
+        ids = coder(model).encode(t.decode("utf-8", "replace"))
+        return ids, coder(model).decode(ids)
+
+    return _mapped(docs, text, [("ids", ArrayType(IntegerType()), pa.list_(pa.int32())), ("decoded", "string", pa.string())], both)
+
+
 def digests(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256, without keeping the ids."""
     added = [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())]
