@@ -122,7 +122,11 @@ def sql_of(expr: str, variables) -> str:
         raise UnsafeTemplate("padding stands at the start of a part")
     sql = _rewrite(body, set(variables))
     if hashes:
-        return f"format_string('%0{hashes}d', cast({sql} as bigint))"
+        sql = f"format_string('%0{hashes}d', cast({sql} as bigint))"
+    # least, greatest and format_string would pass over a missing value
+    needed = [_sql_name(n, set(variables)) for n in sorted(required_vars(f"<{body}>"))]
+    if needed and re.search(r"\b(min|max)\b", body) or needed and hashes:
+        return f"CASE WHEN {' AND '.join(f'{n} IS NOT NULL' for n in needed)} THEN {sql} END"
     return sql
 
 

@@ -17,11 +17,12 @@ def pixel_digest(pixels: DataFrame) -> DataFrame:
 
 
 def max_difference(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Largest band difference per image over pixels both have."""
-    b = second.select("image_id", "x", "y", *[F.col(c).alias("_" + c) for c in RGBA])
-    gap = F.greatest(*[F.abs(F.coalesce(c, F.lit(255)) - F.coalesce("_" + c, F.lit(255))) for c in RGBA])
+    """Largest band difference per image; a pixel that only one side has differs by 255."""
+    b = second.select("image_id", "x", "y", F.lit(True).alias("_in"), *[F.col(c).alias("_" + c) for c in RGBA])
+    bands = F.greatest(*[F.abs(F.coalesce(c, F.lit(255)) - F.coalesce("_" + c, F.lit(255))) for c in RGBA])
+    gap = F.when(F.col("_in") & F.col("in"), bands).otherwise(F.lit(255))
     return (
-        first.select("image_id", "x", "y", *RGBA).join(b, ["image_id", "x", "y"])
+        first.select("image_id", "x", "y", F.lit(True).alias("in"), *RGBA).join(b, ["image_id", "x", "y"], "full_outer")
         .groupBy("image_id").agg(F.max(gap).alias("difference"), F.count_if(gap > 0).alias("pixels"))
     )
 

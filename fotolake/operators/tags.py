@@ -210,7 +210,7 @@ def rename_key(long: DataFrame, old: str, new: str) -> DataFrame:
     return kept.unionByName(held).unionByName(moved)
 
 
-def write_tags(df: DataFrame, path: str) -> None:
-    """The long table and, next to it, path and modification time."""
-    to_long(df).write.mode("overwrite").parquet(f"{path}/tags")
-    df.select("image_id", "mtime").write.mode("overwrite").parquet(f"{path}/times")
+def write_tags(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The long table and, next to it, path and modification time. What is there is replaced only if ``mode`` says so."""
+    to_long(df).write.mode(mode).parquet(f"{path}/tags")
+    df.select(*(c for c in ("image_id", "path", "mtime") if c in df.columns)).write.mode(mode).parquet(f"{path}/times")

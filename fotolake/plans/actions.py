@@ -90,7 +90,7 @@ def _dpi():
 
 
 def _window():
-    return {"size": Param("Radius", "int", "3", 3, 5)}
+    return {"size": Param("Radius", "int", "3", 3, 5, (3, 5))}
 
 
 def _position():

@@ -43,6 +43,8 @@ class Param:
                 raise InvalidField(f"{self.label}: invalid literal {t!r}") from None
             if self.low is not None and v < self.low or self.high is not None and v > self.high:
                 raise InvalidField(f"{self.label}: {v} is not between {self.low} and {self.high}")
+            if self.choices and v not in self.choices:
+                raise InvalidField(f"{self.label}: {v} is not one of {', '.join(map(str, self.choices))}")
             return v
         if self.kind == "bool":
             if t.lower() not in TRUE + FALSE:

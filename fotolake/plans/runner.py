@@ -141,6 +141,9 @@ class Result:
     issues: list[DataFrame]
 
     def report(self) -> DataFrame:
+        if not self.exports:
+            none = "CAST(NULL AS STRING)"
+            return E.report(self.files.selectExpr("*" if "path" in self.files.columns else f"*, {none} AS path", f"{none} AS target").limit(0))
         return reduce(DataFrame.unionByName, [E.report(e) for e in self.exports])
 
     def issue_log(self) -> DataFrame | None:
@@ -159,7 +162,7 @@ def _with_variables(pixels: DataFrame, files: DataFrame, names: set[str], settin
         cols.append("tags")
     if cols:
         facts = _corner(pixels).select("image_id", "width", "height").join(
-            files.select("image_id", *cols).dropDuplicates(["image_id"]), "image_id")
+            files.select("image_id", *cols).dropDuplicates(["image_id"]), "image_id", "left")
         out = core.join_per_image(out, facts)
     return out
 

@@ -34,7 +34,8 @@ IPTC_TAGS = {5: "ObjectName", 25: "Keywords", 55: "DateCreated", 80: "Byline", 9
 SUB_DIRECTORIES = {0x8769: IFD_TAGS, 0x8825: None}
 # Directory entry type -> (bytes, struct code, name).
 KINDS = {1: (1, "B", "int"), 2: (1, "s", "str"), 3: (2, "H", "int"), 4: (4, "I", "int"), 5: (8, "II", "rational"),
-         7: (1, "s", "bytes"), 9: (4, "i", "int"), 10: (8, "ii", "rational")}
+         6: (1, "b", "int"), 7: (1, "s", "bytes"), 8: (2, "h", "int"), 9: (4, "i", "int"), 10: (8, "ii", "rational"),
+         11: (4, "f", "float"), 12: (8, "d", "float")}
 PNG_MODES = {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}
 
 
@@ -49,15 +50,19 @@ def _entry(buf: bytes, order: str, kind: int, count: int, at: int):
     return " ".join(map(str, n)), name
 
 
-def _directory(buf: bytes, order: str, at: int, names: dict, prefix: str = ""):
+def _directory(buf: bytes, order: str, at: int, names: dict, prefix: str = "", seen: frozenset = frozenset()):
+    if at in seen:  # a directory that leads back to itself
+        return
     (count,) = struct.unpack_from(order + "H", buf, at)
     for i in range(count):
         tag, kind, n, value = struct.unpack_from(order + "HHII", buf, at + 2 + 12 * i)
         if tag in SUB_DIRECTORIES:
             sub = SUB_DIRECTORIES[tag]
-            yield from _directory(buf, order, value, sub or GPS_TAGS, "" if sub else "Exif_GPSInfo_")
+            yield from _directory(buf, order, value, sub or GPS_TAGS, "" if sub else "Exif_GPSInfo_", seen | {at})
         elif tag in names and kind in KINDS:
             where = value if KINDS[kind][0] * n > 4 else at + 2 + 12 * i + 8
+            if where + KINDS[kind][0] * n > len(buf):  # a count that the file cannot hold
+                continue
             yield (prefix + names[tag], *_entry(buf, order, kind, n, where))
 
 

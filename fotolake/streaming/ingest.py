@@ -9,8 +9,9 @@ from ..functions.paths import strip_file_scheme
 from ..operators.catalog import changed_files
 from ..sources.files import BINARY_SCHEMA
 
-# Copied photos keep old times; nothing that arrives may be too old to be read.
-MAX_FILE_AGE = "20000d"
+# Copied photos keep old times, down to the epoch. The source drops what is this much older than its newest file;
+# no time that a file can have is ten thousand years back.
+MAX_FILE_AGE = "3650000d"
 
 
 def new_files(spark: SparkSession, folder: str, glob: str | None = None, per_trigger: int = 100_000) -> DataFrame:

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from fotolake.registry import ORACLES, QUERIES
 from tools.check import rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -26,7 +27,7 @@ def test_entry(spark):
 
 
 def test_every_query_but_the_badge_has_sql():
-    assert set(queries()) - set(oracle_sql()) == {"plan_badge"}
+    assert set(QUERIES) - set(ORACLES) == {"plan_badge"}
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))

@@ -113,9 +113,11 @@ def test_stream_reads_old_files_once_and_rescan_finds_changes(spark, folder):
     run()
     run()
     (folder / "new.png").write_bytes(png_bytes(RGBA))
+    (folder / "epoch.png").write_bytes(png_bytes(RGBA))
+    os.utime(folder / "epoch.png", (0, 0))  # arrives late, with the oldest time there is
     run()
     catalog = spark.read.parquet(base + "/c")
-    assert sorted(r.path.rsplit("/", 1)[1] for r in catalog.collect()) == ["a.png", "bad.png", "new.png"]
+    assert sorted(r.path.rsplit("/", 1)[1] for r in catalog.collect()) == ["a.png", "bad.png", "epoch.png", "new.png"]
     time.sleep(0.01)
     old.write_bytes(png_bytes(RGB))
     listing = FS.scan_files(spark, str(folder), ["png"])

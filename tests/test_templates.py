@@ -113,3 +113,23 @@ def test_params():
     assert Param("L", "length", "5%").check("5 parsecs", set())
     assert not Param("L", "length", "5%").check("<min(width,height)> px", {"width", "height"})
     assert Param("T", "tag", "Exif_Image_Make").check("Make", set())
+
+
+def test_smallest_of_a_missing_value_is_missing(spark):
+    from pyspark.sql import functions as F
+
+    from fotolake.functions.templates import template
+
+    df = spark.createDataFrame([(5, None), (5, 2)], "w int, h int")
+    got = df.select(template("<max(h,3)>-<min(w,h)>", {"w", "h"}).alias("a"), template("<###h>", {"w", "h"}).alias("b"), F.lit(1)).collect()
+    assert [(r.a, r.b) for r in got] == [(None, None), ("3-2", "002")]
+
+
+def test_directories_that_loop_or_claim_too_much():
+    import struct
+
+    from fotolake.sources.metadata import parse_header
+
+    entries = [(0x8769, 4, 1, 8), (0x010F, 2, 1 << 31, 8), (0x0112, 3, 1, 6)]
+    buf = b"II*\0" + struct.pack("<IH", 8, len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + bytes(4)
+    assert [(t, v) for t, v, _ in parse_header(buf)] == [("Exif_Image_Orientation", "6")]
