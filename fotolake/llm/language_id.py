@@ -7,7 +7,7 @@ has `slots` rows whatever the corpus, which bounds what the driver gathers and b
 
 A prediction counts each language's bits over all trigrams of the text. With `f` the chance that an absent trigram
 passes (the language's share of set slots to the power `hashes`), `(count - n f) / (1 - f)` is the expected number that
-are really there. The largest wins; equal numbers go to the first language in order.
+are really there. The largest wins; equal numbers go to the first language in order, none at all too, with score 0.
 
 Letters are lower-cased one by one, everything else is a separator, and trigrams with two separators together are
 left out. NULL, empty and letterless texts give `und` with score 0; so does a model without languages. Rows with a
@@ -141,7 +141,7 @@ def _predict(rows: list[bytes], model: LanguageModel, rates: np.ndarray) -> tupl
         real = np.clip((counts - n * rates[:, None]) / np.maximum(1 - rates, 1e-9)[:, None], 0, None)
         best = real.argmax(0) if n_lang else np.zeros(b - a, int)
         most = real.max(0) if n_lang else np.zeros(b - a)
-        names += ["und" if m <= 0 else model.languages[i] for i, m in zip(best, most)]
+        names += [model.languages[i] if letters and n_lang else "und" for i, letters in zip(best, n)]
         scores[a:b] = np.minimum(1, most / np.maximum(n, 1))
         sizes[a:b] = n
     return names, scores, sizes
