@@ -80,6 +80,8 @@ class Param:
         if self.kind in ("length", "size", "dpi"):
             # With every part read as a number the text must be a length or size.
             shape = TP.PART.sub("1", str(text))
+            if self.kind == "dpi" and not re.fullmatch(r"\s*0*[1-9][0-9]*(\.[0-9]+)?\s*", shape):
+                return [f"{self.label}: {text!r} is not a dpi"]
             good = re.match(SIZE if self.kind == "size" else LENGTH, shape)
             return [] if good else [f"{self.label}: {text!r} is not a {self.kind}"]
         if "<" in str(text) or self.kind == "text":

@@ -167,6 +167,13 @@ def _with_variables(pixels: DataFrame, files: DataFrame, names: set[str], settin
     return out
 
 
+def _per_repeat(df: DataFrame, repeat: int) -> DataFrame:
+    """One image per repeat, named ``image_id#repeatindex``."""
+    if "repeatindex" not in df.columns:
+        df = df.withColumn("repeatindex", F.explode(F.sequence(F.lit(0), F.lit(repeat - 1))))
+    return df.withColumn("image_id", F.concat(F.col("image_id").cast("string"), F.lit("#"), F.col("repeatindex")))
+
+
 # Actions that read their input twice: an aggregate or a second image is joined back.
 READ_TWICE = {"Contrast", "Auto Contrast", "Equalize", "Crop", "Color to Alpha", "Transpose", "Rotate",
               "Perspective", "Tamogen"}
@@ -190,6 +197,10 @@ class Runner:
         self.files = batch.files.withColumn("desktop", F.lit(settings.desktop)) \
             if "desktop" not in batch.files.columns else batch.files
         self.pixels = batch.pixels
+        if settings.repeat > 1:
+            self.files = _per_repeat(self.files, settings.repeat)
+            if self.pixels is not None:
+                self.pixels = _per_repeat(self.pixels, settings.repeat).select(*core.COLUMNS)
         self.result = Result(self.files, self.pixels, [], [], [], [], [])
         self.pending = 0  # pixel steps since the pixels were last written
 
@@ -220,6 +231,9 @@ class Runner:
         names = reduce(set.union, (required_vars(str(t)) for t in step.texts.values()), set())
         table = _with_variables(self.pixels, self.files, names, self.settings)
         variables = set(table.columns)
+        for key, p in step.action.params.items():
+            if p.kind == "dpi":  # the lengths of this action are in its own resolution
+                table = table.withColumn("dpi", p.value(step.texts[key], variables))
         values = {k: p.value(step.texts[k], variables) for k, p in step.action.params.items()}
         table, untouched = self._guard(step.action.label, table, values, step.texts, _corner(table))
         if step.action.stamp:
@@ -282,6 +296,11 @@ class Runner:
         t = step.texts
         plan = E.export_plan(self._sized(), t["name"], t["folder"], t.get("type", "<type>"))
         self.result.issues.append(E.template_issues(plan, step.action.label))
+        if self.pixels is not None:
+            unknown = _corner(self.pixels).join(self.files, "image_id", "left_anti")
+            self.result.issues.append(unknown.select(
+                F.col("image_id").cast("string").alias("path"), F.lit(step.action.label.lower()).alias("action"),
+                F.lit("error").alias("severity"), F.lit("no file belongs to this image").alias("message")))
         if self.settings.on_error == "stop" and plan.filter("target IS NULL").head(1):
             raise ActionFailed(f"{step.action.label}: a name reads a missing value")
         if self.batch.existing is not None and not self.settings.overwrite_existing_images \

@@ -67,6 +67,37 @@ def _(spark, sf):
     return R.run_plan(steps, batch, R.Settings(on_error="skip")).issue_log()
 
 
+@query("plan_repeat", with_rgba(" SELECT image_id, CAST(n AS INTEGER) AS repeatindex, width, height, (x + n) % width AS x, y, r, g, b, a "
+                               "FROM rgba, (VALUES (0), (1), (2)) t(n)"))
+def _(spark, sf):
+    """Three runs of each image, the n-th moved by n."""
+    batch = _batch(spark, sf)
+    batch.files = C.repeated(batch.files.withColumn("imageindex", F.col("image_id")), 3)
+    steps = _plan(("Offset", {"Horizontal Offset": "<repeatindex> px", "Vertical Offset": "0"}))
+    out = R.run_plan(steps, batch, R.Settings(repeat=3, no_save=True)).pixels
+    run = F.split("image_id", "#")
+    return out.withColumns({"repeatindex": run[1].cast("int"), "image_id": run[0].cast("long")})
+
+
+@query("plan_resolution", with_rgba(" SELECT image_id, 16 AS width, 16 AS height, 2 * x + i AS x, 2 * y + j AS y, r, g, b, a "
+                                    "FROM rgba, (VALUES (0), (1)) s(i), (VALUES (0), (1)) t(j)"))
+def _(spark, sf):
+    """An inch at the action's own resolution."""
+    steps = _plan(("Scale", {"Canvas Width": "1 inch", "Canvas Height": "1 inch", "Resolution": "16",
+                             "Constrain Proportions": "no", "Resample Image": "nearest"}))
+    return R.run_plan(steps, _batch(spark, sf), R.Settings(no_save=True)).pixels
+
+
+@query("plan_missing_file", with_rgba("""
+ SELECT DISTINCT CAST(image_id AS VARCHAR) AS path, 'save' AS action, 'error' AS severity, 'no file belongs to this image' AS message
+ FROM rgba WHERE image_id % 5 = 0"""))
+def _(spark, sf):
+    """Images whose file row is missing are reported where a save cannot name them."""
+    batch = _batch(spark, sf)
+    batch.files = batch.files.filter("image_id % 5 <> 0")
+    return R.run_plan(_plan(("Save", {"As": "png", "In": "/out"})), batch, R.Settings(on_error="skip")).issue_log()
+
+
 @query("plan_badge")
 def _(spark, sf):
     """The shiny badge list: fit, background, mask, contour, highlight, shadow, save."""

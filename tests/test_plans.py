@@ -150,3 +150,28 @@ def test_parameter_grid_and_number_kinds(spark):
     assert Param("Amount", "slider", "1", 0, 100).value("<2*30>", set()) == 60
     with pytest.raises(InvalidField):
         Param("Radius", "int", "3", 3, 5).value("<width>", {"width"})
+
+
+def test_repeats_keep_all_images(batch):
+    files = C.repeated(batch.files.withColumn("imageindex", F.col("image_id")), 2)
+    steps = R.load_plan(plan(("Invert", {}), ("Save", {"As": "png", "In": "/out", "File Name": "<filename>_<repeatindex>"})))
+    out = R.run_plan(steps, R.Batch(files, batch.pixels), R.Settings(repeat=2))
+    assert out.pixels.groupBy("image_id").count().orderBy("image_id").collect() == [(f"{i}#{r}", 48) for i in range(3) for r in range(2)]
+    names = {(r.image_id, r.target) for r in out.exports[0].collect()}
+    assert names == {(f"{i}#{r}", f"/out/p{i}_{r}.png") for i in range(3) for r in range(2)}
+
+
+def test_repeats_without_an_index(batch):
+    out = R.run_plan(R.load_plan(plan(("Invert", {}))), batch, R.Settings(repeat=3, no_save=True))
+    assert out.pixels.count() == 3 * 3 * 48 and out.files.count() == 9
+
+
+@pytest.mark.parametrize("dpi, good", [("144", True), ("<dpi>", True), ("0", False), ("-3", False), ("144 px", False), ("many", False)])
+def test_resolution_is_a_positive_number(batch, dpi, good):
+    steps = R.load_plan(plan(("Scale", {"Canvas Width": "0.5 inch", "Canvas Height": "0.5 inch", "Resolution": dpi, "Constrain Proportions": "no"})))
+    if not good:
+        with pytest.raises(R.InvalidPlan, match="dpi"):
+            R.run_plan(steps, batch, R.Settings(no_save=True))
+        return
+    size = R.run_plan(steps, batch, R.Settings(no_save=True)).pixels.select("width", "height").distinct().collect()
+    assert size == [(72, 72)] if dpi == "144" else size == [(36, 36)]
