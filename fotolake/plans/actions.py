@@ -132,7 +132,8 @@ def _background(df, stamp, fill, color, method, opacity, **kw):
 
 def _transpose(df, method, amount):
     if method == "Orientation":
-        return df  # decoding keeps the stored order; the tag is applied by ``orient``
+        # the runner adds the tags; images without the tag, or with another value, are upright
+        return G.orient(df, F.try_element_at("tags", F.lit("Exif_Image_Orientation")).try_cast("int")) if "tags" in df.columns else df
     return G.transpose(df, turn_code(method), amount)
 
 

@@ -174,6 +174,9 @@ def _per_repeat(df: DataFrame, repeat: int) -> DataFrame:
     return df.withColumn("image_id", F.concat(F.col("image_id").cast("string"), F.lit("#"), F.col("repeatindex")))
 
 
+ORIENTATION = "Exif_Image_Orientation"
+
+
 # Actions that read their input twice: an aggregate or a second image is joined back.
 READ_TWICE = {"Contrast", "Auto Contrast", "Equalize", "Crop", "Color to Alpha", "Transpose", "Rotate",
               "Perspective", "Tamogen"}
@@ -229,6 +232,9 @@ class Runner:
         if step.action.label in READ_TWICE:
             self._materialize()
         names = reduce(set.union, (required_vars(str(t)) for t in step.texts.values()), set())
+        upright = step.action.label == "Transpose" and step.texts["method"] == "Orientation" and "tags" in self.files.columns
+        if upright:
+            names.add(ORIENTATION)
         table = _with_variables(self.pixels, self.files, names, self.settings)
         variables = set(table.columns)
         for key, p in step.action.params.items():
@@ -245,6 +251,9 @@ class Runner:
         out = step.action.fn(table, **values).select(*core.COLUMNS)
         if untouched is not None:
             out = out.unionByName(untouched.select(*core.COLUMNS))
+        if upright:  # what is saved from here on needs no more turning
+            self.files = self.files.withColumn("tags", F.transform_values(
+                "tags", lambda k, v: F.when(k == ORIENTATION, F.lit("1")).otherwise(v)))
         self.pixels = out
         self.pending += 1
 

@@ -88,6 +88,19 @@ def _(spark, sf):
     return R.run_plan(steps, _batch(spark, sf), R.Settings(no_save=True)).pixels
 
 
+@query("plan_orient", with_rgba(""", o AS (SELECT *, CASE WHEN image_id % 3 = 0 THEN 1 ELSE image_id % 8 + 1 END AS o FROM rgba)
+ SELECT image_id, width, height,
+  CASE WHEN o IN (2, 3) THEN 7 - x WHEN o IN (5, 8) THEN y WHEN o IN (6, 7) THEN 7 - y ELSE x END AS x,
+  CASE WHEN o IN (3, 4) THEN 7 - y WHEN o IN (5, 6) THEN x WHEN o IN (7, 8) THEN 7 - x ELSE y END AS y,
+  r, g, b, a FROM o"""))
+def _(spark, sf):
+    """Upright by the tag, which then says so: the second turn finds nothing to do."""
+    batch = _batch(spark, sf)
+    turned = F.when(F.col("image_id") % 3 != 0, (F.col("image_id") % 8 + 1).cast("string"))
+    batch.files = T.set_tags(batch.files, {"Exif_Image_Orientation": turned})
+    return R.run_plan(_plan(("Transpose", {}), ("Transpose", {})), batch, R.Settings(no_save=True)).pixels
+
+
 @query("plan_missing_file", with_rgba("""
  SELECT DISTINCT CAST(image_id AS VARCHAR) AS path, 'save' AS action, 'error' AS severity, 'no file belongs to this image' AS message
  FROM rgba WHERE image_id % 5 = 0"""))
