@@ -433,3 +433,10 @@ def test_near_copies_odd(odd, none):
     kept = simhash.keep_one(odd).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["1", "4", "5", "6", "None"]
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
+
+
+def test_language_of_unknown_letters(spark, odd):
+    strange = spark.createDataFrame([(1, "жщ жщ"), (2, "12 -- 3"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in language_id.predict(strange, language_id.train(odd)).collect()}
+    assert got[1].lang_pred in ("de", "en") and got[1].score == 0
+    assert got[2].lang_pred == got[3].lang_pred == "und"
