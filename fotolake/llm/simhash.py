@@ -128,7 +128,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = nodes.join(linked, "node", "left_semi").select("node", F.col("label").alias("own"))
         jump = least.join(labels, "node").groupBy("own").agg(F.min("label").alias("further"))
         moved = least.join(jump, least["label"] == jump["own"], "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
-        state = written(moved.select("node", "label", (F.col("label") != F.col("old")).alias("changed")))
+        state = written(moved.select("node", "label", (~F.col("label").eqNullSafe(F.col("old"))).alias("changed")))
     return nodes.join(state.select("node", F.col("label").alias("reached")), "node", "left").select("node", F.coalesce("reached", "label").alias("label"))
 
 

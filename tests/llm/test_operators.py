@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -320,6 +321,7 @@ def base_spans(text):
 PRIVATE = [
     (1, "é mail a.b@c.d.e, x@y, 1.2.3.4.5.6.7.8 999.1.1.1 0000255.01.1.1 +1 (555) 123-4567 4111 1111 1111 1111 411111111111111"), (2, "@@ a@b.c@d.e +1 2 +49 (0)30-12345678 ."),
     (3, "🙂🙂 4111-1111-1111-1111 99999999999999999999999999999999999999.1.1.1"), (4, "a@" + "b.c" * 5000), (5, "1 " * 3000),
+    *((100 + i, "".join(random.Random(i).choices("ab1.@+- é2", (4, 1, 4, 4, 2, 1, 1, 2, 1, 4), k=120))) for i in range(400)),
 ]
 
 
@@ -345,6 +347,11 @@ def test_personal_data_discovers(spark):
     assert masked[100].out == "write to [EMAIL] today" and masked[3].out == "write to [EMAIL] today" and masked[101].out == "the year 1999 was good"
 
 
+def test_personal_data_in_long_runs(spark):
+    docs = spark.createDataFrame([(1, "x" * 400_000 + " @ " + "7" * 400_000 + ". a@b.c")], "doc_id long, text string")
+    assert rows(pii.digest(pii.find(docs)))[1].spans == "email:800005:800010"
+
+
 def test_personal_data_odd(odd, none):
     got = pii.digest(pii.find(odd.withColumn("spans", F.lit("old")))).collect()
     assert len(got) == len(ODD) and all(r.spans == "" for r in got if r.doc_id != 6)
@@ -399,6 +406,9 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long")
     got = {r.node: r.label for r in simhash.components(nodes, edges).collect()}
     assert {got[i] for i in range(n)} == {1000} and len(got) == n + 2
+    nameless = spark.createDataFrame([(0, 1), (1, None), (2, None), (3, 5)], "node long, label long")
+    got = simhash.components(nameless, spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "a long, b long"))
+    assert {r.label for r in got.collect()} == {1}
 
 
 def test_near_copies(spark, texts):
