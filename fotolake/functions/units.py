@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from .pixels import as_column
 
-LENGTH = r"^\s*([+-]?[0-9]*\.?[0-9]+)\s*(px|cm|mm|inch|%)?\s*$"
+NUMBER = r"[0-9]*\.?[0-9]+"
+FACTOR = rf"{NUMBER}\s*(?:px|cm|mm|inch|%)?"
+TERM = rf"{FACTOR}(?:\s*[*/]\s*{FACTOR})*"
+SIGNS = r"[+-]?\s*[+-]?\s*"
+LENGTH = rf"^\s*{SIGNS}{TERM}(?:\s*[+-]\s*[+-]?\s*{TERM})*\s*$"
 SIZE = r"^\s*([0-9]*\.?[0-9]+)\s*(bt|kb|mb|gb)?\s*$"
 
 
@@ -15,21 +21,57 @@ def round_half_away(c: Column) -> Column:
     return F.when(c < 0, -F.floor(-c + F.lit(0.5))).otherwise(F.floor(c + F.lit(0.5))).cast("long")
 
 
+def _times(value: Column, whole: Column, divides: Column, number: Column, factor: Column) -> Column:
+    """A term's value after one more factor; whole numbers are divided without a rest."""
+    ratio = F.try_divide(value, number)
+    return F.when(divides, F.when(whole, F.floor(ratio).cast("double")).otherwise(ratio)).otherwise(value * number) * factor
+
+
 def length_px(text, base, dpi=72) -> Column:
-    """Pixels of ``"5%"``, ``"2 cm"``, ``"1 inch"``, ``"10px"`` or a bare number.
-    ``base`` is what 100% stands for.  Anything else gives NULL."""
-    text = F.lit(text) if not isinstance(text, Column) else text.cast("string")
+    """Pixels of ``"5%"``, ``"2 cm"``, ``"1 inch"``, ``"10px"``, a bare number, or sums and products of such
+    (``"50% - 10px"``, ``"2*1cm"``).  A unit counts for all that stands before it in its term.
+    ``base`` is what 100% stands for.  Anything else gives NULL, division by zero too."""
     base, dpi = as_column(base).cast("double"), as_column(dpi).cast("double")
-    number = F.regexp_extract(text, LENGTH, 1)
-    unit = F.regexp_extract(text, LENGTH, 2)
-    factor = (
-        F.when(unit == "%", base / F.lit(100.0))
-        .when(unit == "cm", dpi / F.lit(2.54))
-        .when(unit == "mm", dpi / F.lit(25.4))
-        .when(unit == "inch", dpi)
-        .otherwise(F.lit(1.0))
-    )
-    return F.when(number != "", round_half_away(number.try_cast("double") * factor))
+    factors = {"%": base / F.lit(100.0), "cm": dpi / F.lit(2.54), "mm": dpi / F.lit(25.4), "inch": dpi}
+    if not isinstance(text, Column):
+        return _literal_px(str(text), factors)
+
+    def factor_of(unit: Column) -> Column:
+        out = F.lit(1.0)
+        for name, factor in factors.items():
+            out = F.when(unit == name, factor).otherwise(out)
+        return out
+
+    def step(state: Column, part: Column) -> Column:
+        number, unit = F.regexp_extract(part, NUMBER, 0), F.regexp_extract(part, "[a-z%]+", 0)
+        whole = state["whole"] & ~number.contains(".")
+        value = _times(state["value"], whole, part.startswith("/"), number.cast("double"), factor_of(unit))
+        return F.struct(value.alias("value"), (whole & unit.isin("", "px")).alias("whole"))
+
+    def term(found: Column) -> Column:
+        parts = F.regexp_extract_all(found, F.lit(rf"[*/]?\s*{FACTOR}"), F.lit(0))
+        value = F.aggregate(parts, F.struct(F.lit(1.0).alias("value"), F.lit(True).alias("whole")), step)["value"]
+        return F.when(F.length(F.regexp_replace(found, "[^-]", "")) == 1, -value).otherwise(value)
+
+    text = text.cast("string")
+    terms = F.regexp_extract_all(text, F.lit(SIGNS + TERM), F.lit(0))
+    return F.when(text.rlike(LENGTH), round_half_away(F.aggregate(terms, F.lit(0.0), lambda a, t: a + term(t))))
+
+
+def _literal_px(text: str, factors: dict[str, Column]) -> Column:
+    """The same for a fixed text, as plain arithmetic."""
+    if not re.match(LENGTH, text):
+        return F.lit(None).cast("long")
+    total = None
+    for found in re.findall(SIGNS + TERM, text):
+        value, whole, negative = F.lit(1.0), True, found.count("-") == 1
+        for op, number, unit in re.findall(rf"([*/]?)\s*({NUMBER})\s*(px|cm|mm|inch|%)?", found):
+            whole = whole and "." not in number
+            value = _times(value, F.lit(whole), F.lit(op == "/"), F.lit(float(number)), factors.get(unit, F.lit(1.0)))
+            whole = whole and unit in ("", "px")
+        value = -value if negative else value
+        total = value if total is None else total + value
+    return round_half_away(total)
 
 
 def size_bytes(text) -> Column:

@@ -98,7 +98,7 @@ class Param:
         if self.kind in ("length", "size", "dpi"):
             col = TP.template(text, variables) if "<" in text else F.lit(text)
             if self.kind == "length":
-                return length_px(col, self.base() if self.base else F.lit(0), F.col("dpi"))
+                return length_px(col if "<" in text else text, self.base() if self.base else F.lit(0), F.col("dpi"))
             if self.kind == "size":
                 return size_bytes(col)
             return F.when(col.try_cast("double") > 0, col.try_cast("double").cast("int"))

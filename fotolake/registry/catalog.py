@@ -195,15 +195,16 @@ def _(spark, sf):
 
 
 @query("length_px", with_files("""
-, t AS (SELECT file_id, length, CASE file_id % 5 WHEN 0 THEN '5%' WHEN 1 THEN '-5%' WHEN 2 THEN '2 cm' WHEN 3 THEN '1 inch'
-        ELSE '10px' END AS size FROM files)
-SELECT file_id, CAST(CASE file_id % 5
-   WHEN 0 THEN floor(5.0e0 * (CAST(length AS DOUBLE) / 100.0e0) + 0.5e0)
-   WHEN 1 THEN -floor(5.0e0 * (CAST(length AS DOUBLE) / 100.0e0) + 0.5e0)
-   WHEN 2 THEN floor(2.0e0 * (72.0e0 / 2.54e0) + 0.5e0) WHEN 3 THEN 72 ELSE 10 END AS BIGINT) AS px FROM t"""))
-def _(spark, sf):
-    sizes = F.array(*[F.lit(s) for s in ("5%", "-5%", "2 cm", "1 inch", "10px")])
-    text = F.element_at(sizes, (F.col("file_id") % 5 + 1).cast("int"))
+, v AS (SELECT file_id, CASE file_id % 8
+   WHEN 0 THEN 5.0e0 * (CAST(length AS DOUBLE) / 100.0e0) WHEN 1 THEN -5.0e0 * (CAST(length AS DOUBLE) / 100.0e0)
+   WHEN 2 THEN 2.0e0 * (72.0e0 / 2.54e0) WHEN 3 THEN 72.0e0 WHEN 4 THEN 10.0e0
+   WHEN 5 THEN 50.0e0 * (CAST(length AS DOUBLE) / 100.0e0) - 10.0e0
+   WHEN 6 THEN 2.0e0 * (72.0e0 / 2.54e0) ELSE floor(length / 2.0e0) END AS v FROM files)
+SELECT file_id, CAST(CASE WHEN v < 0 THEN -floor(-v + 0.5e0) ELSE floor(v + 0.5e0) END AS BIGINT) AS px FROM v"""))
+def _(spark, sf):
+    half = F.concat(F.col("length").cast("string"), F.lit("/2 px"))
+    sizes = F.array(*[F.lit(s) for s in ("5%", "-5%", "2 cm", "1 inch", "10px", "50% - 10px", "2*1cm")], half)
+    text = F.element_at(sizes, (F.col("file_id") % 8 + 1).cast("int"))
     return X.files(spark, sf).select("file_id", U.length_px(text, F.col("length")).alias("px"))
 
 

@@ -53,9 +53,12 @@ def test_required_vars():
 
 
 @pytest.mark.parametrize("text,want", [("5%", 10), ("-5%", -10), ("2 cm", 57), ("1 inch", 72), ("10px", 10), ("10", 10),
-                                       ("25.4mm", 72), ("0.4 %", 1), ("ten", None), ("", None)])
+                                       ("25.4mm", 72), ("0.4 %", 1), ("ten", None), ("", None),
+                                       ("50% - 10px", 90), ("2*1cm", 57), ("7/2 px", 3), ("7.0/2", 4), ("10 - -5", 15),
+                                       ("-3/2", -1), ("1cm*2", 57), ("1/0", None), ("5 5", None), ("50%-", None)])
 def test_length(spark, text, want):
     assert one(spark, U.length_px(text, 200)) == want
+    assert one(spark, U.length_px(F.lit(text), 200)) == want
 
 
 @pytest.mark.parametrize("text,want", [("5kb", 5120), ("5mb", 5242880), ("10 bt", 10), ("1gb", 1 << 30), ("x", None)])
