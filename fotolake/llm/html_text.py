@@ -5,9 +5,10 @@ from the root down. Numbers in them are dropped, so that alike nodes share a pat
 the punctuation of its nodes are added up; the text ratio is length per node, the punctuation ratio punctuation per
 node, and each is lowered by the share of link text. Over the sequence of nodes both are smoothed by a Gaussian window,
 so that a short node among content keeps a content value, and fused into one product. The threshold is the standard
-deviation of the fused values; a path is content if the mean of its nodes reaches it. Content paths lie in one region:
-the deepest element that holds most of the content's length. Every other path in that region is taken too, because
-nothing of the article is to be lost, and nothing outside is.
+deviation of the fused values; a path is content if the mean of its nodes reaches it. No node of such a path is dropped.
+Content paths lie in one region: the article or main element around them all, or one that holds most of their length, or
+else the deepest block around them all. Every other path in that region is taken too, and so are headings before it in
+the same parent, because nothing of the article is to be lost.
 
 Elements that are never an article's text are not read at all: scripts, styles, forms, menus, page headers and footers,
 sidebars, adverts, notices and comments, known by tag, role, id or class. If nothing reaches the threshold, the region
@@ -43,6 +44,8 @@ OTHER = {
     "menu", "nav", "navbar", "navigation", "newsletter", "subscribe", "popup", "modal", "related", "recommended", "share", "sharing", "social",
     "sidebar", "side", "widget", "toolbar", "login", "signup", "search", "reply", "replies", "respond", "disqus", "copyright", "skip", "pager", "pagination",
 }
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PARTS = {"p", "ul", "ol", "li", "blockquote", "pre", "table", "dl", "dt", "dd", "td", "th", "tr", "tbody"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert"}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -154,20 +157,32 @@ def _smooth(x: np.ndarray, radius: int = 1) -> np.ndarray:
     return total[: len(x)] / norm[: len(x)]
 
 
+def _element(part: str) -> str:
+    return re.match(r"[^.]*", part)[0]
+
+
 def _region(paths: list[tuple[str, ...]], lengths: np.ndarray) -> tuple[str, ...]:
-    """The deepest path below which most of the length lies."""
-    total, region = lengths.sum(), ()
-    while True:
-        depth, under = len(region), {}
-        for p, n in zip(paths, lengths):
-            if len(p) > depth and p[:depth] == region:
-                under[p[depth]] = under.get(p[depth], 0) + n
-        best = max(under, key=under.get, default=None)
-        name = best and re.match(r"[a-z0-9]*", best)[0]
-        # a paragraph is no region, even if it holds most of the text
-        if best is None or under[best] < 0.6 * total or name in INLINE or name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "blockquote", "pre", "table", "dl", "td", "tr", "tbody"):
-            return region
-        region = (*region, best)
+    """The article or main element around all paths; else one that holds most of the length; else the deepest block around all paths."""
+    low, high = min(paths), max(paths)
+    depth = 0
+    while depth < min(len(low), len(high)) and low[depth] == high[depth]:
+        depth += 1
+    common = low[:depth]
+    for d in range(depth, 0, -1):
+        if _element(common[d - 1]) in ("article", "main"):
+            return common[:d]
+    held: dict[tuple[str, ...], float] = {}
+    for p, n in zip(paths, lengths):
+        for d in range(depth, len(p)):
+            if _element(p[d]) in ("article", "main"):
+                held[p[: d + 1]] = held.get(p[: d + 1], 0) + n
+    most = [r for r, n in held.items() if n >= 0.6 * lengths.sum()]
+    if most:
+        return max(most, key=len)
+    # a paragraph is no region, even if it holds all of the text
+    while common and (name := _element(common[-1])) and (name in INLINE or name in PARTS or name in HEADINGS):
+        common = common[:-1]
+    return common
 
 
 def main_text(html: str) -> str:
@@ -194,11 +209,21 @@ def main_text(html: str) -> str:
     per_path = np.bincount(of, np.where(chosen, length, 0))
     region = _region([ids[k] for k in range(len(ids)) if per_path[k]], per_path[per_path > 0])
     depth = len(region)
+    selected = {ids[k] for k in range(len(ids)) if per_path[k]}
+    # headings before the region in the same parent are the article's
+    start = next(i for i in shown if nodes[i][0][:depth] == region)
+    above = region[:-1]
+
+    def kept(i: int, path: tuple[str, ...]) -> bool:
+        if path[:depth] == region or path in selected:
+            return True
+        return i < start and len(path) >= depth > 0 and path[: depth - 1] == above and _element(path[depth - 1]) in HEADINGS
+
     # nodes in page order; a block's pieces are joined as they stand
     blocks: list[list[str]] = []
     last = None
-    for path, block, _, piece in nodes:
-        if path[:depth] == region:
+    for i, (path, block, _, piece) in enumerate(nodes):
+        if kept(i, path):
             if block != last:
                 blocks.append([])
                 last = block
