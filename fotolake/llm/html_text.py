@@ -11,7 +11,9 @@ else the deepest block around them all. Every other path in that region is taken
 the same parent, because nothing of the article is to be lost.
 
 Elements that are never an article's text are not read at all: scripts, styles, forms, menus, page headers and footers,
-sidebars, adverts, notices and comments, known by tag, role, id or class. If nothing reaches the threshold, the region
+sidebars, adverts, notices and comments, known by tag, role, id or class. A class or id counts as a whole: `sidebar` or
+`cookie-notice`, not `has-sidebar`. No such name skips html, body, main or article, nor an element with most of the
+page's text unless an article or main element has text besides. If nothing reaches the threshold, the region
 is the whole body.
 
 NULL and empty pages give the empty text; so do pages without text. Repeated rows and ties need no rule: each page
@@ -46,6 +48,8 @@ OTHER = {
 }
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PARTS = {"p", "ul", "ol", "li", "blockquote", "pre", "table", "dl", "dt", "dd", "td", "th", "tr", "tbody"}
+#: Elements that no name makes something else than the page or its article.
+WHOLE = {"html", "body", "main", "article"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert"}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -56,27 +60,33 @@ _NAME = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
 
 
-def _attributes(source: str) -> tuple[str, bool]:
-    """What names the element, and whether that means it is not an article's text."""
+def _attributes(source: str) -> tuple[str, bool, bool]:
+    """What names the element, whether it is hidden, and whether its names mean that it is not an article's text."""
     if not source or source.isspace():
-        return "", False
-    names, skip = [], False
+        return "", False, False
+    names, hidden, skip = [], False, False
     for key, value in _ATTRIBUTE.findall(source):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            skip = True
+            hidden = True
         elif key == "role":
             skip |= value in ROLES
         elif key in ("class", "id"):
-            skip |= any(n in OTHER for n in _NAME.findall(value))
+            # a whole token; a compound only if each of its words says so
+            skip |= any((own := _NAME.findall(token)) and all(n in OTHER for n in own) for token in value.split())
             names.append(_DIGITS.sub("", value))
-    return "." + " ".join(names) if names else "", skip
+    return "." + " ".join(names) if names else "", hidden, skip
 
 
 def nodes_of(html: str) -> list[tuple[tuple[str, ...], int, bool, str]]:
     """Text nodes that may be content: path, number of their block, whether in a link, raw text."""
     out: list[tuple[tuple[str, ...], int, bool, str]] = []
+    of: list[int] = []  # of each text node: the innermost element around it that its name alone would skip
+    outer = [-1]  # of each such element, from 1 on: the one around it
     names: list[str] = []  # open elements
+    places: dict[str, list[int]] = {}  # by name: where in the list they are
+    blocks: list[int] = []  # those that are not inline
+    named: list[int] = []  # of each open element: the innermost one, itself included, that its name alone would skip
     path: tuple[str, ...] = ()
     skipped: list[bool] = []  # of each open element: it and what is inside does not count
     links = block = at = 0
@@ -86,7 +96,11 @@ def nodes_of(html: str) -> list[tuple[tuple[str, ...], int, bool, str]]:
         nonlocal path, links, block
         while len(names) > to:
             name = names.pop()
+            places[name].pop()
+            if name not in INLINE:
+                blocks.pop()
             skipped.pop()
+            named.pop()
             path = path[:-1]
             links -= name == "a"
             block += name not in INLINE
@@ -94,6 +108,7 @@ def nodes_of(html: str) -> list[tuple[tuple[str, ...], int, bool, str]]:
     def text(piece: str) -> None:
         if piece and not (skipped and skipped[-1]):
             out.append((path, block, links > 0, piece))
+            of.append(named[-1] if named else 0)
 
     for found in _TAG.finditer(html):
         if raw_end is not None:
@@ -110,16 +125,13 @@ def nodes_of(html: str) -> list[tuple[tuple[str, ...], int, bool, str]]:
             continue
         name = name.lower()
         if closing:
-            if name == "p" and "p" not in names:
+            if name == "p" and not places.get("p"):
                 block += 1
-            for i in range(len(names) - 1, max(-1, len(names) - 256), -1):
-                if names[i] == name:
-                    close(i)
-                    break
-                if name in INLINE and names[i] not in INLINE:
-                    break  # a stray end of an inline element does not end its block
+            # a stray end of an inline element does not end its block
+            if places.get(name) and not (name in INLINE and blocks and blocks[-1] > places[name][-1]):
+                close(places[name][-1])
             continue
-        label, skip = _attributes(rest)
+        label, skip, by_name = _attributes(rest)
         if name in ENDS_P or name in CLOSED_BY:
             ends = CLOSED_BY.get(name, set()) | ({"p"} if name in ENDS_P else set())
             for i in range(len(names) - 1, -1, -1):
@@ -135,18 +147,46 @@ def nodes_of(html: str) -> list[tuple[tuple[str, ...], int, bool, str]]:
             block += 1
         if name in VOID or rest.rstrip().endswith("/"):
             continue
-        skip |= name in SKIPPED or (name == "header" and "article" not in names and "main" not in names) or name in RAW
+        skip |= name in SKIPPED or (name == "header" and not places.get("article") and not places.get("main")) or name in RAW
         if name in RAW:
             end = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(html, at)
             raw_end = at = end.end() if end else len(html)
             continue
+        places.setdefault(name, []).append(len(names))
+        if name not in INLINE:
+            blocks.append(len(names))
         names.append(name)
+        around = named[-1] if named else 0
+        if by_name and name not in WHOLE:
+            outer.append(around)
+            around = len(outer) - 1
+        named.append(around)
         skipped.append(skip or bool(skipped and skipped[-1]))
         path = (*path, name + label)
         links += name == "a"
     if at < len(html) and raw_end is None or raw_end is not None and raw_end < len(html) and at < len(html):
         text(html[at:])
-    return out
+    return _without(out, of, outer)
+
+
+def _without(nodes: list[tuple[tuple[str, ...], int, bool, str]], of: list[int], outer: list[int]) -> list[tuple[tuple[str, ...], int, bool, str]]:
+    """The nodes outside elements skipped by name.
+
+    An element with most of the page's text is not skipped, unless an article or main element has text besides."""
+    if len(outer) == 1:
+        return nodes
+    shown = [len(n[3].strip()) for n in nodes]
+    skip = [k > 0 for k in range(len(outer))]
+    if not any(n and k == 0 and any(p.partition(".")[0] in ("article", "main") for p in node[0]) for n, k, node in zip(shown, of, nodes)):
+        held = [0] * len(outer)
+        for n, k in zip(shown, of):
+            held[k] += n
+        for k in range(len(outer) - 1, 0, -1):
+            held[outer[k]] += held[k]
+        skip = [k > 0 and 2 * held[k] <= sum(shown) for k in range(len(outer))]
+    for k in range(1, len(outer)):
+        skip[k] |= skip[outer[k]]
+    return [node for node, k in zip(nodes, of) if not skip[k]]
 
 
 def _smooth(x: np.ndarray, radius: int = 1) -> np.ndarray:

@@ -20,3 +20,24 @@ def test_lead_and_title_beside_the_body_stay():
 def test_selected_paths_stay():
     for page in (f"<body><div class='one'><p>{BODY}</p></div><div class='two'><p>{BODY}</p><p>{BODY}</p><p>{BODY}</p></div></body>", f"<body><article><p>{BODY}</p><p>{BODY}</p><p>{BODY}</p></article><div class='more'><p>{BODY}</p></div></body>"):
         assert html_text.main_text(page) == _said(*[BODY] * 4)
+
+
+def test_names_skip_no_whole_page():
+    for page in (
+        f"<html class='no-cookie'><body class='has-sidebar'><main id='search'><article class='post social'><header class='entry-header'><h1>Title</h1></header><p>{BODY}</p></article></main></body></html>",
+        f"<html><body><div id='content-side'><h1>Title</h1><p>{BODY}</p></div></body></html>",
+        f"<html><body><div class='widget'><h1>Title</h1><p>{BODY}</p></div><div class='share'>Share, now!</div></body></html>",
+    ):
+        assert html_text.main_text(page) == _said("Title", BODY)
+
+
+def test_names_skip_what_they_name():
+    comments = f"<div id='comments'><div class='reply'><p>{BODY}</p></div><p>{BODY}</p></div>"
+    for more in ("<div class='sidebar left share'>A, b, c.</div>", "<div class='cookie-notice'>A, b, c.</div>", comments):
+        assert html_text.main_text(f"<body><article><h1>Title</h1><p>{BODY}</p>{more}</article></body>") == _said("Title", BODY)
+
+
+def test_end_of_skipped_element_is_found():
+    fonts = "<font>" * 1000
+    assert html_text.main_text(f"<body><div class='menu'>Home{fonts}</div><article><p>{BODY}</p></article></body>") == _said(BODY)
+    assert html_text.main_text(f"<body><nav>Home{fonts}</nav><p>{BODY}</p></body>") == _said(BODY)
