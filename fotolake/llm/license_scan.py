@@ -1,8 +1,8 @@
 """License notices by an exact set-similarity join with templates.
 
 Base: phrases whose words stand consecutively. Method: blocks of text whose words contain at least `least` of a
-template's set of words. A block is a line; a line of more than `BLOCK` words is cut into blocks of that size that
-overlap by half, so every passage of `BLOCK / 2` words lies in one block.
+template's set of words. A block is a line, or the text as a whole whatever its line breaks; what has more than `BLOCK`
+words is cut into blocks of that size that overlap by half, so every passage of `BLOCK / 2` words lies in one block.
 
 The join is the prefix-filter join. Template words are ordered by how often they stand in all texts, rare ones first.
 To share `k = ceil(least * n)` of a template's n words a block must have one of its first `n - k + 1` in that order.
@@ -116,8 +116,9 @@ def scan(docs: DataFrame, text: str = "text", *, phrases: dict[str, str] = PHRAS
         df = df.withColumn(f"__at{i}", _places("__words", phrase))
     at = F.concat(*(F.col(f"__at{i}") for i in range(len(phrases))))
     hit = F.array_sort(F.array_distinct(F.filter(F.array(*(F.when(F.size(f"__at{i}") > 0, F.lit(label)) for i, label in enumerate(phrases.values()))), lambda x: x.isNotNull())))
-    # only lines with a prefix word are kept
+    # only lines with a prefix word are kept; the whole text finds what goes across line breaks
     lines = F.filter(F.transform(F.split("__text", "\n"), license_words), lambda ws: F.exists(ws, lambda w: w.isin(first)))
+    lines = F.concat(lines, F.when(F.col("__text").contains("\n"), F.array("__words")).otherwise(F.array().cast("array<array<string>>")))
     # the row number is fixed by being written
     table = written(df.withColumn("__at", at).select(
         *(F.col(f"`{c}`") for c in rest),
@@ -135,6 +136,7 @@ def scan(docs: DataFrame, text: str = "text", *, phrases: dict[str, str] = PHRAS
     long_lines = table.filter(F.col("__lines").isNotNull()).select("__row", F.explode_outer("__lines").alias("line"))
     cuts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size("line") - half) / half).cast("int") - 1, F.lit(0)))
     blocks = long_lines.withColumn("block", F.explode_outer(F.transform(cuts, lambda i: F.slice("line", i * half + 1, F.lit(BLOCK))))).drop("line")
+    blocks = blocks.filter(F.exists("block", lambda w: w.isin(first)))
     ordered = F.array_sort(F.transform(F.array_intersect("block", F.array(*(F.lit(w) for w in vocabulary))), lambda w: F.element_at(places, w)))
     blocks = blocks.withColumn("own", ordered).drop("block")
     probes = blocks.select("__row", "own", F.posexplode_outer("own").alias("j", "place"))

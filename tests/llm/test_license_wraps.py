@@ -1,0 +1,33 @@
+"""Notices that wrap are found as if they stood in one line."""
+
+import math
+import random
+import re
+
+from fotolake.llm import license_scan
+
+BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy"
+
+
+def _labels(text):
+    """Templates that a line's or the whole text's blocks contain, and phrases."""
+    found, half = set(), license_scan.BLOCK // 2
+    words = lambda x: re.findall(r"[a-z0-9]+", x.lower())
+    for part in [*text.split("\n"), text]:
+        w = words(part)
+        for start in range(0, max(1, len(w)), half):
+            block = set(w[start : start + license_scan.BLOCK])
+            found |= {label for label, t in license_scan.TEMPLATES.items() if len(block & set(t.split())) >= math.ceil(0.8 * len(set(t.split())) - 1e-9)}
+    joined = f" {' '.join(words(text))} "
+    return found | {label for phrase, label in license_scan.PHRASES.items() if f" {phrase} " in joined}
+
+
+def test_wrapped_notices(spark):
+    rnd = random.Random(5)
+    prose = lambda n: "".join(rnd.choice(["one", "two", "of", "source", "line"]) + rnd.choice([" ", " ", "\n"]) for _ in range(n))
+    texts = [BSD, MPL, "Released under an MIT\nLicense", "no\nnotice", "\n".join(BSD.split())]
+    texts += [prose(n) + notice + " " + prose(n) for n in (50, 63, 127, 500) for notice in (BSD, MPL)]
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: _labels(t) for i, t in enumerate(texts)}
+    assert "bsd" in got[0] and "mpl-2" in got[1] and "bsd" in got[4] and all(got[i] for i in range(5, len(texts)))
