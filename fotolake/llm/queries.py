@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fotolake.llm import decontamination, html_text, kneser_ney, language_id, license_scan, piece_coding, pii, quality_rules, simhash, url_filter
+from fotolake.llm import conversation_repair, decontamination, html_text, kneser_ney, language_id, license_scan, piece_coding, pii, quality_rules, simhash, url_filter
 from fotolake.llm.common import remainder, table
 
 
@@ -79,9 +79,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conversation_repair.digest(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_quality_rules, op3_html_text, op4_kneser_ney, op5_license_scan, op6_decontamination, op7_piece_coding, op8_pii, op9_url_filter, op10_simhash)
+    for f in (op1_language_id, op2_quality_rules, op3_html_text, op4_kneser_ney, op5_license_scan, op6_decontamination, op7_piece_coding, op8_pii, op9_url_filter, op10_simhash, op13_conversation_repair)
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {
