@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fotolake.llm import conversation_repair, decontamination, html_text, kneser_ney, language_id, license_scan, piece_coding, pii, quality_rules, simhash, url_filter
+from fotolake.llm import archives, conversation_repair, decontamination, html_text, kneser_ney, language_id, license_scan, piece_coding, pii, quality_rules, simhash, url_filter
 from fotolake.llm.common import remainder, table
 
 
@@ -79,6 +79,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op12_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archives.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = conversation_repair.digest(conversation_repair.damage(table(spark, sf_dir, "conversations")))
     return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
@@ -86,7 +91,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_quality_rules, op3_html_text, op4_kneser_ney, op5_license_scan, op6_decontamination, op7_piece_coding, op8_pii, op9_url_filter, op10_simhash, op13_conversation_repair)
+    for f in (op1_language_id, op2_quality_rules, op3_html_text, op4_kneser_ney, op5_license_scan, op6_decontamination, op7_piece_coding, op8_pii, op9_url_filter, op10_simhash, op12_warc_packages, op13_conversation_repair)
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {
@@ -129,6 +134,21 @@ hits AS (
 best AS (SELECT page_id, url, arg_max(entry, length(entry)) AS entry FROM hits WHERE on_ GROUP BY page_id, url)
 SELECT c.page_id, c.url, c.fetched, c.host, b.entry IS NOT NULL AS blocked, b.entry
 FROM captures c LEFT JOIN best b ON c.page_id = b.page_id AND c.url = b.url
+""",
+    "op12_warc_packages": r"""
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex,
+         row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST) AS place,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best
+  FROM pages),
+fives AS (
+  SELECT *, list_transform(range(32), lambda i: (CAST('0x' || substr(hex, 1 + 10 * (i // 8), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31) AS n
+  FROM payloads)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(n, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v AS INTEGER) + 1, 1)), '') AS payload_digest,
+       CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN place > 1 THEN best END AS refers_to
+FROM fives
 """,
 }
 if corpus_pipeline.ORACLE_SQL:
