@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fotolake.llm import archives, conversation_repair, decontamination, html_text, kneser_ney, language_id, license_scan, piece_coding, pii, quality_rules, simhash, url_filter
+from fotolake.llm import archives, conversation_repair, decontamination, html_text, kneser_ney, language_id, license_scan, piece_coding, pii, quality_rules, simhash, token_alignment, url_filter
 from fotolake.llm.common import remainder, table
 
 
@@ -79,6 +79,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = token_alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), *models)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op12_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = archives.round_trip(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -91,7 +97,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_quality_rules, op3_html_text, op4_kneser_ney, op5_license_scan, op6_decontamination, op7_piece_coding, op8_pii, op9_url_filter, op10_simhash, op12_warc_packages, op13_conversation_repair)
+    for f in (op1_language_id, op2_quality_rules, op3_html_text, op4_kneser_ney, op5_license_scan, op6_decontamination, op7_piece_coding, op8_pii, op9_url_filter, op10_simhash, op11_token_alignment, op12_warc_packages, op13_conversation_repair)
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {
