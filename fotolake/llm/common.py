@@ -33,11 +33,23 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, read from a table in the shared folder: lineage ends here, and executors may be lost."""
+def written_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """`written`, and the table's folder, for `removed`."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, read from a table in the shared folder: lineage ends here, and executors may be lost."""
+    return written_at(df)[0]
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables of `written_at` that nothing reads any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def with_fields(schema: StructType, *fields: tuple[str, str | DataType]) -> StructType:
