@@ -13,7 +13,8 @@ posting takes its pair's count back to the documents of its chunk. Postings of a
 chunk is bounded in documents and bytes, so a pair that stands everywhere meets in no task.
 
 A text is cut at single spaces between other characters before it is encoded: neither tokenizer joins anything across
-those, as `Aligner` tests of both vocabularies, and both cut there. Each worker keeps the groups of what it has encoded
+those, and both cut there (`Aligner` tests what that rests on). The byte-level vocabulary is read from its file; merging in
+the order of ids is the order of its merges, which is tested too. Each worker keeps the groups of what it has encoded
 in a dictionary that is emptied when full.
 
 NULL and empty texts, and texts whose tokens do not give back a blank and the text, have no tokens: zeros and an empty
@@ -43,6 +44,8 @@ CHUNK, CHUNK_BYTES, PART_BYTES, CACHE = 4096, 8 << 20, 1 << 20, 400_000
 SALTS = 16
 #: A space between two characters that no definition takes for white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Fixed value: how byte-level vocabularies of this kind cut a text before merging.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bits of a number of the second vocabulary's ids, and of a place in a chunk.
 _B_BITS, _PLACE_BITS = 31, 12
 
@@ -77,17 +80,21 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str) -> None:
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
         with open(path_a, encoding="utf-8") as f:
-            described = f.read()
-        self.a = Tokenizer.from_str(described)
-        self.a.encode_special_tokens = True
+            described = json.load(f)
+        letters, model = byte_letters(), described["model"]
+        special = {t["id"] for t in described["added_tokens"]}
+        ids = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if i not in special}
+        split = described["pre_tokenizer"]
+        if split["type"] != "ByteLevel" or not split["use_regex"] or split["add_prefix_space"] or described["normalizer"] or len({*map(len, ids)} & {1}) != 1 or sum(len(x) == 1 for x in ids) != 256:
+            raise ValueError("the first tokenizer is not byte-level as it is known here")
+        order = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+        if order != sorted(order):
+            raise ValueError("ids do not follow the order of merges")
+        self.a = tiktoken.Encoding("first", pat_str=PATTERN, mergeable_ranks=ids, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        letters = byte_letters()
-        size = self.a.get_vocab_size()
-        special = {t["id"] for t in json.loads(described)["added_tokens"] if t["special"]}
-        self.bytes_a = [b"" if i in special else bytes(letters[c] for c in self.a.id_to_token(i)) for i in range(size)]
         self.bytes_b = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
@@ -95,9 +102,9 @@ class Aligner:
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else known)
         if any(re.search(rb"[^ ] ", x) for x in self.bytes_b) or self.b.normalize("a  b ") != f"{BLANK}a{BLANK * 2}b{BLANK}":
             raise ValueError("a piece goes on over the start of a word, or texts are changed before they are cut")
-        if any(_CUT.search(x.decode("utf-8", "replace")) for x in self.bytes_a):
-            raise ValueError("a token of the first vocabulary goes on over a space")
-        self.length_a, self.length_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
+        self.length_a = {i: len(x) for x, i in ids.items()}
+        self.length_b = [len(x) for x in self.bytes_b]
+        self.name = [str(i) for i in range(max(len(self.length_b), max(self.length_a) + 1))]
         self.clear()
 
     def clear(self) -> None:
@@ -109,34 +116,37 @@ class Aligner:
 
     def learn(self, pieces: list[str]) -> None:
         """Encodes pieces that are not kept yet."""
-        stats, links = [], []
+        stats, links, number, text, first, bytes_b = [], [], self.number, self.text, self.a.encode_ordinary, self.bytes_b
         end = self.links.n
-        for piece, encoded, ids_b in zip(pieces, self.a.encode_batch([" " + p for p in pieces], add_special_tokens=False), self.b.encode(pieces, num_threads=1)):
-            ids_a = encoded.ids
-            self.number[piece] = len(self.text)
-            groups, own = self._groups(ids_a, ids_b)
-            whole = b" " + piece.encode()
-            right = b"".join([self.bytes_a[i] for i in ids_a]) == whole and b"".join([self.bytes_b[i] for i in ids_b]) == whole
-            self.text.append(groups.encode())
-            links += own
-            stats.append((len(ids_a), len(ids_b), len(own), right, end + len(links)))
+        for piece, ids_b in zip(pieces, self.b.encode(pieces, num_threads=1)):
+            whole = " " + piece
+            ids_a, before = first(whole), len(links)
+            number[piece] = len(text)
+            text.append(self._groups(ids_a, ids_b, links).encode())
+            right = b"".join([bytes_b[i] for i in ids_b]) == whole.encode()
+            stats.append((len(ids_a), len(ids_b), len(links) - before, right, end + len(links)))
         self.stats.add(np.array(stats, np.int64))
         self.links.add(np.array(links, np.int64))
 
-    def _groups(self, ids_a: list[int], ids_b: list[int]) -> tuple[str, list[int]]:
-        """The groups as text, and the linked pairs as a << 31 | b."""
-        groups, links, b = [], [], 0
-        at_a = at_b = first_a = first_b = 0
-        for a, i in enumerate(ids_a, 1):
-            at_a += self.length_a[i]
-            while at_b < at_a and b < len(ids_b):
-                at_b += self.length_b[ids_b[b]]
+    def _groups(self, ids_a: list[int], ids_b: list[int], links: list[int]) -> str:
+        """The groups as text. The linked pairs, as a << 31 | b, are added to links."""
+        name, length_a, length_b = self.name, self.length_a, self.length_b
+        out, b, n = "", 0, len(ids_b)
+        at_a = at_b = 0
+        mine = theirs = ""  # tokens since the last cut, each after a comma
+        for i in ids_a:
+            at_a += length_a[i]
+            mine += "," + name[i]
+            while at_b < at_a and b < n:
+                j = ids_b[b]
+                at_b += length_b[j]
+                theirs += "," + name[j]
                 b += 1
             if at_a == at_b:
-                groups.append(",".join(map(str, ids_a[first_a:a])) + "|" + ",".join(map(str, ids_b[first_b:b])))
-                links.append(i << _B_BITS | ids_b[b - 1])
-                first_a, first_b = a, b
-        return ";".join(groups), links
+                out += f";{mine[1:]}|{theirs[1:]}"
+                links.append(i << _B_BITS | j)
+                mine = theirs = ""
+        return out[1:]
 
     def align(self, texts: list[str]) -> tuple[list[tuple[int, int, int, str]], np.ndarray, np.ndarray]:
         """Of each text: tokens of A and B, groups, digest. And of all links the number of the text and the pair."""
