@@ -11,8 +11,9 @@ else the deepest block around them all. Every other path in that region is taken
 the same parent, because nothing of the article is to be lost.
 
 Elements that are never an article's text are not read at all: scripts, styles, forms, menus, page headers and footers,
-sidebars, adverts, notices and comments, known by tag, role, id or class. A class or id counts as a whole: `sidebar` or
-`cookie-notice`, not `has-sidebar`. No such name skips html, body, main or article, nor an element with most of the
+sidebars, adverts, notices and comments, known by tag, role, id or class. In a class or id the head counts: `sidebar`,
+`site-footer`, `comments-area` or `relatedPosts`, not `has-sidebar`. Names only take away; what is taken is decided by the
+ratios. No such name skips html, body, main or article, nor an element with most of the
 page's text unless an article or main element has text besides. If nothing reaches the threshold, the region
 is the whole body.
 
@@ -48,33 +49,53 @@ OTHER = {
 }
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PARTS = {"p", "ul", "ol", "li", "blockquote", "pre", "table", "dl", "dt", "dd", "td", "th", "tr", "tbody"}
+#: What only says that something is a part, and what says that the page has (or has not) something.
+GENERIC = {"area", "list", "container", "wrapper", "wrap", "section", "box", "block", "inner", "outer", "holder", "links", "posts", "articles", "items", "item", "bar", "form", "panel", "row", "thread", "stream", "text", "buttons", "icons", "slot", "unit", "zone"}
+LAYOUT = {"has", "no", "with", "without", "is", "not", "js", "page", "single", "hide", "show"}
+#: Words of OTHER that name something else only alone: an article has headers, sides and notices of its own.
+ALONE = {"header", "foot", "side", "search", "notice", "notices", "skip", "promo", "banner", "copyright", "reply"}
 #: Elements that no name makes something else than the page or its article.
 WHOLE = {"html", "body", "main", "article"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert"}
 
+#: Standard deviations of the fused values that make the threshold.
+DEVIATIONS = 1.0
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/>\"']|$)", re.I)
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[,.;:!?…。，、；：！？¿¡]")
 _NAME = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _DIGITS = re.compile(r"\d+")
 
 
+def _names_other(token: str) -> bool:
+    """Whether a class or id names what is not an article's text: all its words do, or its head does, the last word that says more than that it is a part."""
+    own = _NAME.findall(_CAMEL.sub("-", token).lower())
+    if own and all(n in OTHER for n in own):
+        return True
+    while own and own[-1] in GENERIC:
+        own.pop()
+    if not own or own[0] in LAYOUT:
+        return False
+    return own[-1] in OTHER and own[-1] not in ALONE
+
+
 def _attributes(source: str) -> tuple[str, bool, bool]:
     """What names the element, whether it is hidden, and whether its names mean that it is not an article's text."""
     if not source or source.isspace():
         return "", False, False
     names, hidden, skip = [], False, False
     for key, value in _ATTRIBUTE.findall(source):
-        key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" or (key == "aria-hidden" and value == "true"):
+        key, value = key.lower(), value.strip("\"'")
+        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             hidden = True
         elif key == "role":
-            skip |= value in ROLES
+            skip |= value.lower() in ROLES
         elif key in ("class", "id"):
-            # a whole token; a compound only if each of its words says so
-            skip |= any((own := _NAME.findall(token)) and all(n in OTHER for n in own) for token in value.split())
-            names.append(_DIGITS.sub("", value))
+            skip |= any(_names_other(token) for token in value.split())
+            names.append(_DIGITS.sub("", value.lower()))
     return "." + " ".join(names) if names else "", hidden, skip
 
 
@@ -241,7 +262,7 @@ def main_text(html: str) -> str:
     share = np.bincount(of, linked) / np.maximum(np.bincount(of, length), 1)
     text_ratio, mark_ratio = np.bincount(of, length) / count * (1 - share), np.bincount(of, marks) / count * (1 - share)
     fused = _smooth(text_ratio[of]) * _smooth(mark_ratio[of])
-    content = np.bincount(of, fused) / count >= max(fused.std(), 1e-9) if len(number) > 1 else np.ones(1, bool)
+    content = np.bincount(of, fused) / count >= max(DEVIATIONS * fused.std(), 1e-9 if DEVIATIONS > 0 else -1.0) if len(number) > 1 else np.ones(1, bool)
     chosen = content[of]
     if not chosen.any():
         chosen[:] = True

@@ -1,9 +1,11 @@
 """Language identification with a bit-sliced Bloom filter of character trigrams.
 
-Training counts the trigrams of every labelled text. A language keeps those that make up at least `min_share` of its
-own trigrams, and each kept trigram sets the language's bit in `hashes` slots of one table of language masks. Looking a
+Training counts the trigrams of every labelled text. A language keeps its most frequent ones that have the share `mass`
+of all its trigrams, the same rule at every size: the rest, at most 1 in 1000 of what is read with the default, is what
+it does not learn. Each kept trigram sets the language's bit in `hashes` slots of one table of language masks. Looking a
 trigram up is one AND of its slots: the result has a bit for every language that contains it (or seems to). The filter
-has `slots` rows whatever the corpus, which bounds what the driver gathers and broadcasts.
+is sized by the counted number of kept trigrams and has MOST_SLOTS rows at most, which bounds what the driver gathers and
+broadcasts.
 
 A prediction counts each language's bits over all trigrams of the text. With `f` the chance that an absent trigram
 passes (the language's share of set slots to the power `hashes`), `(count - n f) / (1 - f)` is the expected number that
@@ -23,13 +25,15 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fotolake.llm.common import chunks, texts_of, with_fields
+from fotolake.llm.common import chunks, texts_of, with_fields, written
 
 CHUNK = 1 << 20
 MASK_BITS = 63
+#: Share of a language's trigrams that is learnt; rows of the filter.
+MASS, LEAST_SLOTS, MOST_SLOTS = 0.999, 1 << 18, 1 << 22
 _MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
 
@@ -96,19 +100,34 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([language] * len(part), pa.string()), pa.array(part, pa.int64()), pa.array(n[i : i + 50_000], pa.int64())], ["lang", "gram", "n"])
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", *, slots: int = 1 << 18, hashes: int = 3, min_share: float = 1e-5) -> LanguageModel:
-    """Learns from all rows that have a text and a label. slots: a power of two."""
-    spark, bits = docs.sparkSession, slots.bit_length() - 1
-    if slots != 1 << bits:
+def _rarest(counted: DataFrame, mass: float) -> DataFrame:
+    """lang and least: trigrams seen at least so often have `mass` of all of a language's trigrams. A row for each count stands in for all trigrams with it."""
+    sizes = counted.groupBy("lang", "n").agg(F.sum("n").alias("held"))
+    own = Window.partitionBy("lang")
+    above = F.sum("held").over(own.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("held")
+    some = sizes.withColumn("above", above).withColumn("total", F.sum("held").over(own))
+    return some.filter(F.col("above") < F.lit(mass) * F.col("total")).groupBy("lang").agg(F.min("n").alias("least"))
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", *, slots: int | None = None, hashes: int = 3, mass: float = MASS) -> LanguageModel:
+    """Learns from all rows that have a text and a label: of each language the most frequent trigrams with `mass` of its trigrams, ties included.
+
+    slots: a power of two; if not given, the next one over 8 for each trigram of the language with most, within LEAST_SLOTS and MOST_SLOTS (a fuller
+    filter drops nothing, its false positives are taken off)."""
+    spark = docs.sparkSession
+    if slots is not None and slots & (slots - 1):
         raise ValueError("slots must be a power of two")
     labelled = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).dropna()
-    counted = labelled.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counted = counted.cache()
-    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    languages = tuple(sorted(totals))
+    counted = written(labelled.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    known = counted.join(F.broadcast(_rarest(counted, mass)), "lang").filter("n >= least")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = tuple(sorted(sizes))
+    if slots is None:
+        slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (8 * max(sizes.values(), default=1)).bit_length()))
+    bits = slots.bit_length() - 1
     masks = np.zeros((slots, max(1, -(-len(languages) // MASK_BITS))), np.uint64)
     if languages:
-        facts = spark.createDataFrame([(x, i, max(1.0, min_share * totals[x])) for i, x in enumerate(languages)], "lang string, bit int, least double")
+        facts = spark.createDataFrame([(x, i) for i, x in enumerate(languages)], "lang string, bit int")
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -116,11 +135,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", *, slots: int
                 for k in range(hashes):
                     yield pa.RecordBatch.from_arrays([pa.array(_slots(grams, k, bits), pa.int64()), pa.array(bit // MASK_BITS, pa.int32()), pa.array(np.int64(1) << (bit % MASK_BITS).astype(np.int64), pa.int64())], ["slot", "part", "mask"])
 
-        kept = counted.join(F.broadcast(facts), "lang").filter("n >= least").select("gram", "bit")
+        kept = known.join(F.broadcast(facts), "lang").select("gram", "bit")
         # at most `slots` rows for each 63 languages
         placed = kept.mapInArrow(place, "slot long, part int, mask long").groupBy("slot", "part").agg(F.bit_or("mask").alias("mask")).toArrow()
         masks[placed["slot"].to_numpy(), placed["part"].to_numpy()] = placed["mask"].to_numpy().astype(np.uint64)
-    counted.unpersist()
     return LanguageModel(languages, masks, hashes)
 
 

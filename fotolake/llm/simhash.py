@@ -86,6 +86,7 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
     """Pairs a < b of distinct values of prints.fingerprint that differ in 1 to `distance` bits."""
     if distance not in (0, 1, 2):
         raise ValueError("distance is 0, 1 or 2")
+    spark = prints.sparkSession
     low32, low16 = F.lit(0xFFFFFFFF).cast("long"), F.lit(0xFFFF).cast("long")
     f = F.col("fingerprint")
     hi, lo = F.shiftrightunsigned(f, 32), f.bitwiseAND(low32)
@@ -99,7 +100,9 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
         return F.flatten(F.transform(halves, lambda h: F.transform(rests, lambda r: _key(table, h, r))))
 
     one = F.array(hi)
-    probes = distinct.select("fingerprint", F.explode_outer(F.concat(
+    # each row becomes a hundred probes: a fixed number of partitions keeps the few bytes before from being merged into few tasks
+    spread = distinct.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "fingerprint")
+    probes = spread.select("fingerprint", F.explode_outer(F.concat(
         # first half within 1, one quarter of the second equal: covers halves (1, 1) and (0, 1)
         probe(0, _ball(hi, 32), F.array(upper(lo))), probe(1, _ball(hi, 32), F.array(lower(lo))),
         # first half equal, second within 2: its upper quarter within 1, or its lower one equal (above)

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fotolake.llm import decontamination, pii, simhash
+from fotolake.llm import decontamination, pii
 from tests.conftest import SF
+from tests.llm.test_near_copies import _kept
 
 
 def test_stages_decide(spark, tmp_path):
@@ -21,8 +22,7 @@ def test_stages_decide(spark, tmp_path):
         if i < 4:
             assert docs.columns == columns, name
     assert kept[0] == {r.doc_id for r in source.select("doc_id").collect()}
-    groups = simhash.near_duplicates(source).select("component_id").distinct().collect()
-    assert kept[1] == {r.component_id for r in groups}
+    assert kept[1] == set(_kept(source.orderBy("doc_id").collect()))
     assert kept[1] - kept[2] == {r.doc_id for r in decontamination.contained(source, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()} & kept[1]
     assert kept[4] == kept[3] == kept[2]
     masked = spark.read.parquet(str(tmp_path / "3"))
