@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..operators.raster import composite as K, core, geometry as G, histogram as H, mosaic as M
 from ..operators.raster import neighbourhood as N, pointwise as P
 from ..sources import fixtures as X
-from .base import LUMA, byte, mix, on_top, query, with_rgba
+from ..operators.raster import strips as R
+from .base import LUMA, ORACLES, byte, mix, on_top, query, with_rgba
 
 ID = "image_id, width, height, x, y"
 
@@ -552,3 +553,32 @@ SELECT vec_id AS image_id, 8 AS width, 8 AS height, CAST((i - 1) % 8 AS INTEGER)
 FROM embeddings, range(1, 65) t(i)""")
 def _(spark, sf):
     return X.gray(spark, sf)
+
+
+# ---- packed strips: the same SQL ----
+
+def _packed(name, op, sprite=False):
+    """The query of a pixel operator by its twin on strips."""
+    @query(f"packed_{name}", ORACLES[name])
+    def _(spark, sf):
+        src = R.from_arrays(X.rasters(spark, sf).select("image_id", "width", "height", *"rgba"))
+        return R.to_pixels(op(src))
+
+
+for _name, _step in {
+    "invert": R.invert(), "invert_half": R.invert(40), "brightness": R.brightness(50), "darkness": R.brightness(-30), "contrast": R.contrast(50),
+    "low_contrast": R.contrast(-50), "saturation": R.saturation(), "oversaturation": R.saturation(60), "desaturate": R.desaturate(),
+    "solarize": R.solarize(), "posterize": R.posterize(2), "colorize": R.colorize(), "warm_up": R.warm_up(), "color_to_alpha": R.color_to_alpha(),
+    "convert_mode_1": R.convert_mode("1"), "convert_mode_la": R.convert_mode("LA"), "reduce_opacity": R.reduce_opacity(50),
+}.items():
+    _packed(_name, lambda d, s=_step: R.chain(d, s))
+for _name, _op in {
+    "rotate_90": lambda d: R.transpose(d, "ROTATE_90"), "flip_left_right": lambda d: R.transpose(d, "FLIP_LEFT_RIGHT"),
+    "transpose": lambda d: R.transpose(d, "TRANSPOSE"), "orient": lambda d: R.orient(d, F.col("image_id") % 8 + 1),
+    "offset": lambda d: R.offset(d, 4, -3), "crop": lambda d: R.crop(d, 1, 2, 3, 1),
+    "minimum": R.minimum, "maximum": lambda d: R.maximum(d, 5), "median": R.median, "median_5": lambda d: R.median(d, 5),
+    "rank": lambda d: R.rank(d, 3, 25, 60), "common": R.common, "blur_twice": lambda d: R.effect(d, "blur", repeat=2), "sketch": R.sketch,
+}.items():
+    _packed(_name, _op)
+for _k in N.KERNELS:
+    _packed(_k.replace(" ", "_") if _k != "contour" else "contour_filter", lambda d, k=_k: R.effect(d, k))
