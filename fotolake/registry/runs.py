@@ -190,7 +190,7 @@ def _(spark, sf):
  UNION ALL SELECT image_id, 'Png_Title', 'image ' || CAST(image_id AS VARCHAR) FROM i"""))
 def _(spark, sf):
     folder = S.png_folder(X.rasters(spark, sf), scratch(spark, "png"))
-    rows = MD.read_tags(FS.binary_files(spark, folder, ["png"]))
+    rows = MD.read_tags(FS.scan_files(spark, folder, ["png"]))
     return rows.select(S.image_id_of(F.col("path")).alias("image_id"), "tag", "value")
 
 

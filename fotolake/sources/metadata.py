@@ -1,6 +1,7 @@
 """Tags from image file headers: PNG chunks and text, JPEG segments, TIFF directories.
 
-One Arrow job over ``binaryFile``; only the header region is parsed and only tags leave it.
+One Arrow job over a file listing.  Parsers see a file as something that is sliced; pages of it are read when a slice
+needs them, so the bytes of pixels are never read, wherever in the file a directory lies.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.paths import strip_file_scheme
@@ -36,10 +37,44 @@ SUB_DIRECTORIES = {0x8769: IFD_TAGS, 0x8825: None}
 KINDS = {1: (1, "B", "int"), 2: (1, "s", "str"), 3: (2, "H", "int"), 4: (4, "I", "int"), 5: (8, "II", "rational"),
          6: (1, "b", "int"), 7: (1, "s", "bytes"), 8: (2, "h", "int"), 9: (4, "i", "int"), 10: (8, "ii", "rational"),
          11: (4, "f", "float"), 12: (8, "d", "float")}
+PNG_CHUNKS = {b"tEXt", b"pHYs", b"gAMA", b"tRNS", b"eXIf"}
 PNG_MODES = {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}
 
 
-def _entry(buf: bytes, order: str, kind: int, count: int, at: int):
+class Pages:
+    """A file that is read by pages, like bytes to a parser."""
+
+    SIZE, MOST = 4096, 1 << 20
+
+    def __init__(self, file, length: int) -> None:
+        self.file, self.length, self.pages, self.count = file, length, {}, 0
+
+    def __len__(self) -> int:
+        return self.length
+
+    def __getitem__(self, at):
+        if isinstance(at, int):
+            return self[at:at + 1][0]
+        start, stop, _ = at.indices(self.length)
+        if stop <= start:
+            return b""
+        if stop - start > self.MOST:  # larger than any tag: the header is broken
+            raise ValueError("a tag of this length is none")
+        first, last = start // self.SIZE, (stop - 1) // self.SIZE
+        for p in range(first, last + 1):
+            if p not in self.pages:
+                self.file.seek(p * self.SIZE)
+                self.pages[p] = self.file.read(min(self.SIZE, self.length - p * self.SIZE))
+                self.count += len(self.pages[p])
+        data = b"".join(self.pages[p] for p in range(first, last + 1))
+        return data[start - first * self.SIZE:stop - first * self.SIZE]
+
+
+def _unpack(kinds: str, buf, at: int) -> tuple:
+    return struct.unpack(kinds, buf[at:at + struct.calcsize(kinds)])
+
+
+def _entry(buf, order: str, kind: int, count: int, at: int):
     size, code, name = KINDS[kind]
     raw = buf[at:at + size * count]
     if name in ("str", "bytes"):
@@ -50,12 +85,12 @@ def _entry(buf: bytes, order: str, kind: int, count: int, at: int):
     return " ".join(map(str, n)), name
 
 
-def _directory(buf: bytes, order: str, at: int, names: dict, prefix: str = "", seen: frozenset = frozenset()):
+def _directory(buf, order: str, at: int, names: dict, prefix: str = "", seen: frozenset = frozenset()):
     if at in seen:  # a directory that leads back to itself
         return
-    (count,) = struct.unpack_from(order + "H", buf, at)
+    (count,) = _unpack(order + "H", buf, at)
     for i in range(count):
-        tag, kind, n, value = struct.unpack_from(order + "HHII", buf, at + 2 + 12 * i)
+        tag, kind, n, value = _unpack(order + "HHII", buf, at + 2 + 12 * i)
         if tag in SUB_DIRECTORIES:
             sub = SUB_DIRECTORIES[tag]
             yield from _directory(buf, order, value, sub or GPS_TAGS, "" if sub else "Exif_GPSInfo_", seen | {at})
@@ -66,9 +101,9 @@ def _directory(buf: bytes, order: str, at: int, names: dict, prefix: str = "", s
             yield (prefix + names[tag], *_entry(buf, order, kind, n, where))
 
 
-def _tiff(buf: bytes):
+def _tiff(buf):
     order = "<" if buf[:2] == b"II" else ">"
-    (at,) = struct.unpack_from(order + "I", buf, 4)
+    (at,) = _unpack(order + "I", buf, 4)
     yield from _directory(buf, order, at, IFD_TAGS)
 
 
@@ -78,16 +113,16 @@ def _image(fmt: str, width: int, height: int, mode: str):
                 ("aspect", str(width / height), "float"))
 
 
-def _png(buf: bytes):
-    w, h, _, colour = struct.unpack_from(">IIBB", buf, 16)
+def _png(buf):
+    w, h, _, colour = _unpack(">IIBB", buf, 16)
     yield from _image("PNG", w, h, PNG_MODES.get(colour, "?"))
     yield "interlace", str(buf[28]), "int"
     at = 8
     while at + 8 <= len(buf):
-        n, name = struct.unpack_from(">I4s", buf, at)
-        body = buf[at + 8:at + 8 + n]
+        n, name = _unpack(">I4s", buf, at)
         if name == b"IEND":
             return
+        body = buf[at + 8:at + 8 + n] if name in PNG_CHUNKS else b""
         if name == b"tEXt" and b"\0" in body:
             key, text = body.split(b"\0", 1)
             yield "Png_" + key.decode("latin-1").replace(" ", "_"), text.decode("latin-1"), "str"
@@ -105,16 +140,18 @@ def _png(buf: bytes):
 def _iptc(body: bytes):
     at = body.find(b"\x1c\x02")
     while 0 <= at and at + 5 <= len(body) and body[at:at + 2] == b"\x1c\x02":
-        n = struct.unpack_from(">H", body, at + 3)[0]
+        n = _unpack(">H", body, at + 3)[0]
         if body[at + 2] in IPTC_TAGS:
             yield "Iptc_Application2_" + IPTC_TAGS[body[at + 2]], body[at + 5:at + 5 + n].decode("utf-8", "replace"), "str"
         at += 5 + n
 
 
-def _jpeg(buf: bytes):
+def _jpeg(buf):
     at = 2
     while at + 4 <= len(buf) and buf[at] == 0xFF:
-        marker, n = buf[at + 1], struct.unpack_from(">H", buf, at + 2)[0]
+        marker, n = buf[at + 1], _unpack(">H", buf, at + 2)[0]
+        if marker == 0xDA:
+            return
         body = buf[at + 4:at + 2 + n]
         if marker == 0xE1 and body[:6] == b"Exif\0\0":
             yield from _tiff(body[6:])
@@ -125,12 +162,10 @@ def _jpeg(buf: bytes):
         elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
             h, w, bands = struct.unpack(">HHB", body[1:6])
             yield from _image("JPEG", w, h, {1: "L", 3: "RGB", 4: "CMYK"}.get(bands, "?"))
-        elif marker == 0xDA:
-            return
         at += 2 + n
 
 
-def parse_header(buf: bytes) -> list[tuple[str, str, str]]:
+def parse_header(buf) -> list[tuple[str, str, str]]:
     """(tag, value, type) of one file; a broken header gives what came before the break."""
     out = []
     try:
@@ -144,18 +179,37 @@ def parse_header(buf: bytes) -> list[tuple[str, str, str]]:
             return out
         for item in source:
             out.append(item)
-    except (struct.error, IndexError, KeyError, ZeroDivisionError):
+    except (struct.error, IndexError, KeyError, ValueError, ZeroDivisionError):
         pass
     return out
 
 
-def _tags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = [(p, *t) for p, c in zip(pdf["path"], pdf["content"]) for t in parse_header(c)]
-        yield pd.DataFrame(rows, columns=["path", "tag", "value", "type"])
+def header_tags(path: str) -> tuple[list[tuple[str, str, str]], int]:
+    """(tag, value, type) of a file, and how many of its bytes were read."""
+    from pyarrow import fs
+
+    where, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    with where.open_input_file(at) as file:
+        pages = Pages(file, file.size())
+        return parse_header(pages), pages.count
+
+
+def read_tags(files: DataFrame, tags: list[str] | None = None) -> DataFrame:
+    """Long tag rows of a listing with ``path``; of ``tags`` alone where they are given.  Rows that were read already
+    (``content`` of ``binaryFile``) are parsed as they are.  A file that is gone by now has no tags."""
+    names, wanted = ["path", "tag", "value", "type"], None if tags is None else set(tags)
+    here = "content" in files.columns
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, path in enumerate(b.column(0).to_pylist()):
+                try:
+                    found = parse_header(b.column(1)[i].as_py()) if here else header_tags(path)[0]
+                except OSError:
+                    continue
+                rows += [(path, *t) for t in found if wanted is None or t[0] in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else [[]] * 4)], names)
 
-def read_tags(binary: DataFrame) -> DataFrame:
-    """Long tag rows of ``binaryFile`` rows."""
-    b = binary.select(strip_file_scheme(F.col("path")).alias("path"), "content")
-    return b.mapInPandas(_tags, TAG_SCHEMA)
+    path = strip_file_scheme(F.col("path")).alias("path")
+    return files.select(path, *(["content"] if here else [])).mapInArrow(run, TAG_SCHEMA)

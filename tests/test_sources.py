@@ -46,10 +46,86 @@ def test_scan(spark, folder):
     assert FS.scan_files(spark, str(folder), recursive=False).count() == 2
     mixed = FS.scan_files(spark, [str(folder / "sub"), str(folder / "a.png")])
     assert {r.root for r in mixed.collect()} == {str(folder), str(folder / "sub")}
-    plan = FS.scan_files(spark, str(folder))._jdf.queryExecution().optimizedPlan().toString()
+    plan = FS.binary_files(spark, str(folder)).select("path")._jdf.queryExecution().optimizedPlan().toString()
     assert "content" not in plan.split("Relation")[0]
 
 
+def test_listing_in_tasks(spark, tmp_path):
+    """Many folders: rounds of tasks, hidden names and links to folders left out, the same files as Spark's own listing."""
+    for i in range(60):
+        for j in range(5):
+            d = tmp_path / f"y{i}" / f"m{j}" / "d"
+            d.mkdir(parents=True)
+            (d / f"{i}-{j}.JPG").write_bytes(b"x" * (i + j))
+    (tmp_path / "y1" / ".hidden").mkdir()
+    (tmp_path / "y1" / ".hidden" / "a.jpg").write_bytes(b"x")
+    (tmp_path / "y1" / "_b.jpg").write_bytes(b"x")
+    (tmp_path / "y2" / "loop").symlink_to(tmp_path)
+    got = FS.scan_files(spark, str(tmp_path) + "/", ["jpg"])
+    files = {(r.path, r.length, r.mtime.timestamp()) for r in got.collect()}
+    assert {(p, n) for p, n, _ in files} == {(f"{tmp_path}/y{i}/m{j}/d/{i}-{j}.JPG", i + j) for i in range(60) for j in range(5)}
+    assert all(abs(os.stat(p).st_mtime - t) < 0.01 for p, _, t in files) and {r.root for r in got.select("root").distinct().collect()} == {str(tmp_path)}
+    (tmp_path / "y2" / "loop").unlink()
+    old = FS.binary_files(spark, str(tmp_path), ["jpg"]).select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
+    assert {r.path for r in old.collect()} == {p for p, n, _ in files if n}  # which leaves out empty files
+    (tmp_path / "none").mkdir()
+    assert FS.scan_files(spark, str(tmp_path / "none")).isEmpty()
+
+
+def test_headers_are_read_by_pages(spark, tmp_path):
+    """Padded files: megabytes of pixels, a TIFF directory at the end, and only pages of headers are read."""
+    png = png_bytes(RGB, {"Author": "Ann"}, [(b"eXIf", exif_block())])
+    at = png.index(b"IDAT") - 4
+    pad = struct.pack(">I4s", 3_000_000, b"IDAT") + bytes(3_000_000) + b"\0\0\0\0"
+    (tmp_path / "p.png").write_bytes(png[:at] + pad + png[at:])
+    block = exif_block()
+    order = "<" if block[:2] == b"II" else ">"
+    (tmp_path / "t.tif").write_bytes(block[:4] + struct.pack(order + "I", 2_000_000) + bytes(2_000_000 - 8) + struct.pack(order + "HHHII", 1, 0x0112, 3, 1, 6 if order == "<" else 6 << 16) + bytes(4))
+    plain = {t[0]: t[1] for t in MD.parse_header(png)}
+    found, count = MD.header_tags(str(tmp_path / "p.png"))
+    assert {t[0]: t[1] for t in found} == plain and count <= 4 * 4096
+    found, count = MD.header_tags(str(tmp_path / "t.tif"))
+    assert ("Exif_Image_Orientation", "6", "int") in found and count <= 4 * 4096
+    files = FS.scan_files(spark, str(tmp_path))
+    assert {(r.tag, r.value) for r in MD.read_tags(files, ["Png_Author", "Exif_Image_Orientation"]).collect()} >= {("Png_Author", "Ann"), ("Exif_Image_Orientation", "6")}
+    assert {r.tag for r in MD.read_tags(files, ["width"]).collect()} == {"width"}
+    gone = files.union(files.limit(1).withColumn("path", F.lit(str(tmp_path / "gone.png"))))
+    assert MD.read_tags(gone, ["width"]).count() == 1
+
+
+def test_copies_survive_a_killed_task(spark, tmp_path):
+    """A worker that dies half way leaves no target; the next run makes it whole."""
+    from fotolake.sources import sinks as K
+
+    src, out, mark = tmp_path / "in", tmp_path / "out", tmp_path / "died"
+    src.mkdir()
+    data = os.urandom(3_000_000)
+    for i in range(4):
+        (src / f"{i}.bin").write_bytes(data + bytes([i]))
+    rows = [(f"{src}/{i}.bin", f"{out}/{i}.bin") for i in range(4)] + [(f"{src}/none.bin", f"{out}/none.bin"), (f"{src}/3.bin", f"{out}/0.bin"), (f"{src}/1.bin", None)]
+    plan = spark.createDataFrame(rows, "path string, target string")
+
+    def dying(source, target):
+        if source.endswith("2.bin") and not mark.exists():
+            mark.write_text("x")
+            out.mkdir(exist_ok=True)
+            with open(target, "wb") as o:
+                o.write(data[:1_000_000])
+            os._exit(1)
+        K._copy(source, target)
+
+    with pytest.raises(Exception, match="Python worker"):
+        K.apply_copies(plan, move=True, copy=dying)
+    assert not [f for f in os.listdir(out) if not f.startswith(".")] and len(os.listdir(src)) == 4
+    outcome = {(r.path.rpartition("/")[2], r.target.rpartition("/")[2]): r.outcome for r in K.apply_copies(plan, move=True, copy=dying).collect()}
+    assert outcome == {("0.bin", "0.bin"): "copied", ("1.bin", "1.bin"): "copied", ("2.bin", "2.bin"): "copied", ("3.bin", "3.bin"): "copied", ("none.bin", "none.bin"): "missing", ("3.bin", "0.bin"): "loses"}
+    assert all((out / f"{i}.bin").read_bytes() == data + bytes([i]) for i in range(4)) and os.listdir(src) == []
+    (src / "1.bin").write_bytes(b"new")
+    assert {r.outcome for r in K.apply_copies(plan.filter("path LIKE '%1.bin'")).collect()} == {"exists"}
+    K.apply_copies(plan.filter("path LIKE '%1.bin'"), overwrite=True)
+    assert (out / "1.bin").read_bytes() == b"new" and not [f for f in os.listdir(out) if f.startswith(".") and "whole" in f]
+
+
 def test_decode_and_verify(spark, folder):
     images = I.read_images(spark, [str(folder / "*.png"), str(folder / "sub" / "B.PNG")])
     valid, invalid = I.verify(images)
