@@ -33,8 +33,8 @@ from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType
 from fotolake.llm.common import ranges, texts_of, with_fields
 
 BLANK = "▁"
-#: Words a worker keeps, and bytes of text whose ids it holds at a time.
-CACHE = 200_000
+#: Words a worker keeps where it gives digests, and where it gives ids too; bytes of text whose ids it holds at a time.
+CACHE, SMALL_CACHE = 200_000, 40_000
 CHUNK = 1 << 20
 _SEGMENT = re.compile(f"{BLANK}+[^{BLANK}]*")
 
@@ -42,10 +42,12 @@ _SEGMENT = re.compile(f"{BLANK}+[^{BLANK}]*")
 class PieceCoder:
     """Ids of words and texts. The model file is read for its pieces, their scores and kinds only."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache: int = CACHE) -> None:
         import ahocorasick
         import sentencepiece
 
+        self.most = cache
+
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         if model.normalize("a  b ") != f"{BLANK}a{BLANK * 2}b{BLANK}":
@@ -93,7 +95,7 @@ class PieceCoder:
         return parts
 
     def _follows(self, left: str, right: str) -> bool:
-        if len(self.fits) >= CACHE:
+        if len(self.fits) >= self.most:
             self.fits.clear()
         known = self.fits[left, right] = self._merge(left + right) == [left, right]
         return known
@@ -135,7 +137,7 @@ class PieceCoder:
             known = self.tails if i else self.words
             got = known.get(part)
             if got is None:
-                if len(known) >= CACHE:
+                if len(known) >= self.most:
                     known.clear()
                 got = known[part] = self._coded(part if i else BLANK + part)
             made.append(got)
@@ -153,7 +155,7 @@ class PieceCoder:
     def parts(self, text: str) -> list[tuple[str, bytes]]:
         """Of each word of a text, with the blank before it."""
         known = self.words
-        if len(known) >= CACHE:
+        if len(known) >= self.most:
             known.clear()
         if not text:
             return []
@@ -193,9 +195,9 @@ class PieceCoder:
 
 
 @cache
-def coder(path: str) -> PieceCoder:
+def coder(path: str, words: int = CACHE) -> PieceCoder:
     """One for each worker process."""
-    return PieceCoder(path)
+    return PieceCoder(path, words)
 
 
 def _mapped(docs: DataFrame, column: str, added: list[tuple[str, str | DataType, pa.DataType]], row) -> DataFrame:
@@ -232,8 +234,9 @@ def round_trip(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """docs with `ids` and `decoded`, both made by one worker."""
 
     def both(t: bytes) -> tuple[list[int], str]:
-        ids = coder(model).encode(t.decode("utf-8", "replace"))
-        return ids, coder(model).decode(ids)
+        own = coder(model, SMALL_CACHE)
+        ids = own.encode(t.decode("utf-8", "replace"))
+        return ids, own.decode(ids)
 
     return _mapped(docs, text, [("ids", ArrayType(IntegerType()), pa.list_(pa.int32())), ("decoded", "string", pa.string())], both)
 
