@@ -245,8 +245,71 @@ def scale_bilinear(df: DataFrame, tw, th, keep=()) -> DataFrame:
     return _resample(df, tw, th, F.lit(False), keep)
 
 
-METHODS = {"nearest": scale_nearest, "area": scale_area, "antialias": scale_area,
-           "bilinear": scale_bilinear, "bicubic": scale_bilinear}
+# Units of a whole weight of 1.
+UNIT = 1 << 14
+
+
+def cubic(x: Column) -> Column:
+    """The interpolating cubic with slope -1/2, on [-2, 2], in whole units."""
+    v = F.abs(x)
+    inner = (F.lit(1.5) * v - F.lit(2.5)) * v * v + F.lit(1.0)
+    outer = ((F.lit(-0.5) * v + F.lit(2.5)) * v - F.lit(4.0)) * v + F.lit(2.0)
+    return _units(F.when(v < 1, inner).when(v < 2, outer).otherwise(F.lit(0.0)))
+
+
+def windowed_sinc(x: Column) -> Column:
+    """sinc(x) sinc(x / 3) on [-3, 3], in whole units."""
+    t = F.lit(math.pi) * x
+    lobes = F.lit(3.0) * F.sin(t) * F.sin(t / F.lit(3.0)) / (t * t)
+    return _units(F.when(x == 0, F.lit(1.0)).when(F.abs(x) < 3, lobes).otherwise(F.lit(0.0)))
+
+
+def _units(w: Column) -> Column:
+    return F.floor(w * F.lit(float(UNIT)) + F.lit(0.5)).cast("long")
+
+
+def _rounded(total: Column, weight: Column) -> Column:
+    """Weighted sum to the nearest byte; NULL (no alpha band) stays."""
+    v = F.floor((total + F.floor(weight / F.lit(2))) / weight)
+    return F.when(total.isNotNull(), F.least(F.greatest(v, F.lit(0)), F.lit(255)).cast("int"))
+
+
+def _pass(d: DataFrame, p: str, size: str, target: str, other: str, kernel, reach: int, stretch: bool, keep) -> DataFrame:
+    """One direction: each pixel adds to the cells that its weight reaches; sums are combined before the shuffle."""
+    P, S, T = _c(p).cast("long"), _c(size).cast("long"), _c(target).cast("long")
+    # the centre of cell t lies at ((2t + 1) S - T) / 2T; the kernel is as wide as a cell where cells are larger than pixels
+    unit = F.greatest(S, T) if stretch else T
+    far = (F.greatest(S / T, F.lit(1.0)) if stretch else F.lit(1.0)) * F.lit(float(reach))
+    lo = F.floor(((P - far) * 2 * T + T - S) / (2 * S))
+    hi = F.ceil(((P + far) * 2 * T + T - S) / (2 * S))
+    d = d.withColumn("_cell", F.explode_outer(_cells(F.greatest(lo, F.lit(0)).cast("long"), F.least(hi, T - 1).cast("long"))))
+    x = (2 * T * P - ((2 * _c("_cell") + 1) * S - T)).cast("double") / (2 * unit)
+    d = core.computed_once(d, {"_w": kernel(x)}).filter("_w <> 0")
+    rest = ["image_id", "width", "height", "_tw", "_th", other, "_cell", *keep]
+    sums = d.groupBy(*rest).agg(F.sum("_w").alias("_all"), *[F.sum(_c(c) * _c("_w")).alias(c) for c in RGBA])
+    return sums.withColumns({c: _rounded(_c(c), _c("_all")) for c in RGBA}).withColumn(p, _c("_cell").cast("int")).drop("_cell", "_all")
+
+
+def _separable(df: DataFrame, tw, th, kernel, reach: int, stretch: bool, keep=()) -> DataFrame:
+    """Along lines, then along columns; a byte in between, weights that fall outside the image are left out."""
+    d = _sized(df, tw, th).select("image_id", "width", "height", "_tw", "_th", "x", "y", *RGBA, *keep)
+    d = _pass(d, "x", "width", "_tw", "y", kernel, reach, stretch, keep)
+    d = _pass(d, "y", "height", "_th", "x", kernel, reach, stretch, keep)
+    return core.integers(d.drop("width", "height").withColumnsRenamed({"_tw": "width", "_th": "height"}), keep)
+
+
+def scale_bicubic(df: DataFrame, tw, th, keep=()) -> DataFrame:
+    """Cubic through the four nearest pixels of each direction."""
+    return _separable(df, tw, th, cubic, 2, False, keep)
+
+
+def scale_antialias(df: DataFrame, tw, th, keep=()) -> DataFrame:
+    """Windowed sinc of three lobes, stretched where the image gets smaller."""
+    return _separable(df, tw, th, windowed_sinc, 3, True, keep)
+
+
+METHODS = {"nearest": scale_nearest, "area": scale_area, "antialias": scale_antialias,
+           "bilinear": scale_bilinear, "bicubic": scale_bicubic}
 
 
 def resize(df: DataFrame, tw, th, method="automatic") -> DataFrame:
@@ -323,7 +386,7 @@ def rotate(df: DataFrame, angle: float, resample="nearest", expand=False, amount
     a = F.when((F.lit(opacity) != 100) | (F.lit(color) != F.lit("#000000")), F.coalesce("a", F.lit(255))).otherwise(_c("a"))
     turned = df.withColumn("a", a)
 
-    reach = 1 if resample == "nearest" else 2
+    reach = {"nearest": 1, "bilinear": 2, "bicubic": 3}[resample]
     side = 2 * reach + 1
     near = F.sequence(F.lit(0), F.lit(side * side - 1))
     d = core.copies_and_fill(turned, tw, th, near)
@@ -352,9 +415,18 @@ def rotate(df: DataFrame, angle: float, resample="nearest", expand=False, amount
         # 1/256 steps keep the weights whole; centres beyond the edge repeat it.
         def tent(pos, p, size):
             q = F.least(F.greatest(F.floor((pos - F.lit(0.5)) * F.lit(256.0)), F.lit(0)), (size - 1) * 256)
+            if resample == "bicubic":
+                return cubic((q - p * 256).cast("double") / F.lit(256.0))
             return F.greatest(F.lit(256) - F.abs(q - p * 256), F.lit(0))
 
         d = d.filter(own == in_range)
+        if resample == "bicubic":
+            ku, kv = tent(u, _c("x"), w), tent(v, _c("y"), h)
+            part = core.computed_once(d, {"_k": core.either(ku * kv, F.lit(UNIT).cast("long"))}).filter("_k <> 0")
+            part = part.withColumns({c: core.either(_c(c), empty[c]) for c in RGBA})
+            sums = part.groupBy("image_id", "_tw", "_th", "_x", "_y").agg(F.sum("_k").alias("_all"), *[F.sum(_c(c) * _c("_k")).alias(c) for c in RGBA])
+            out = core.integers(sums.select("image_id", _c("_tw").alias("width"), _c("_th").alias("height"), _c("_x").alias("x"), _c("_y").alias("y"), *[_rounded(_c(c), _c("_all")).alias(c) for c in RGBA]))
+            return out if amount >= 100 else blend_images(df, out, amount, color, back)
         k = core.either(tent(u, _c("x"), w) * tent(v, _c("y"), h), F.lit(65536))
         part = d.withColumn("_k", k.cast("long")).filter("_k > 0")
         part = part.withColumns({c: core.either(_c(c), empty[c]) for c in RGBA})
@@ -413,7 +485,7 @@ def perspective(df: DataFrame, preset="Left", color="#000000", opacity=0, auto_c
     if resample == "nearest":
         hit = want.filter(inside).join(pix, ["image_id", "_u", "_v"])
     else:
-        hit = _linear_lookup(want.filter(inside), pix)
+        hit = _lookup(want.filter(inside), pix, resample)
     back = math.floor(255 * opacity / 100)
     r, g, b = rgb_of(color)
     shown = hit.select("image_id", "width", "height", _c("tx").alias("x"), _c("ty").alias("y"),
@@ -428,20 +500,23 @@ def perspective(df: DataFrame, preset="Left", color="#000000", opacity=0, auto_c
     return out if turn == "NONE" else transpose(out, turn)
 
 
-def _linear_lookup(want: DataFrame, pix: DataFrame) -> DataFrame:
-    """The four source pixels around (_su, _sv), weighted in 1/256 steps and summed."""
+def _lookup(want: DataFrame, pix: DataFrame, resample: str) -> DataFrame:
+    """The source pixels around (_su, _sv), four or sixteen, weighted in 1/256 steps and summed."""
     def near(pos, size):
         return F.least(F.greatest(F.floor((pos - F.lit(0.5)) * F.lit(256.0)), F.lit(0)), (_c(size) - 1) * 256)
 
     d = want.withColumns({"_qu": near(_c("_su"), "width"), "_qv": near(_c("_sv"), "height")}).drop("_u", "_v", "a")
-    both = F.array(F.lit(0), F.lit(1))
-    d = d.withColumn("_i", F.explode_outer(both)).withColumn("_j", F.explode_outer(both))
+    taps = F.sequence(F.lit(-1), F.lit(2)) if resample == "bicubic" else F.sequence(F.lit(0), F.lit(1))
+    d = d.withColumn("_i", F.explode_outer(taps)).withColumn("_j", F.explode_outer(taps))
     d = d.withColumns({"_u": F.floor(_c("_qu") / 256) + _c("_i"), "_v": F.floor(_c("_qv") / 256) + _c("_j")})
-    k = (F.lit(256) - F.abs(_c("_qu") - _c("_u") * 256)) * (F.lit(256) - F.abs(_c("_qv") - _c("_v") * 256))
-    taps = d.withColumn("_k", k).filter("_k > 0").join(pix, ["image_id", "_u", "_v"])
-    sums = taps.groupBy("image_id", "width", "height", "tx", "ty").agg(
-        *[F.sum(_c("_" + c) * _c("_k")).alias("_" + c) for c in RGBA])
-    return sums.withColumns({"_" + c: F.floor(_c("_" + c) / F.lit(65536)) for c in RGBA})
+    if resample == "bicubic":
+        weight = lambda q, p: cubic((_c(q) - _c(p) * 256).cast("double") / F.lit(256.0))
+    else:
+        weight = lambda q, p: F.lit(256) - F.abs(_c(q) - _c(p) * 256)
+    met = core.computed_once(d, {"_k": weight("_qu", "_u") * weight("_qv", "_v")}).filter("_k <> 0").join(pix, ["image_id", "_u", "_v"])
+    sums = met.groupBy("image_id", "width", "height", "tx", "ty").agg(F.sum("_k").alias("_all"), *[F.sum(_c("_" + c) * _c("_k")).alias("_" + c) for c in RGBA])
+    value = lambda c: _rounded(_c("_" + c), _c("_all")) if resample == "bicubic" else F.floor(_c("_" + c) / F.lit(65536))
+    return sums.withColumns({"_" + c: value(c) for c in RGBA})
 
 
 # ---- blending of two whole images ----

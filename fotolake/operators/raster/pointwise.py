@@ -116,8 +116,12 @@ def color_to_alpha(df: DataFrame, select="Value", color="#FFFFFF") -> DataFrame:
 
 
 def convert_mode(df: DataFrame, mode: str) -> DataFrame:
-    """``1``, ``L``, ``LA``, ``RGB``, ``RGBA`` keep the pixel columns; ``CMYK`` and
-    ``YCbCr`` give their own bands."""
+    """``1``, ``L``, ``LA``, ``RGB``, ``RGBA`` keep the pixel columns; ``P`` has the colours of
+    a palette of 256; ``CMYK`` and ``YCbCr`` give their own bands."""
+    if mode == "P":
+        from .palette import quantized
+
+        return quantized(df).drop("p")
     none = F.lit(None).cast("int")
     grey = luma()
     if mode == "1":
@@ -143,6 +147,20 @@ def convert_mode(df: DataFrame, mode: str) -> DataFrame:
     return df.select(*core.SHAPE, *[v.cast("int").alias(k) for k, v in bands.items()])
 
 
+def as_shown(df: DataFrame, mode: str) -> DataFrame:
+    """Pixels as an image in this mode shows them: bands of CMYK and YCbCr are turned back into colours."""
+    if mode not in ("CMYK", "YCbCr"):
+        return convert_mode(df, mode)
+    d = convert_mode(df, mode)
+    if mode == "CMYK":
+        back = {c: 255 - F.col(k) for c, k in zip(RGB, ("c", "m", "ye"))}
+    else:
+        y, cb, cr = F.col("yl"), F.col("cb") - 128, F.col("cr") - 128
+        back = {"r": floor_byte(y + F.lit(1.402) * cr + F.lit(0.5)), "b": floor_byte(y + F.lit(1.772) * cb + F.lit(0.5)),
+                "g": floor_byte(y - F.lit(0.344136) * cb - F.lit(0.714136) * cr + F.lit(0.5))}
+    return d.select(*core.SHAPE, *[back[c].cast("int").alias(c) for c in RGB], F.lit(None).cast("int").alias("a"))
+
+
 # ---- alpha helpers ----
 
 def has_alpha() -> Column:

@@ -71,6 +71,9 @@ MODES = {
     "LA (8-bit pixels, grayscale with transparency mask)": "LA",
     "RGB (3x8-bit pixels, true color)": "RGB",
     "RGBA (4x8-bit pixels, RGB with transparency mask)": "RGBA",
+    "P (8-bit pixels, mapped using a color palette)": "P",
+    "CMYK (4x8-bit pixels, color separation)": "CMYK",
+    "YCbCr (3x8-bit pixels, color video format)": "YCbCr",
 }
 TURNS = ("Rotate 90", "Rotate 180", "Rotate 270", "Flip Left Right", "Flip Top Bottom")
 RESAMPLE = ("nearest", "bilinear", "bicubic", "antialias")
@@ -184,7 +187,7 @@ register("Warm Up", P.warm_up, midtone=color("Midtone", "#805d40"), brighten=sli
          amount=amount(50))
 register("Color to Alpha", P.color_to_alpha,
          select=choice("Select Color By", "Value", "Value", *P.CORNERS), color=color("Color Value", "#FFFFFF"))
-register("Convert Mode", lambda df, mode: P.convert_mode(df, MODES[mode]),
+register("Convert Mode", lambda df, mode: P.as_shown(df, MODES[mode]),
          mode=choice("Mode", list(MODES)[4], *MODES))
 register("Auto Contrast", H.autocontrast, cutoff=slider("Cutoff", 0, 0, 100), **AMOUNT)
 register("Equalize", H.equalize, **AMOUNT)

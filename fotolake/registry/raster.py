@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators.raster import composite as K, core, geometry as G, histogram as H, mosaic as M
-from ..operators.raster import neighbourhood as N, pointwise as P
+from ..operators.raster import neighbourhood as N, palette as L, pointwise as P
 from ..sources import fixtures as X
 from ..operators.raster import strips as R
 from .base import LUMA, ORACLES, byte, mix, on_top, query, with_rgba
@@ -92,6 +92,29 @@ def _(spark, sf):
     return P.convert_mode(X.rgba(spark, sf), "YCbCr")
 
 
+def _palette_sql(rounds):
+    """Each split of median cut as a step over the distinct colours, then the nearest entry of each."""
+    one = "PARTITION BY image_id, box"
+    sql = ", c0 AS (SELECT image_id, r, g, b, count(*) AS n, 0 AS box FROM rgba GROUP BY ALL)"
+    for i in range(rounds):
+        spread = ", ".join(f"max({c}) OVER ({one}) - min({c}) OVER ({one}) AS s{c}" for c in "rgb")
+        key = "CASE WHEN sr >= sg AND sr >= sb THEN r WHEN sg >= sb THEN g ELSE b END"
+        order = f"{one} ORDER BY k, r, g, b"
+        sql += (f", s{i} AS (SELECT *, {spread} FROM c{i}), k{i} AS (SELECT *, {key} AS k FROM s{i}), c{i + 1} AS (SELECT image_id, r, g, b, n, "
+                f"2 * box + CASE WHEN 2 * sum(n) OVER ({order} ROWS UNBOUNDED PRECEDING) <= sum(n) OVER ({one}) OR row_number() OVER ({order}) = 1 THEN 0 ELSE 1 END AS box FROM k{i})")
+    mean = ", ".join(f"CAST(floor(sum({c} * n) / CAST(sum(n) AS DOUBLE)) AS INTEGER) AS p{c}" for c in "rgb")
+    return with_rgba(sql + f""", e AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY box) - 1 AS p FROM (SELECT image_id, box, {mean} FROM c{rounds} GROUP BY ALL)),
+ m AS (SELECT c.image_id, r, g, b, p, pr, pg, pb, row_number() OVER (PARTITION BY c.image_id, r, g, b ORDER BY (r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb), p) AS place
+  FROM c0 c JOIN e ON c.image_id = e.image_id)
+ SELECT q.image_id, width, height, x, y, CAST(p AS INTEGER) AS p, pr AS r, pg AS g, pb AS b
+ FROM rgba q JOIN m ON m.image_id = q.image_id AND m.r = q.r AND m.g = q.g AND m.b = q.b WHERE place = 1""")
+
+
+@query("convert_mode_p", _palette_sql(4))
+def _(spark, sf):
+    return L.quantized(X.rgba(spark, sf), 16).drop("a")
+
+
 _px("reduce_opacity", with_rgba(_sql_bands(lambda c: c, a=byte("a * 50.0e0 / 100.0e0"))), lambda d: P.reduce_opacity(d, 50))
 
 
@@ -224,6 +247,29 @@ def _bilinear_sql(src, sw, sh, tw, th, keep=""):
 
 _px("scale_area", with_rgba(_area_sql("rgba", 8, 8, 3, 5)), lambda d: G.scale_area(d, 3, 5))
 _px("scale_bilinear", with_rgba(_bilinear_sql("rgba", 8, 8, 13, 10)), lambda d: G.scale_bilinear(d, 13, 10))
+# ---- cubic and windowed sinc: the weights of both directions by the formula, a byte in between ----
+
+_CUBIC = lambda x: (f"CAST(floor((CASE WHEN abs({x}) < 1 THEN (1.5e0 * abs({x}) - 2.5e0) * abs({x}) * abs({x}) + 1.0e0 "
+                    f"WHEN abs({x}) < 2 THEN ((-0.5e0 * abs({x}) + 2.5e0) * abs({x}) - 4.0e0) * abs({x}) + 2.0e0 ELSE 0.0e0 END) * 16384.0e0 + 0.5e0) AS BIGINT)")
+_SINC = lambda x: (f"CAST(floor((CASE WHEN {x} = 0 THEN 1.0e0 WHEN abs({x}) < 3 THEN 3.0e0 * sin({math.pi!r} * {x}) * sin({math.pi!r} * {x} / 3.0e0) "
+                   f"/ (({math.pi!r} * {x}) * ({math.pi!r} * {x})) ELSE 0.0e0 END) * 16384.0e0 + 0.5e0) AS BIGINT)")
+
+
+def _near(total, weight):
+    return f"CAST(least(greatest(floor(({total} + floor({weight} / 2.0e0)) / CAST({weight} AS DOUBLE)), 0), 255) AS INTEGER)"
+
+
+def _separable_sql(tw, th, kernel, stretch):
+    def one(src, p, other, size, target):
+        x = f"(CAST(2 * {target} * {p} - ((2 * t + 1) * {size} - {target}) AS DOUBLE) / {2 * (max(size, target) if stretch else target)})"
+        cols = ", ".join(f"{_near(f'sum({c} * w)', 'sum(w)')} AS {c}" for c in "rgba")
+        return (f"(SELECT image_id, {other}, CAST(t AS INTEGER) AS {p}, {cols} FROM (SELECT *, {kernel(x)} AS w FROM {src}, range(0, {target}) a(t)) "
+                f"WHERE w <> 0 GROUP BY image_id, {other}, t)")
+    return with_rgba(f" SELECT image_id, {tw} AS width, {th} AS height, x, y, r, g, b, a FROM {one(one('rgba', 'x', 'y', 8, tw), 'y', 'x', 8, th)}")
+
+
+_px("scale_bicubic", _separable_sql(13, 5, _CUBIC, False), lambda d: G.scale_bicubic(d, 13, 5))
+_px("scale_antialias", _separable_sql(3, 11, _SINC, True), lambda d: G.scale_antialias(d, 3, 11))
 _px("scale_nearest", with_rgba(
     " SELECT image_id, 11 AS width, 5 AS height, CAST(tx AS INTEGER) AS x, CAST(ty AS INTEGER) AS y, r, g, b, a FROM rgba, range(0, 11) a1(tx), range(0, 5) a2(ty) "
     "WHERE x = (2 * tx + 1) * 8 // 22 AND y = (2 * ty + 1) * 8 // 10"), lambda d: G.scale_nearest(d, 11, 5))
@@ -282,6 +328,24 @@ def _rotate_bilinear_sql(angle):
 _px("rotate_bilinear", _rotate_bilinear_sql(20), lambda d: G.rotate(d, 20, "bilinear"))
 
 
+def _rotate_bicubic_sql(angle):
+    u, v = _rot_uv(angle, 8, 8)
+    q = lambda e: f"CAST(least(greatest(floor(({e} - 0.5e0) * 256.0e0), 0), 1792) AS BIGINT)"
+    k = " * ".join(_CUBIC(f"(CAST(q{a} - p.{p} * 256 AS DOUBLE) / 256.0e0)") for a, p in (("u", "x"), ("v", "y")))
+    cols = ", ".join(f"{_near(f'sum({c} * k)', 'sum(k)')} AS {c}" for c in "rgba")
+    return with_rgba(f""", t AS (SELECT image_id, CAST(tx AS INTEGER) AS x, CAST(ty AS INTEGER) AS y, {u} AS u, {v} AS v
+  FROM (SELECT DISTINCT image_id FROM rgba), range(0, 8) a1(tx), range(0, 8) a2(ty)),
+ w AS (SELECT *, {q('u')} AS qu, {q('v')} AS qv FROM t),
+ k AS (SELECT w.image_id, w.x, w.y, r, g, b, a, {k} AS k FROM w JOIN rgba p ON p.image_id = w.image_id
+   AND p.x BETWEEN qu // 256 - 1 AND qu // 256 + 2 AND p.y BETWEEN qv // 256 - 1 AND qv // 256 + 2
+   WHERE u >= 0 AND u < 8 AND v >= 0 AND v < 8)
+ SELECT image_id, 8 AS width, 8 AS height, x, y, {cols} FROM k WHERE k <> 0 GROUP BY image_id, x, y
+ UNION ALL SELECT image_id, 8, 8, x, y, 0, 0, 0, 0 FROM w WHERE NOT (u >= 0 AND u < 8 AND v >= 0 AND v < 8)""")
+
+
+_px("rotate_bicubic", _rotate_bicubic_sql(20), lambda d: G.rotate(d, 20, "bicubic"))
+
+
 def _perspective_sql(preset):
     zoom, la, ta, bf, rf, ox, oy, turn = G.PERSPECTIVES[preset]
     d = lambda v: f"CAST({v!r} AS DOUBLE)"
