@@ -9,8 +9,8 @@ from ..operators import tags as T
 from ..operators.raster import core, pointwise as P
 from ..plans import runner as R
 from ..sources import files as FS, fixtures as X, gpx, images as I, metadata as MD, samples as S
-from ..session import scratch
-from ..streaming import ingest as G
+from ..session import scratch, written
+from ..streaming import changes as CH, ingest as G
 from .base import query, with_gps, with_rgba, with_tags
 from .raster import _area_sql
 
@@ -208,3 +208,28 @@ def _(spark, sf):
     return G.latest(spark.read.parquet(base + "/catalog")).select(
         S.image_id_of(F.col("path")).alias("image_id"),
         F.element_at(F.split("path", "/"), -1).alias("file"), (F.col("length") > 0).alias("known"))
+
+
+@query("stream_changes", """
+WITH seen AS (
+  SELECT '/photos/' || CAST(user_id AS VARCHAR) AS path, CAST((day(ts) - 1) // 5 + 1 AS BIGINT) AS scan, count(*) AS n
+  FROM events WHERE event_type = 'purchase' GROUP BY ALL),
+listed AS (SELECT path, scan, n % 2 AS length, TIMESTAMP '2024-01-01 00:00:00' + (n % 3) * INTERVAL 1 DAY AS mtime FROM seen),
+around AS (
+  SELECT *, lag(scan) OVER w AS before, lag(length) OVER w AS length0, lag(mtime) OVER w AS mtime0, lead(scan) OVER w AS next, max(scan) OVER () AS newest
+  FROM listed WINDOW w AS (PARTITION BY path ORDER BY scan))
+SELECT path, scan, CASE WHEN before IS NULL OR before < scan - 1 THEN 'new' ELSE 'changed' END AS change, length, mtime FROM around
+WHERE before IS NULL OR before < scan - 1 OR length <> length0 OR mtime <> mtime0
+UNION ALL SELECT path, scan + 1, 'gone', length, mtime FROM around WHERE scan < newest AND (next IS NULL OR next > scan + 1)""")
+def _(spark, sf):
+    base = scratch(spark, "changes")
+    seen = X.table(spark, sf, "events").filter("event_type = 'purchase'").groupBy(
+        F.concat(F.lit("/photos/"), F.col("user_id").cast("string")).alias("path"),
+        (F.floor((F.dayofmonth("ts") - 1) / 5) + 1).alias("scan")).agg(F.count("*").alias("n"))
+    listed = written(seen.select("path", "scan", (F.col("n") % 2).alias("length"),
+                                 F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(CAST(n % 3 AS INT))").cast("timestamp").alias("mtime")), "listed")
+    for scan in [r["scan"] for r in listed.select("scan").distinct().orderBy("scan").collect()]:
+        CH.append_listing(listed.filter(F.col("scan") == scan).coalesce(1), base + "/listings", scan)
+    CH.track(CH.listings(spark, base + "/listings", 3), base + "/events", base + "/state", 4).awaitTermination()
+    found = spark.read.schema(CH.EVENTS).parquet(base + "/events")
+    return found.withColumn("mtime", F.col("mtime").cast("timestamp_ntz"))
