@@ -36,6 +36,7 @@ BLANK = "▁"
 #: Words a worker keeps where it gives digests, and where it gives ids too; bytes of text whose ids it holds at a time.
 CACHE, SMALL_CACHE = 200_000, 40_000
 CHUNK = 1 << 20
+_EDGE = re.compile(r"(?<=\w)(?=\W)|(?<=\W)(?=\w)")
 _SEGMENT = re.compile(f"{BLANK}+[^{BLANK}]*")
 
 
@@ -68,6 +69,8 @@ class PieceCoder:
                 self.raw[i] = piece.replace(BLANK, " ").encode()
         if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.ids):
             raise ValueError("a piece goes on over the start of a word")
+        #: Of each piece: its id as text, and its bytes.
+        self.made = {p: (str(i), self.raw[i]) for p, i in self.ids.items()}
         self.fits: dict[tuple[str, str], bool] = {}
         self.words: dict[str, tuple[str, bytes]] = {}
         #: Neighbouring characters of pieces: between any others a text falls apart.
@@ -95,7 +98,7 @@ class PieceCoder:
         return parts
 
     def _follows(self, left: str, right: str) -> bool:
-        if len(self.fits) >= self.most:
+        if len(self.fits) >= 2 * self.most:
             self.fits.clear()
         known = self.fits[left, right] = self._merge(left + right) == [left, right]
         return known
@@ -124,33 +127,37 @@ class PieceCoder:
 
     def word(self, name: str) -> tuple[str, bytes]:
         """Of a word after its blank: the ids joined by blanks, and what they decode to."""
-        joins, start, parts = self.joins, 0, []
-        for i in range(1, len(name)):
-            if name[i - 1 : i + 1] not in joins:
-                parts.append(name[start:i])
-                start = i
-        if not start:
+        # only where letters end or begin is it worth a look whether the word falls apart
+        edges = None if name.isalpha() else _EDGE.split(name)
+        if edges is None or len(edges) == 1:
             return self._coded(BLANK + name)
-        parts.append(name[start:])
-        made = []
+        joins, parts = self.joins, [edges[0]]
+        for part in edges[1:]:
+            if parts[-1][-1] + part[0] in joins:
+                parts[-1] += part
+            else:
+                parts.append(part)
+        ids, raw, known = [], [], self.words
         for i, part in enumerate(parts):
-            known = self.tails if i else self.words
             got = known.get(part)
             if got is None:
                 if len(known) >= self.most:
                     known.clear()
                 got = known[part] = self._coded(part if i else BLANK + part)
-            made.append(got)
-        return " ".join([m[0] for m in made]), b"".join([m[1] for m in made])
+            ids.append(got[0])
+            raw.append(got[1])
+            known = self.tails
+        return " ".join(ids), b"".join(raw)
 
     def _coded(self, word: str) -> tuple[str, bytes]:
-        ids: list[int] = []
+        ids, raw, made = [], [], self.made
         for piece in self.pieces(word):
-            if (i := self.ids.get(piece)) is not None:
-                ids.append(i)
-            else:
-                ids += [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
-        return " ".join(map(str, ids)), b"".join([self.raw[i] for i in ids])
+            got = made.get(piece)
+            if got is None:
+                got = " ".join([str(self.byte_ids[b]) for b in piece.encode("utf-8", "surrogatepass")]), piece.encode("utf-8", "surrogatepass")
+            ids.append(got[0])
+            raw.append(got[1])
+        return " ".join(ids), b"".join(raw)
 
     def parts(self, text: str) -> list[tuple[str, bytes]]:
         """Of each word of a text, with the blank before it."""
