@@ -67,16 +67,60 @@ def asof_points(shots: DataFrame, points: DataFrame, direction: str = "forward")
     return out.select("camera", F.col("t").alias("taken"), best.alias("p"))
 
 
+# Points that are broadcast at most, and the steps that search a track of so many.
+SMALL_TRACK = 1 << 20
+STEPS = SMALL_TRACK.bit_length()
+
+
+def small_tracks(points: DataFrame) -> DataFrame | None:
+    """camera and its points in order of time, one array each, to be broadcast; None for more than SMALL_TRACK points in all."""
+    if points.limit(SMALL_TRACK + 1).count() > SMALL_TRACK:
+        return None
+    return F.broadcast(points.groupBy("camera").agg(F.sort_array(F.collect_list(F.struct(*POINT))).alias("_track")))
+
+
+def _searched(shots: DataFrame, tracks: DataFrame, direction: str) -> DataFrame:
+    """shots with ``p``: each searches its camera's array by halves, inside its row; shots are neither sorted nor shuffled."""
+    d = shots.join(tracks, "camera", "left")
+    start = F.struct(F.lit(0).alias("lo"), F.coalesce(F.size("_track"), F.lit(0)).alias("hi"))
+
+    def half(a, _):
+        mid = F.shiftright(a["lo"] + a["hi"], 1)
+        todo, below = a["lo"] < a["hi"], F.get("_track", mid)["t"] < F.col("stamp")
+        return F.struct(F.when(todo & below, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(todo & ~below, mid).otherwise(a["hi"]).alias("hi"))
+
+    d = d.withColumn("_at", F.explode_outer(F.array(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, half, lambda a: a["lo"]))))
+    nxt, prv, last = F.get("_track", F.col("_at")), F.get("_track", F.col("_at") - 1), F.try_element_at("_track", F.lit(-1))
+    if direction == "forward":
+        best = F.coalesce(nxt, last)
+    elif direction == "nearest":
+        gap = lambda p: F.abs(F.unix_micros(p["t"].cast("timestamp")) - F.unix_micros(F.col("stamp").cast("timestamp")))
+        best = F.when(prv.isNull() | (gap(nxt) <= gap(prv)), nxt).otherwise(F.coalesce(prv, nxt))
+    else:
+        raise ValueError(f"unknown direction {direction!r}")
+    return d.withColumn("p", best).drop("_track", "_at")
+
+
+def geotag_broadcast(shots: DataFrame, points: DataFrame, shift: int = 0, direction: str = "forward") -> DataFrame:
+    """``geotag`` by searching broadcast tracks where counting finds them small enough, else as it is."""
+    tracks = small_tracks(points)
+    if tracks is None:
+        return geotag(shots, points, shift, direction)
+    s = shots.withColumn("stamp", F.col("taken") + F.make_dt_interval(secs=F.lit(shift)))
+    return _tagged(_searched(s, tracks, direction))
+
+
+def _tagged(found: DataFrame) -> DataFrame:
+    return found.select("shot_id", "camera", "taken", "stamp", F.col("p.t").alias("gps_time"), "p.lat", "p.lon", "p.ele")
+
+
 def geotag(shots: DataFrame, points: DataFrame, shift: int = 0, direction: str = "forward") -> DataFrame:
     """Adds the point of each shot (gps_time, lat, lon, ele), NULL for a camera without a
     track.  ``shift`` seconds are added to the camera's clock first."""
     s = shots.withColumn("stamp", F.col("taken") + F.make_dt_interval(secs=F.lit(shift)))
     found = asof_points(s.select("camera", F.col("stamp").alias("taken")), points, direction)
     found = found.select("camera", F.col("taken").alias("stamp"), "p")
-    return s.join(found, ["camera", "stamp"], "left").select(
-        "shot_id", "camera", "taken", "stamp",
-        F.col("p.t").alias("gps_time"), "p.lat", "p.lon", "p.ele",
-    )
+    return _tagged(s.join(found, ["camera", "stamp"], "left"))
 
 
 def gps_tags(tagged: DataFrame) -> DataFrame:

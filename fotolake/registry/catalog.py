@@ -388,6 +388,11 @@ def geotag_query(spark, sf):
     return G.geotag(X.shots(spark, sf), X.track(spark, sf), shift=60)
 
 
+@query("geotag_broadcast", with_gps(_ASOF + " SELECT * FROM tagged"))
+def _(spark, sf):
+    return G.geotag_broadcast(X.shots(spark, sf), X.track(spark, sf), shift=60)
+
+
 @query("geotag_nearest", with_gps("""
 , c AS (
   SELECT s.shot_id, s.camera, s.taken,
