@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.paths import strip_file_scheme
-
-# Pixels of one decoded strip row; a wide or tall image becomes several rows.
-STRIP_PIXELS = 1 << 20
+from ..operators.raster import strips
 
 
 def read_images(spark: SparkSession, paths, keep_invalid: bool = True) -> DataFrame:
@@ -34,34 +28,11 @@ def mode_name(bands: Column) -> Column:
     return F.element_at(F.array(*[F.lit(m) for m in ("L", "LA", "RGB", "RGBA")]), bands)
 
 
-def _strips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for row in pdf.itertuples(index=False):
-            a = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.nChannels)
-            if row.nChannels >= 3:  # stored blue first
-                a = a[:, :, [2, 1, 0, 3][: row.nChannels]]
-            lines = max(1, STRIP_PIXELS // row.width)
-            for y0 in range(0, row.height, lines):
-                part = a[y0:y0 + lines]
-                yield pd.DataFrame({
-                    "path": [row.path], "width": [row.width], "height": [row.height], "y0": [y0],
-                    "bands": [row.nChannels], "data": [part.reshape(-1).astype(np.int32)]})
-
-
 def read_strips(images: DataFrame) -> DataFrame:
-    """path, width, height, y0, bands, data: decoded images in strips of bounded size."""
-    valid = images.filter(F.col("width") > 0).select("path", "width", "height", "nChannels", "data")
-    return valid.mapInPandas(_strips, "path string, width int, height int, y0 int, bands int, data array<int>")
+    """path and packed strips (bytes by line, pixel and band; colours red first, grey as three bands)."""
+    return strips.from_images(images).withColumnRenamed("image_id", "path")
 
 
 def read_pixels(images: DataFrame) -> DataFrame:
     """path, width, height, x, y, r, g, b, a; a is NULL without an alpha band."""
-    n, k, w = F.col("bands"), F.col("k"), F.col("width")
-    at = lambda i: F.get("data", k * n + i)
-    colour = n >= 3
-    d = read_strips(images).withColumn("k", F.explode(F.sequence(F.lit(0), (F.size("data") / n).cast("int") - 1)))
-    return d.select(
-        "path", "width", "height", F.pmod(k, w).alias("x"), (F.floor(k / w) + F.col("y0")).cast("int").alias("y"),
-        at(0).alias("r"), F.when(colour, at(1)).otherwise(at(0)).alias("g"),
-        F.when(colour, at(2)).otherwise(at(0)).alias("b"),
-        F.when(n == 4, at(3)).when(n == 2, at(1)).alias("a"))
+    return strips.to_pixels(strips.from_images(images)).withColumnRenamed("image_id", "path")
