@@ -41,6 +41,19 @@ def _uri(path: str) -> str:
     return "s3" + path[3:] if path.startswith("s3a://") else path
 
 
+def _opens(root: str) -> bool:
+    """Whether a root can be looked at without Spark, as tasks do it."""
+    if "://" not in root or root.startswith("file:"):
+        return True
+    from pyarrow import fs
+
+    try:
+        where, at = fs.FileSystem.from_uri(_uri(root))
+        return where.get_file_info(at).type.name != "NotFound"
+    except (OSError, ValueError):
+        return False
+
+
 def _entries(folder: str) -> Iterator[tuple[str, bool, int, int]]:
     """path, whether it is a folder, length and time of change (microseconds, whole milliseconds as in other listings) of what lies in a folder; of a file, itself."""
     import os
@@ -116,7 +129,9 @@ def scan_files(spark: SparkSession, paths, exts: list[str] | None = None, recurs
     exts = IMAGE_EXTENSIONS if exts is None else exts
     roots = [paths] if isinstance(paths, str) else list(paths)
     default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").partition(":")[0]
-    if all((p.partition(":")[0] if ":" in p else default) in OPENED and not set("*?[{") & set(p) for p in roots):
+    scheme = lambda p: p.partition("://")[0] if "://" in p else "file" if p.startswith("file:") else ""
+    # a path without a scheme is a task's own only where the default store is local
+    if all((scheme(p) in OPENED or (not scheme(p) and default == "file")) and not set("*?[{") & set(p) and _opens(p) for p in roots):
         out = list_tree(spark, roots, exts, recursive).select(strip_file_scheme(F.col("path")).alias("path"), F.regexp_replace("given", "(?<!^)/+$", "").alias("given"), "length", "mtime")
         return _rooted(out)
     out = None
