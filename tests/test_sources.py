@@ -137,16 +137,10 @@ def test_decode_and_verify(spark, folder):
     assert {r.m for r in names} == {"RGB", "RGBA"}
 
 
-def test_strips(spark, folder, monkeypatch):
-    rows = list(I._strips(iter([__import__("pandas").DataFrame({
-        "path": ["p"], "width": [3], "height": [2], "nChannels": [3],
-        "data": [RGB[:, :, ::-1].astype(np.uint8).tobytes()]})])))
-    assert rows[0]["data"][0].tolist() == RGB.reshape(-1).tolist()
-    monkeypatch.setattr(I, "STRIP_PIXELS", 3)
-    again = list(I._strips(iter([__import__("pandas").DataFrame({
-        "path": ["p"], "width": [3], "height": [2], "nChannels": [3],
-        "data": [RGB[:, :, ::-1].astype(np.uint8).tobytes()]})])))
-    assert [r["y0"][0] for r in again] == [0, 1]
+def test_strips(spark, folder):
+    images = I.read_images(spark, [str(folder / "*.png"), str(folder / "sub" / "B.PNG")])
+    got = {r.path.rsplit("/", 1)[1]: (r.y0, r.rows, r.bands, bytes(r.data)) for r in I.read_strips(images).collect()}
+    assert got == {"a.png": (0, 2, 3, RGB.astype(np.uint8).tobytes()), "B.PNG": (0, 1, 4, RGBA.astype(np.uint8).tobytes())}
 
 
 def test_tags(spark, folder):
