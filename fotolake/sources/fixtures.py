@@ -40,13 +40,14 @@ def _levels(embedding: str = "embedding"):
 
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, width, height and one array per band: 8x8 images, four vectors each.
-    ``vec_id`` is unique, so a group never holds more than four rows."""
+    ``vec_id`` is unique, so a group never holds more than four rows.  A band without a
+    vector is an array of NULLs."""
     v = table(spark, sf_dir, "embeddings").select(
         F.floor(F.col("vec_id") / 4).cast("long").alias("image_id"),
         (F.col("vec_id") % 4).alias("band"),
         _levels().alias("v"),
     )
-    band = lambda n: F.max(F.when(F.col("band") == n, F.col("v")))
+    band = lambda n: F.coalesce(F.max(F.when(F.col("band") == n, F.col("v"))), F.array_repeat(F.lit(None).cast("int"), 64))
     return (
         v.groupBy("image_id")
         .agg(*[band(n).alias(c) for n, c in enumerate("rgba")])
@@ -54,10 +55,10 @@ def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def rgba(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pixel table of ``rasters``: image_id, width, height, x, y, r, g, b, a."""
+def pixels(packed: DataFrame) -> DataFrame:
+    """image_id, width, height, x, y, r, g, b, a of 8x8 rasters."""
     return (
-        rasters(spark, sf_dir)
+        packed
         .select("image_id", "width", "height", F.posexplode_outer(F.arrays_zip("r", "g", "b", "a")).alias("k", "p"))
         .select(
             "image_id", "width", "height",
@@ -67,6 +68,11 @@ def rgba(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rgba(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pixel table of ``rasters``."""
+    return pixels(rasters(spark, sf_dir))
+
+
 def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same images without an alpha band."""
     return rgba(spark, sf_dir).withColumn("a", F.lit(None).cast("int"))
@@ -86,7 +92,11 @@ def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sprite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transparent where red is below 96."""
-    return rgba(spark, sf_dir).withColumn("a", F.when(F.col("r") < 96, 0).otherwise(F.col("a")))
+    return cut_out(rgba(spark, sf_dir))
+
+
+def cut_out(px: DataFrame) -> DataFrame:
+    return px.withColumn("a", F.when(F.col("r") < 96, 0).otherwise(F.col("a")))
 
 
 def mark(spark: SparkSession, sf_dir: str) -> DataFrame:
