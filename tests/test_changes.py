@@ -44,3 +44,17 @@ def test_digests_repeats_and_missing_values(spark, tmp_path):
     CH.track(CH.listings(spark, work + "/listings"), work + "/events", work + "/state", 2).awaitTermination()
     rows = spark.read.schema(CH.EVENTS).parquet(work + "/events").collect()
     assert sorted((r.scan, r.path, r.change) for r in rows) == [(1, "p", "new"), (1, "q", "new"), (2, "p", "changed")]
+
+
+def test_states_do_not_grow_with_paths(spark, tmp_path, monkeypatch):
+    """Many paths share a state; those of a bucket that other paths keep busy are found gone all the same."""
+    monkeypatch.setattr(CH, "BUCKETS", 3)
+    work = str(tmp_path)
+    listing = lambda at: spark.range(200).filter(f"id % 5 <> {at}").selectExpr("'p' || id AS path", "1L AS length", "timestamp'2024-01-01' AS mtime")
+    for scan in (1, 2, 3):
+        CH.append_listing(listing(scan).coalesce(1), work + "/listings", scan)
+    query = CH.track(CH.listings(spark, work + "/listings", 1), work + "/events", work + "/state", 2)
+    query.awaitTermination()
+    assert max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) <= 3
+    rows = spark.read.schema(CH.EVENTS).parquet(work + "/events").groupBy("scan", "change").count().collect()
+    assert sorted(map(tuple, rows)) == [(1, "new", 160), (2, "gone", 40), (2, "new", 40), (3, "gone", 40), (3, "new", 40)]
