@@ -17,6 +17,7 @@ def cut(tmp_path_factory):
 @pytest.mark.parametrize("name", [
     "packed_blur",
     "packed_blur_twice",
+    "packed_color_to_alpha",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
