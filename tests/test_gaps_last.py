@@ -18,6 +18,7 @@ def cut(tmp_path_factory):
     "packed_blur",
     "packed_blur_twice",
     "packed_color_to_alpha",
+    "packed_brightness",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
