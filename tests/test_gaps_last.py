@@ -21,6 +21,7 @@ def cut(tmp_path_factory):
     "packed_brightness",
     "packed_colorize",
     "packed_common",
+    "packed_contour_filter",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
