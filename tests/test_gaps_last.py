@@ -23,6 +23,7 @@ def cut(tmp_path_factory):
     "packed_common",
     "packed_contour_filter",
     "packed_contrast",
+    "packed_convert_mode_1",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
