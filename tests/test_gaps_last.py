@@ -24,6 +24,7 @@ def cut(tmp_path_factory):
     "packed_contour_filter",
     "packed_contrast",
     "packed_convert_mode_1",
+    "packed_convert_mode_la",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
