@@ -28,6 +28,7 @@ def cut(tmp_path_factory):
     "packed_crop",
     "packed_darkness",
     "packed_detail",
+    "packed_desaturate",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
