@@ -29,6 +29,7 @@ def cut(tmp_path_factory):
     "packed_darkness",
     "packed_detail",
     "packed_desaturate",
+    "packed_edge_enhance",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
