@@ -30,6 +30,7 @@ def cut(tmp_path_factory):
     "packed_detail",
     "packed_desaturate",
     "packed_edge_enhance",
+    "packed_edge_enhance_more",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
