@@ -32,6 +32,7 @@ def cut(tmp_path_factory):
     "packed_edge_enhance",
     "packed_edge_enhance_more",
     "packed_emboss",
+    "packed_find_edges",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
