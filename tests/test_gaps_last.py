@@ -33,6 +33,7 @@ def cut(tmp_path_factory):
     "packed_edge_enhance_more",
     "packed_emboss",
     "packed_find_edges",
+    "packed_flip_left_right",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
