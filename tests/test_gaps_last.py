@@ -34,6 +34,7 @@ def cut(tmp_path_factory):
     "packed_emboss",
     "packed_find_edges",
     "packed_flip_left_right",
+    "packed_invert_half",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
