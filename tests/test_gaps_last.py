@@ -36,6 +36,7 @@ def cut(tmp_path_factory):
     "packed_flip_left_right",
     "packed_invert_half",
     "packed_invert",
+    "packed_low_contrast",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
