@@ -37,6 +37,7 @@ def cut(tmp_path_factory):
     "packed_invert_half",
     "packed_invert",
     "packed_low_contrast",
+    "autocontrast_cutoff",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
