@@ -86,3 +86,27 @@ def test_bitmaps_bound_what_is_not_shared():
         a = {rnd.randrange(1 << 40) for _ in range(rnd.randrange(1, 200))}
         b = {x for x in a if rnd.random() < 0.9} | {rnd.randrange(1 << 40) for _ in range(rnd.randrange(30))}
         assert near_copies._bound(bits(a, rnd.choice([64, 128, 256])), bits(b, rnd.choice([64, 256]))) <= len(a ^ b)
+
+def test_order_counts_every_text(spark):
+    """Rare shingles come first, by the number of all texts that have them: what two texts in many share is counted too."""
+    from fotolake.llm.decontamination import with_shingles
+
+    common, rnd = "the same five words here", random.Random(9)
+    texts = [" ".join([*(f"w{rnd.randrange(10**9)}" for _ in range(6)), *([common] if i % 2 else []), *(["a pair of texts only"] if i < 2 else [])]) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "digest long, text string")
+    sets = with_shingles(docs, "text", 5)
+    order = near_copies._order(sets)
+    rows = sets.orderBy("digest").collect()
+    times = {}
+    for r in rows:
+        for h in r.hashes:
+            times[h] = times.get(h, 0) + 1
+    every = near_copies.np.array(sorted(times), near_copies.np.int64)
+    assert order.of(every).tolist() == [times[h] for h in sorted(times)] and {1, 2, 20} <= set(times.values())
+    n = {r.digest: len(r.hashes) for r in rows}
+    got = {}
+    for r in near_copies._prefixes(sets, order, 0.5).collect():
+        got.setdefault(r.digest, []).append((r["at"] & 0xFFFFFFFF, r.hash))
+    for r in rows:
+        wanted = sorted(r.hashes, key=lambda h: (times[h], h))[: n[r.digest] - -(-n[r.digest] // 2) + 1]
+        assert [h for _, h in sorted(got[r.digest])] == wanted
