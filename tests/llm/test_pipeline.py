@@ -41,3 +41,17 @@ def test_run_is_the_stages(spark):
 def test_stages_take_empty_tables(spark, stage):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     assert stage[1](spark, empty, SF).count() == 0
+
+
+def test_arrow_stages_keep_batches_small(spark):
+    """Also for the frame that a stage returns, which runs later; what is smaller already stays."""
+    name, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.read.parquet(f"{SF}/documents.parquet")
+    before = spark.conf.get(name)
+    try:
+        for stage in (corpus_pipeline.language, corpus_pipeline.tokens):
+            for value, wanted in (("10000", "1000"), ("0", "1000"), ("200", "200")):
+                spark.conf.set(name, value)
+                stage(spark, docs.limit(20), SF)
+                assert spark.conf.get(name) == wanted
+    finally:
+        spark.conf.set(name, before)
