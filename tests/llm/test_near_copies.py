@@ -110,3 +110,29 @@ def test_order_counts_every_text(spark):
     for r in rows:
         wanted = sorted(r.hashes, key=lambda h: (times[h], h))[: n[r.digest] - -(-n[r.digest] // 2) + 1]
         assert [h for _, h in sorted(got[r.digest])] == wanted
+
+
+def test_group_costs_no_squares(spark, monkeypatch):
+    """Copies that meet in shingles of a text that is no near copy of them: what is compared grows with their number."""
+    compared, verified = [], near_copies._verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "_verified", counted)
+    monkeypatch.setattr(near_copies, "HOT", 16)
+    monkeypatch.setattr(near_copies, "BUCKET", 100)
+    rnd = random.Random(11)
+    some = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    start, end, other_end = some(56), some(100), some(100)
+    texts = []
+    for i in range(124):  # the first four share the start alone, and are the smallest
+        changed = list(start)
+        changed[rnd.randrange(10, 50)] = f"x{i}"
+        texts.append(" ".join(changed + (other_end if i < 4 else end)))
+    texts += [" ".join(some(60) + other_end) for _ in range(150)]
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row long, digest long, text string")
+    got = {r.digest: r.label for r in near_copies.groups(rows).collect()}
+    assert got == {i: 4 * (i > 3) for i in range(124)}
+    assert sum(compared) < 8 * 124, compared
