@@ -19,6 +19,7 @@ def cut(tmp_path_factory, request):
     "packed_blur_twice",
     "packed_color_to_alpha",
     "packed_brightness",
+    "packed_colorize",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
