@@ -20,6 +20,7 @@ def cut(tmp_path_factory, request):
     "packed_color_to_alpha",
     "packed_brightness",
     "packed_colorize",
+    "packed_common",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
