@@ -22,6 +22,7 @@ def cut(tmp_path_factory, request):
     "packed_colorize",
     "packed_common",
     "packed_contour_filter",
+    "packed_contrast",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
