@@ -25,6 +25,7 @@ def cut(tmp_path_factory, request):
     "packed_contrast",
     "packed_convert_mode_1",
     "packed_convert_mode_la",
+    "packed_crop",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
