@@ -27,6 +27,7 @@ def cut(tmp_path_factory, request):
     "packed_convert_mode_la",
     "packed_crop",
     "packed_darkness",
+    "packed_detail",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
