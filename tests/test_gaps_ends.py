@@ -31,6 +31,7 @@ def cut(tmp_path_factory, request):
     "packed_desaturate",
     "packed_edge_enhance",
     "packed_edge_enhance_more",
+    "packed_emboss",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
