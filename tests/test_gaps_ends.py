@@ -35,6 +35,7 @@ def cut(tmp_path_factory, request):
     "packed_find_edges",
     "packed_flip_left_right",
     "packed_invert_half",
+    "packed_invert",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
