@@ -38,6 +38,7 @@ def cut(tmp_path_factory, request):
     "packed_invert",
     "packed_low_contrast",
     "autocontrast_cutoff",
+    "background",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
