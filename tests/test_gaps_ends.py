@@ -39,6 +39,7 @@ def cut(tmp_path_factory, request):
     "packed_low_contrast",
     "autocontrast_cutoff",
     "background",
+    "background_image",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
