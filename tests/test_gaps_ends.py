@@ -40,6 +40,7 @@ def cut(tmp_path_factory, request):
     "autocontrast_cutoff",
     "background",
     "background_image",
+    "blur",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
