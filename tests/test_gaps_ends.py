@@ -41,6 +41,7 @@ def cut(tmp_path_factory, request):
     "background",
     "background_image",
     "blur",
+    "blur_twice",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
