@@ -42,6 +42,7 @@ def cut(tmp_path_factory, request):
     "background_image",
     "blur",
     "blur_twice",
+    "border",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
