@@ -43,6 +43,7 @@ def cut(tmp_path_factory, request):
     "blur",
     "blur_twice",
     "border",
+    "border_inside",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
