@@ -44,6 +44,7 @@ def cut(tmp_path_factory, request):
     "blur_twice",
     "border",
     "border_inside",
+    "bounding_box",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
