@@ -45,6 +45,7 @@ def cut(tmp_path_factory, request):
     "border",
     "border_inside",
     "bounding_box",
+    "brightness",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
