@@ -46,6 +46,7 @@ def cut(tmp_path_factory, request):
     "border_inside",
     "bounding_box",
     "brightness",
+    "canvas",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
