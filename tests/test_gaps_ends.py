@@ -47,6 +47,7 @@ def cut(tmp_path_factory, request):
     "bounding_box",
     "brightness",
     "canvas",
+    "canvas_over",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
