@@ -48,6 +48,7 @@ def cut(tmp_path_factory, request):
     "brightness",
     "canvas",
     "canvas_over",
+    "caption",
 ])
 def test_last_image(spark, cut, name):
     equal(spark, cut, name)
