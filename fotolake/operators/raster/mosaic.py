@@ -4,6 +4,9 @@ The closest fill is an exact nearest neighbour (least sum of absolute difference
 cell tones).  Instead of comparing all pairs, each section first gets an upper bound from
 a bounded table of representatives, then meets only fills in the few tone-grid cells that
 can hold something closer.  Equal sections and equal fills are merged beforehand.
+
+A colour that the section or the fill lacks (NULL in all its pixels) does not count in
+their distance; with none in common they never meet.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from . import core, geometry as G
 
 FIXED = 16          # tones are kept in 1/16 steps, so all distances are whole numbers
 COARSE = 4          # levels of representatives: at most 1 + 8 + 64 + 512 rows, proven small
+ABSENT = -1         # the tone of a colour that is missing
 SALTS = 16          # a popular fill's pixels are spread over this many keys
 
 
@@ -25,7 +29,7 @@ def _cell_tones(parts: DataFrame, keys: list[str]) -> DataFrame:
     each cell, band by band."""
     sums = parts.groupBy(*keys, "cell").agg(
         F.sum("k").alias("n"), *[F.sum(F.col(c) * F.col("k")).alias(c) for c in RGB])
-    tone = F.array(*[F.floor(F.col(c) * FIXED / F.col("n")).cast("int") for c in RGB])
+    tone = F.array(*[F.coalesce(F.floor(F.col(c) * FIXED / F.col("n")).cast("int"), F.lit(ABSENT)) for c in RGB])
     # grid x grid entries per group.
     return sums.groupBy(*keys).agg(
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("cell", tone.alias("t")))), lambda s: s["t"])).alias("f"))
@@ -66,12 +70,30 @@ def _sectioned(df: DataFrame, cols: int, rows: int) -> DataFrame:
 
 
 def _distance(grid: int) -> Column:
-    """Sum of absolute differences of f and g over cells and bands, as one compiled sum."""
-    return F.expr(" + ".join(f"abs(f[{i}] - g[{i}])" for i in range(3 * grid * grid)))
+    """Sum of absolute differences of p and g over cells and bands, as one compiled sum."""
+    return F.expr(" + ".join(f"abs(p[{i}] - g[{i}])" for i in range(3 * grid * grid)))
+
+
+def _colours() -> Column:
+    """The colours that a feature has, as bits."""
+    return F.expr(" + ".join(f"IF(f[{i}] = {ABSENT}, 0, {1 << i})" for i in range(3)))
+
+
+def _in_common(df: DataFrame, mine: str, other: DataFrame, others: str) -> DataFrame:
+    """Each feature once for every set of colours that one of ``other`` has (8 at most) and that shares some with it."""
+    sets = other.select(_colours().alias(others)).distinct()
+    wide = df.withColumn(mine, _colours()).withColumn(others, F.explode(F.sequence(F.lit(1), F.lit(7))))
+    return wide.filter(F.col(mine).bitwiseAND(F.col(others)) != 0).join(F.broadcast(sets), others)
+
+
+def _shared(grid: int) -> Column:
+    """The feature with 0 for the colours that are not in common, so that they add nothing to a distance."""
+    tones = [F.when(F.col("has").bitwiseAND(F.col("fill_has")).bitwiseAND(F.lit(1 << i % 3)) != 0, F.get("f", F.lit(i))).otherwise(0) for i in range(3 * grid * grid)]
+    return F.array(*tones)
 
 
-def _with_tones(df: DataFrame, grid: int) -> DataFrame:
-    band = lambda i: F.expr(" + ".join(f"f[{3 * c + i}]" for c in range(grid * grid)))
+def _with_tones(df: DataFrame, f: str, grid: int) -> DataFrame:
+    band = lambda i: F.expr(" + ".join(f"{f}[{3 * c + i}]" for c in range(grid * grid)))
     return df.withColumns({"t0": band(0), "t1": band(1), "t2": band(2)})
 
 
@@ -80,24 +102,27 @@ def _cell(level: Column, *tones: Column) -> list[Column]:
 
 
 def nearest(sections: DataFrame, fills: DataFrame, grid: int) -> DataFrame:
-    """For each distinct feature ``f`` of ``sections`` the (distance, fill_id) that is least."""
+    """For each distinct feature ``f`` of ``sections`` the (distance, fill_id) that is least,
+    over the colours that both have; no row where no fill has one in common."""
     top = (256 * FIXED * grid * grid - 1).bit_length()  # one cell holds everything at this level
-    probe = _with_tones(sections.select("f").distinct(), grid)
+    kind = ["has", "fill_has"]  # the colours of the section and of the fill
+    probe = _with_tones(_in_common(sections.select("f").distinct(), "has", fills, "fill_has").withColumn("p", _shared(grid)), "p", grid)
     # Of equal fills the smallest id counts.
-    known = _with_tones(fills.groupBy("f").agg(F.min("fill_id").alias("fill_id")), grid).withColumnRenamed("f", "g")
+    merged = _in_common(fills, "fill_has", sections, "has").groupBy(*kind, _shared(grid).alias("g")).agg(F.min("fill_id").alias("fill_id"))
+    known = _with_tones(merged, "g", grid)
     tones = [F.col(t) for t in ("t0", "t1", "t2")]
 
     def levelled(df, lo, hi):
         d = df.withColumn("lv", F.explode_outer(F.sequence(F.lit(lo), F.lit(hi))))
         return d.withColumns({f"c{i}": c for i, c in enumerate(_cell(F.col("lv"), *tones))})
 
-    keys = ["lv", "c0", "c1", "c2"]
+    keys = [*kind, "lv", "c0", "c1", "c2"]
     coarse = top - COARSE + 1
     reps = levelled(known, coarse, top).groupBy(*keys).agg(
         F.min_by("g", "fill_id").alias("g"))
     bound = (
         levelled(probe, coarse, top).join(F.broadcast(reps), keys)
-        .groupBy("f", "t0", "t1", "t2").agg(F.min(_distance(grid)).alias("u"))
+        .groupBy("f", "p", *kind, "t0", "t1", "t2").agg(F.min(_distance(grid)).alias("u"))
     )
     # Cells at least 2u wide: the box of radius u meets at most two per axis.
     lv = F.least(F.ceil(F.log2(F.greatest(2 * F.col("u"), F.lit(1)))).cast("int"), F.lit(top))
@@ -114,7 +139,8 @@ def nearest(sections: DataFrame, fills: DataFrame, grid: int) -> DataFrame:
 
 
 def section_fills(df: DataFrame, fills: DataFrame, cols=10, rows=10, grid=2) -> DataFrame:
-    """image_id, width, height, col, row, fill_id, distance for each section."""
+    """image_id, width, height, col, row, fill_id, distance for each section; without a fill
+    that has a colour in common the last two are NULL."""
     d = _sectioned(df, cols, rows)
     x, y = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
     keys = ["image_id", "width", "height", "col", "row", "x0", "y0", "sw", "sh"]
@@ -124,7 +150,7 @@ def section_fills(df: DataFrame, fills: DataFrame, cols=10, rows=10, grid=2) ->
     features = _cell_tones(parts, ["fill_id"])
     found = nearest(sections, features, grid)
     # Many sections may share one feature, such as plain sky.
-    return salted_lookup(sections, found, ["f"], F.xxhash64("image_id", "col", "row")).drop("f")
+    return salted_lookup(sections, found, ["f"], F.xxhash64("image_id", "col", "row"), "left").drop("f")
 
 
 def mosaic(df: DataFrame, fills: DataFrame, cols=10, rows=10, grid=2) -> DataFrame:
@@ -156,7 +182,8 @@ def mosaic(df: DataFrame, fills: DataFrame, cols=10, rows=10, grid=2) -> DataFra
     def toned(c):
         section = F.col("s" + c).cast("double") / F.col("sn")
         fill = F.col("f" + c).cast("double") / F.col("fn")
-        return floor_byte(F.col(c) * (section / F.greatest(fill, F.lit(0.001))))
+        # stays missing where either lacks the colour
+        return F.when(section.isNotNull() & fill.isNotNull(), floor_byte(F.col(c) * (section / F.greatest(fill, F.lit(0.001)))))
 
     return core.integers(out.withColumns({
         **{c: toned(c) for c in RGB}, "x": F.col("x0") + F.col("dx"), "y": F.col("y0") + F.col("dy"),
