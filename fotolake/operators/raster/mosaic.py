@@ -1,9 +1,11 @@
 """Tone mosaic: every section of an image becomes the closest fill image, tone-matched.
 
 The closest fill is an exact nearest neighbour (least sum of absolute differences of the
-cell tones).  Instead of comparing all pairs, each section first gets an upper bound from
-a bounded table of representatives, then meets only fills in the few tone-grid cells that
-can hold something closer.  Equal sections and equal fills are merged beforehand.
+cell tones).  Equal sections and equal fills are merged beforehand.  Sections are dealt to
+tiles and fills to blocks; each tile meets each block in one task, where fills are halved
+into leaves along their widest tone.  A section passes over the leaves whose box of tones is
+farther away than what it has; only the least of each tile and block leaves the task, so
+pairs never stand on disk.
 
 A colour that the section or the fill lacks (NULL in all its pixels) does not count in
 their distance; with none in common they never meet.
@@ -11,17 +13,24 @@ their distance; with none in common they never meet.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ...functions.pixels import RGB, floor_byte
 from ...session import written
-from ..skew import salted_lookup
 from . import core, geometry as G
 
 FIXED = 16          # tones are kept in 1/16 steps, so all distances are whole numbers
-COARSE = 4          # levels of representatives: at most 1 + 8 + 64 + 512 rows, proven small
 ABSENT = -1         # the tone of a colour that is missing
 SALTS = 16          # a popular fill's pixels are spread over this many keys
+TILES = 64          # tiles of sections at least, for tasks of like size
+SECTIONS, FILLS = 1 << 16, 1 << 18  # features of a tile and of a block, about
+LEAF, STEP = 512, 512  # fills of a leaf, and sections that meet one at a time: both fit a core's cache
+HOT = 1 << 16       # sections with one feature that are joined by its hash
 
 
 def _cell_tones(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,73 +78,140 @@ def _sectioned(df: DataFrame, cols: int, rows: int) -> DataFrame:
         "sh": section_start(F.col("row") + 1, h, rows) - section_start(F.col("row"), h, rows)})
 
 
-def _distance(grid: int) -> Column:
-    """Sum of absolute differences of p and g over cells and bands, as one compiled sum."""
-    return F.expr(" + ".join(f"abs(p[{i}] - g[{i}])" for i in range(3 * grid * grid)))
-
-
-def _colours() -> Column:
-    """The colours that a feature has, as bits."""
-    return F.expr(" + ".join(f"IF(f[{i}] = {ABSENT}, 0, {1 << i})" for i in range(3)))
-
-
-def _in_common(df: DataFrame, mine: str, other: DataFrame, others: str) -> DataFrame:
-    """Each feature once for every set of colours that one of ``other`` has (8 at most) and that shares some with it."""
-    sets = other.select(_colours().alias(others)).distinct()
-    wide = df.withColumn(mine, _colours()).withColumn(others, F.explode(F.sequence(F.lit(1), F.lit(7))))
-    return wide.filter(F.col(mine).bitwiseAND(F.col(others)) != 0).join(F.broadcast(sets), others)
-
-
-def _shared(grid: int) -> Column:
-    """The feature with 0 for the colours that are not in common, so that they add nothing to a distance."""
-    tones = [F.when(F.col("has").bitwiseAND(F.col("fill_has")).bitwiseAND(F.lit(1 << i % 3)) != 0, F.get("f", F.lit(i))).otherwise(0) for i in range(3 * grid * grid)]
-    return F.array(*tones)
-
-
-def _with_tones(df: DataFrame, f: str, grid: int) -> DataFrame:
-    band = lambda i: F.expr(" + ".join(f"{f}[{3 * c + i}]" for c in range(grid * grid)))
-    return df.withColumns({"t0": band(0), "t1": band(1), "t2": band(2)})
-
-
-def _cell(level: Column, *tones: Column) -> list[Column]:
-    return [F.floor(t / F.pow(F.lit(2.0), level)).cast("int") for t in tones]
+def _leaves(g: np.ndarray) -> list[np.ndarray]:
+    """Numbers of the fills in each leaf, ascending; ``g`` has a line for each tone."""
+    todo, out = [np.arange(g.shape[1])], []
+    while todo:
+        own = todo.pop()
+        if len(own) <= LEAF:
+            out.append(np.sort(own))
+            continue
+        tones = g[:, own]
+        half = len(own) // 2
+        by = own[np.argpartition(tones[np.ptp(tones, axis=1).argmax()], half)]
+        todo += [by[:half], by[half:]]
+    return out
+
+
+def _sums(p: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The distance of each section and fill."""
+    out = np.zeros((p.shape[1], g.shape[1]), _total(p.dtype))
+    for mine, other in zip(p, g):
+        gap = mine[:, None] - other
+        out += np.abs(gap, out=gap).view(out.dtype)
+    return out
+
+
+def _total(kind) -> np.dtype:
+    return np.dtype(np.uint16 if kind == np.int16 else np.int32)
+
+
+def closest(p: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each section the least distance and the first fill that has it; lines are tones."""
+    # whole sums of tones below 256 * FIXED
+    kind = np.int16 if len(p) * 256 * FIXED < 1 << 16 else np.int32
+    p, g = np.ascontiguousarray(p, kind), np.ascontiguousarray(g, kind)
+    leaves = _leaves(g)
+    own = [np.ascontiguousarray(g[:, x]) for x in leaves]
+    low, high = (np.stack([fn(x, axis=1) for x in own], 1) for fn in (np.min, np.max))
+    known = np.sort([x[len(x) // 2] for x in leaves])
+    best, at = np.zeros(p.shape[1], _total(kind)), np.zeros(p.shape[1], np.int64)
+    for start in range(0, p.shape[1], STEP):
+        part, least, first = p[:, start : start + STEP], best[start : start + STEP], at[start : start + STEP]
+        # one fill of each leaf, then the leaves that may hold something closer, or as close and before it
+        sums = _sums(part, g[:, known])
+        j = sums.argmin(1)
+        least[:], first[:] = sums[np.arange(len(j)), j], known[j]
+        bound = np.zeros((len(leaves), part.shape[1]), best.dtype)
+        for mine, lo, hi in zip(part, low, high):
+            out = np.maximum(lo[:, None] - mine, mine - hi[:, None])
+            bound += np.maximum(out, 0, out=out).view(bound.dtype)
+        for k in np.argsort(bound.sum(1, dtype=np.int64)):
+            rows = np.flatnonzero(bound[k] <= least)
+            if not len(rows):
+                continue
+            sums = _sums(part if len(rows) == part.shape[1] else part[:, rows], own[k])
+            j = sums.argmin(1)
+            found, fill = sums[np.arange(len(j)), j], leaves[k][j]
+            better = (found < least[rows]) | (found == least[rows]) & (fill < first[rows])
+            least[rows[better]], first[rows[better]] = found[better], fill[better]
+    return best, at
+
+
+def _in_common(p: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``closest`` over the colours that both have; -1 for a section that shares none with any fill."""
+    sets = [sum((x[i] != ABSENT).astype(int) << i for i in range(len(RGB))) for x in (p, g)]
+    most = np.iinfo(np.int64).max
+    best, at = np.full(p.shape[1], most), np.full(p.shape[1], -1)
+    for has in np.unique(sets[0]):
+        rows = np.flatnonzero(sets[0] == has)
+        for other in np.unique(sets[1]):
+            tones = [i for i in range(len(p)) if has & other & 1 << i % len(RGB)]
+            if not tones:
+                continue
+            fills = np.flatnonzero(sets[1] == other)
+            found, j = closest(p[np.ix_(tones, rows)], g[np.ix_(tones, fills)])
+            fill, least = fills[j], best[rows]
+            better = (found < least) | (found == least) & (fill < at[rows])
+            best[rows[better]], at[rows[better]] = found[better], fill[better]
+    return best, at
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows that are equal in the first column, which stand together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        place = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if held and held[0].column(0)[0].as_py() != place[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def nearest(sections: DataFrame, fills: DataFrame, grid: int) -> DataFrame:
-    """For each distinct feature ``f`` of ``sections`` the (distance, fill_id) that is least,
-    over the colours that both have; no row where no fill has one in common."""
-    top = (256 * FIXED * grid * grid - 1).bit_length()  # one cell holds everything at this level
-    kind = ["has", "fill_has"]  # the colours of the section and of the fill
-    probe = _with_tones(_in_common(sections.select("f").distinct(), "has", fills, "fill_has").withColumn("p", _shared(grid)), "p", grid)
+    """For each distinct feature ``f`` of ``sections`` its number of sections ``n`` and the
+    (distance, fill_id) that is least, over the colours that both have; no row where no fill
+    has one in common."""
     # Of equal fills the smallest id counts.
-    merged = _in_common(fills, "fill_has", sections, "has").groupBy(*kind, _shared(grid).alias("g")).agg(F.min("fill_id").alias("fill_id"))
-    known = _with_tones(merged, "g", grid)
-    tones = [F.col(t) for t in ("t0", "t1", "t2")]
-
-    def levelled(df, lo, hi):
-        d = df.withColumn("lv", F.explode_outer(F.sequence(F.lit(lo), F.lit(hi))))
-        return d.withColumns({f"c{i}": c for i, c in enumerate(_cell(F.col("lv"), *tones))})
-
-    keys = [*kind, "lv", "c0", "c1", "c2"]
-    coarse = top - COARSE + 1
-    reps = levelled(known, coarse, top).groupBy(*keys).agg(
-        F.min_by("g", "fill_id").alias("g"))
-    bound = (
-        levelled(probe, coarse, top).join(F.broadcast(reps), keys)
-        .groupBy("f", "p", *kind, "t0", "t1", "t2").agg(F.min(_distance(grid)).alias("u"))
+    probe = written(sections.groupBy("f").agg(F.count("*").alias("n")), "probe")
+    known = written(fills.groupBy("f").agg(F.min("fill_id").alias("fill_id")), "known")
+    tiles, blocks = max(TILES, -(-probe.count() // SECTIONS)), max(1, -(-known.count() // FILLS))
+    tile, block = (F.pmod(F.xxhash64("f"), F.lit(n)) for n in (tiles, blocks))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = F.lit(None).cast(known.schema["fill_id"].dataType)
+    dealt = (
+        probe.withColumn("block", every(blocks)).select((tile * blocks + F.col("block")).alias("place"), F.lit(False).alias("fill"), none.alias("fill_id"), "n", "f")
+        .unionByName(known.withColumn("tile", every(tiles)).select((F.col("tile") * blocks + block).alias("place"), F.lit(True).alias("fill"), "fill_id", F.lit(0).cast("long").alias("n"), "f"))
     )
-    # Cells at least 2u wide: the box of radius u meets at most two per axis.
-    lv = F.least(F.ceil(F.log2(F.greatest(2 * F.col("u"), F.lit(1)))).cast("int"), F.lit(top))
-    boxed = bound.withColumn("lv", lv)
-    for i in range(3):
-        lo = _cell(F.col("lv"), F.greatest(F.col(f"t{i}") - F.col("u"), F.lit(0)))[0]
-        hi = _cell(F.col("lv"), F.col(f"t{i}") + F.col("u"))[0]
-        boxed = boxed.withColumn(f"c{i}", F.explode_outer(F.sequence(lo, hi)))
-    other = levelled(known, 0, top).select(*keys, "g", "fill_id", *[t.alias(f"k{i}") for i, t in enumerate(tones)])
-    gap = sum((F.abs(F.col(f"t{i}") - F.col(f"k{i}")) for i in range(1, 3)), F.abs(F.col("t0") - F.col("k0")))
-    pairs = boxed.join(other, keys).filter(gap <= F.col("u"))
-    best = F.min(F.struct(_distance(grid).alias("distance"), "fill_id"))
-    return pairs.groupBy("f").agg(best.alias("_b")).select("f", "_b.*")
+    width = len(RGB) * grid * grid
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _places(batches):
+            n = rows.num_rows - rows["fill"].to_numpy().sum()
+            if not 0 < n < rows.num_rows:
+                continue
+            tones = np.concatenate([c.flatten().to_numpy() for c in rows["f"].chunks]).reshape(-1, width).T
+            best, at = _in_common(tones[:, :n], tones[:, n:])
+            some = np.flatnonzero(at >= 0)
+            ids = rows["fill_id"].combine_chunks()
+            # few rows at a time
+            for a in range(0, len(some), 10_000):
+                own = some[a : a + 10_000]
+                mine = rows.select(["f", "n"]).take(pa.array(own)).combine_chunks()
+                columns = [*(mine[c].chunk(0) for c in ("f", "n")), pa.array(best[own].astype(np.int32)), ids.take(pa.array(at[own] + n))]
+                yield pa.RecordBatch.from_arrays(columns, ["f", "n", "distance", "fill_id"])
+
+    schema = StructType([probe.schema["f"], probe.schema["n"], StructField("distance", IntegerType()), known.schema["fill_id"]])
+    found = dealt.repartition(tiles * blocks, "place").sortWithinPartitions("place", "fill", "fill_id").mapInArrow(run, schema)
+    if blocks == 1:
+        return found
+    return found.groupBy("f", "n").agg(F.min(F.struct("distance", "fill_id")).alias("_b")).select("f", "n", "_b.*")
 
 
 def section_fills(df: DataFrame, fills: DataFrame, cols=10, rows=10, grid=2) -> DataFrame:
@@ -144,13 +220,14 @@ def section_fills(df: DataFrame, fills: DataFrame, cols=10, rows=10, grid=2) ->
     d = _sectioned(df, cols, rows)
     x, y = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
     keys = ["image_id", "width", "height", "col", "row", "x0", "y0", "sw", "sh"]
-    sections = _cell_tones(_grid_parts(d, x, y, F.col("sw"), F.col("sh"), grid), keys)
+    sections = written(_cell_tones(_grid_parts(d, x, y, F.col("sw"), F.col("sh"), grid), keys), "sections")
     own = fills.withColumnRenamed("image_id", "fill_id")
     parts = _grid_parts(own, F.col("x"), F.col("y"), F.col("width"), F.col("height"), grid)
-    features = _cell_tones(parts, ["fill_id"])
-    found = nearest(sections, features, grid)
-    # Many sections may share one feature, such as plain sky.
-    return salted_lookup(sections, found, ["f"], F.xxhash64("image_id", "col", "row"), "left").drop("f")
+    found = written(nearest(sections, _cell_tones(parts, ["fill_id"]), grid), "found")
+    # Many sections may share one feature, such as plain sky: at most one in HOT sections is such a feature.
+    hot = F.broadcast(found.filter(F.col("n") > HOT).drop("n"))
+    rest = sections.join(hot.select("f"), "f", "left_anti").join(found.filter(F.col("n") <= HOT).drop("n"), "f", "left")
+    return rest.unionByName(sections.join(hot, "f")).drop("f")
 
 
 def mosaic(df: DataFrame, fills: DataFrame, cols=10, rows=10, grid=2) -> DataFrame:
