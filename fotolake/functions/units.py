@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, functions as F
@@ -83,12 +84,17 @@ def size_bytes(text) -> Column:
     return F.when(number != "", round_half_away(number.try_cast("double") * factor))
 
 
+def _scale_of(box: Column, size: Column) -> Column:
+    """What makes ``size`` as large as ``box``; a size of 0 never reaches it."""
+    return F.when(size == 0, F.lit(math.inf)).otherwise(F.try_divide(box, size))
+
+
 def fit_inside(w, h, box_w, box_h) -> tuple[Column, Column]:
-    """Largest size of ratio w:h within the box; the tighter side is kept exactly."""
+    """Largest size of ratio w:h within the box; the tighter side is kept exactly.  A side of 0 becomes 1."""
     w, h, bw, bh = (as_column(c).cast("double") for c in (w, h, box_w, box_h))
-    sx, sy = bw / w, bh / h
-    out_w = F.when(sx < sy, bw.cast("long")).otherwise(F.floor(w * sy + 0.5))
-    out_h = F.when(sx < sy, F.floor(h * sx + 0.5)).otherwise(bh.cast("long"))
+    sx, sy = _scale_of(bw, w), _scale_of(bh, h)
+    out_w = F.when(sx < sy, bw.cast("long")).when(w != 0, F.floor(w * sy + 0.5))
+    out_h = F.when(sx < sy, F.when(h != 0, F.floor(h * sx + 0.5))).otherwise(bh.cast("long"))
     return F.greatest(out_w.cast("long"), F.lit(1)), F.greatest(out_h.cast("long"), F.lit(1))
 
 
