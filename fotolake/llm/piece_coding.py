@@ -35,7 +35,7 @@ from fotolake.llm.common import ranges, texts_of, with_fields
 BLANK = "▁"
 #: Words a worker keeps where it gives digests, and where it gives ids too; bytes of text whose ids it holds at a time.
 CACHE, SMALL_CACHE = 200_000, 40_000
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _EDGE = re.compile(r"(?<=\w)(?=\W)|(?<=\W)(?=\w)")
 _SEGMENT = re.compile(f"{BLANK}+[^{BLANK}]*")
 

@@ -188,13 +188,15 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of spans that overlap the first one counts."""
+    """The text with each span replaced by its kind in brackets. Of spans that overlap, one that ends inside those before
+    it is gone with them; one that goes on gives way too, its kind after theirs."""
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
-        free = s["start"] >= state["at"]
-        piece = F.concat(state["out"], F.substr(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.when(free, s["end"]).otherwise(state["at"]).alias("at"), F.when(free, piece).otherwise(state["out"]).alias("out"))
+        more = s["end"] > state["at"]
+        between = F.substr(text, (state["at"] + 1).cast("int"), F.greatest(s["start"] - state["at"], F.lit(0)).cast("int"))
+        piece = F.concat(state["out"], between, F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        return F.struct(F.greatest(s["end"], state["at"]).alias("at"), F.when(more, piece).otherwise(state["out"]).alias("out"))
 
     done = F.aggregate(spans, start, step)
     whole = F.concat(done["out"], F.substr(text, (done["at"] + 1).cast("int"), F.lit(2**31 - 1)))
